@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from synthmill.plans import banking, generation, inference  # noqa: F401  (importing registers the queries)
+from synthmill.plans import banking, generation, inference, reshaping  # noqa: F401  (importing registers the queries)
 from synthmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
