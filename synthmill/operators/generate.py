@@ -18,11 +18,13 @@ class SchemaPlan:
 
     ``bank`` maps read key (lower case) to the ranked values of that key; leave it empty for
     output that depends on schema and seed only.  ``n`` is the number of rows, when known.
+    ``scope`` keeps the draws of several schemas of one run apart.
     """
 
     def __init__(self, schema: Schema, seed: int, bank: Mapping[str, Sequence[str]] | None = None,
-                 n: int | None = None, order: str = "intent"):
+                 n: int | None = None, order: str = "intent", scope: str = ""):
         self.schema, self.seed, self.n, self.order = schema, seed & 0xFFFFFFFF, n, order
+        self.scope = f"{scope}:" if scope else ""
         self.bank = {k.lower(): v for k, v in (bank or {}).items()}
         self.tied = {p.lower() for p in schema.tied_paths}
         self._leaves: dict[str, LeafPlan] = {}
@@ -31,7 +33,7 @@ class SchemaPlan:
         if path not in self._leaves:
             values = [v for key in field.read_keys(path) for v in self.bank.get(key.lower(), ())]
             n = None if self.n is None else self.n * ARRAY_SLOTS ** depth
-            self._leaves[path] = LeafPlan(field, path, self.seed, values, n, self.order)
+            self._leaves[path] = LeafPlan(field, self.scope + path, self.seed, values, n, self.order)
         return self._leaves[path]
 
     def columns(self, row: Column) -> list[Column]:
@@ -55,7 +57,7 @@ class SchemaPlan:
         return plan.compile(at).value
 
     def array_size(self, path: str, at: Address) -> Column:
-        return d.below(d.draw(d.draw_key(self.seed, path, "size"), at.row, idx=at.idx), ARRAY_SLOTS) + 1
+        return d.below(d.draw(d.draw_key(self.seed, self.scope + path, "size"), at.row, idx=at.idx), ARRAY_SLOTS) + 1
 
     def element_address(self, at: Address, i: Column) -> Address:
         return Address(at.row, (*at.idx, i), at.ordinal * d.long(ARRAY_SLOTS) + i)
