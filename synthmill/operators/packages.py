@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from synthmill.functions.naming import EXTENSIONS
-from synthmill.functions.render import record_column, render
+from synthmill.functions.lineage import cut
+from synthmill.functions.render import render
 from synthmill.operators import infer as I
 from synthmill.operators.generate import SchemaPlan
 from synthmill.schema import Schema
@@ -53,8 +53,12 @@ def import_entries(entries: DataFrame, max_depth: int = I.MAX_DEPTH) -> Imported
 
 
 def import_packages(files: DataFrame, max_depth: int = I.MAX_DEPTH) -> Imported:
-    """Import archives (path, content); each file is one package."""
-    return import_entries(expand_archives(files), max_depth)
+    """Import archives (path, content); each file is one package.
+
+    The expanded entries are kept once in the checkpoint folder, because every frame of the result
+    reads them; archives are not opened again for each.
+    """
+    return import_entries(cut(expand_archives(files)), max_depth)
 
 
 def nested_map(members: DataFrame) -> DataFrame:
@@ -84,29 +88,33 @@ class Member:
     fmt: str
 
 
-def variants(spark: SparkSession, members: Sequence[Member], n: int, seed: int, *,
-             modes: Mapping[str, Mapping[str, str]] | None = None, default: str = "random",
-             bank: Mapping[str, Sequence[str]] | None = None, rows: DataFrame | None = None,
-             row_id: str = "id") -> DataFrame:
-    """(variant, path, content): ``n`` full copies of the package with newly generated contents.
+def variant_rows(spark: SparkSession, members: Sequence[Member], n: int, seed: int, *,
+                 modes: Mapping[str, Mapping[str, str]] | None = None, default: str = "random",
+                 bank: Mapping[str, Sequence[str]] | None = None, rows: DataFrame | None = None,
+                 row_id: str = "id") -> DataFrame:
+    """(variant, files): ``n`` full copies of the package with newly generated contents, one a row.
 
+    All files of a variant are made in the same row, so neither generating nor packing shuffles.
     Variants count from 1.  Unique fields do not repeat over all variants.  ``rows`` may give the row
     ids (0-based) instead of a range.
     """
-    base = (spark.range(n).withColumnRenamed("id", "__id") if rows is None else rows.select(F.col(row_id).alias("__id")))
+    base = spark.range(n).select(F.col("id").alias("__id")) if rows is None else rows.select(F.col(row_id).alias("__id"))
     modes = modes or {}
-    parts = []
-    for m in members:
+    records, types = [F.col("__id")], []
+    for i, m in enumerate(members):
         schema = m.schema.with_modes(modes.get(m.path) or modes.get(m.path.lower()), default)
-        plan = SchemaPlan(schema, seed, bank, n, scope=m.path)
-        made = base.select("__id", *plan.columns(F.col("__id")))
-        record, dtype = record_column(made.schema, ("__id",))
-        parts.append(made.select((F.col("__id") + 1).alias("variant"), F.lit(m.path).alias("path"),
-                                 render(record, dtype, m.fmt).alias("content")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        columns = SchemaPlan(schema, seed, bank, n, scope=m.path).columns(F.col("__id"))
+        records.append(F.struct(*columns).alias(f"m{i}"))
+        types.append(m)
+    made = base.select(*records)
+    files = [F.struct(F.lit(m.path).alias("path"), render(F.col(f"m{i}"), made.schema[f"m{i}"].dataType, m.fmt).alias("content"))
+             for i, m in enumerate(types)]
+    return made.select((F.col("__id") + 1).alias("variant"), F.array(*files).alias("files"))
+
+
+def variants(spark: SparkSession, members: Sequence[Member], n: int, seed: int, **options) -> DataFrame:
+    """(variant, path, content) of the generated packages; options as for ``variant_rows``."""
+    return variant_rows(spark, members, n, seed, **options).select("variant", F.inline("files"))
 
 
 @dataclass(frozen=True)
@@ -128,33 +136,29 @@ def _bottom_up(files: dict[str, bytes], nested: Sequence[NestedArchive]) -> dict
 
 def repack(made: DataFrame, name: str, outer: str = "zip", nested: Sequence[NestedArchive] = (),
            extension: str | None = None) -> DataFrame:
-    """(path, content) of the packed variants: ``name_0001.zip`` …, or files below ``name_0001/``.
-
-    One group is one variant, which has exactly the files of the package; groups are all alike.
-    """
-    label = F.concat(F.lit(f"{name}_"), F.lpad(F.col("variant").cast("string"), F.greatest(F.length(F.col("variant").cast("string")), F.lit(4)), "0"))
+    """(path, content) of the packed ``variant_rows``: ``name_0001.zip`` …, or files below ``name_0001/``."""
+    number = F.col("variant").cast("string")
+    label = F.concat(F.lit(f"{name}_"), F.lpad(number, F.greatest(F.length(number), F.lit(4)), "0"))
     if outer == "folder" and not nested:
-        return made.select(F.concat_ws("/", label, "path").alias("path"), F.encode("content", "UTF-8").alias("content"))
+        return made.select(label.alias("label"), F.inline("files")).select(
+            F.concat_ws("/", "label", "path").alias("path"), F.encode("content", "UTF-8").alias("content"))
     ext = "" if outer == "folder" else extension or f".{outer}"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        packed = _bottom_up({p: c.encode("utf-8") for p, c in zip(pdf["path"], pdf["content"])}, nested)
-        top = pdf["label"].iloc[0]
-        if outer == "folder":
-            rows = [(posixpath.join(top, p), c) for p, c in sorted(packed.items())]
-        else:
-            rows = [(f"{top}{ext}", pack(sorted(packed.items()), outer))]
-        return pd.DataFrame(rows, columns=["path", "content"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for top, files in zip(batch["label"], batch["files"]):
+                packed = _bottom_up({f["path"]: f["content"].encode("utf-8") for f in files}, nested)
+                if outer == "folder":
+                    rows += [(posixpath.join(top, p), c) for p, c in sorted(packed.items())]
+                else:
+                    rows.append((f"{top}{ext}", pack(sorted(packed.items()), outer)))
+            yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return made.select("variant", "path", "content", label.alias("label")).groupBy("variant").applyInPandas(
-        run, "path string, content binary")
+    return made.select(label.alias("label"), "files").mapInPandas(run, "path string, content binary")
 
 
 def write_variants(made: DataFrame, folder: str, name: str, outer: str = "zip",
                    nested: Sequence[NestedArchive] = (), extension: str | None = None) -> DataFrame:
     """Write the packed variants; gives (path, status, bytes)."""
     return write_files(repack(made, name, outer, nested, extension), folder)
-
-
-def member_extension(fmt: str) -> str:
-    return EXTENSIONS.get(fmt, fmt)

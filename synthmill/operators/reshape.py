@@ -116,24 +116,32 @@ def union_headers(frames: Sequence[DataFrame]) -> DataFrame:
     return out.na.fill("")
 
 
+RECORD = "_record"  # record id in every entity frame
+
+
+def position_column(array: str) -> str:
+    """Column that holds the element position below an array."""
+    return f"_{array}_pos"
+
+
 def entity_split(df: DataFrame, row: str, delim: str = ".", *, as_json: bool = False) -> dict[str, DataFrame]:
     """One frame per entity: ``root`` and every nested object or array, named by path.
 
-    Each frame has the record id ``row``; below an array also the element position ``<array>_pos``.
-    Array elements that are scalars give a ``value`` column.  An entity without scalars is left out.
-    With ``as_json`` there is only ``root``, with nested values as JSON text.
+    Each frame starts with ``_record``, the value of ``row``, and one ``_<array>_pos`` per enclosing
+    array; then follow the entity's scalars.  Array elements that are scalars give a ``value`` column.
+    An entity without scalars is left out.  With ``as_json`` there is only ``root``, with nested values
+    as JSON text.
     """
     if as_json:
-        return {"root": nested_as_json(df)}
+        return {"root": nested_as_json(df).select(F.col(row).alias(RECORD), "*")}
     out: dict[str, DataFrame] = {}
 
     def emit(name: str, rows: DataFrame, keys: list[str], fields: list[T.StructField], base: Column | None) -> None:
         def value(f: T.StructField) -> Column:
             return F.col(f"`{f.name}`") if base is None else base.getField(f.name)
 
-        scalars = [f for f in fields if is_scalar(f.dataType) and not (base is None and f.name == row)]
-        own = [f for f in fields if base is None and f.name == row]
-        if scalars or own:
+        scalars = [f for f in fields if is_scalar(f.dataType)]
+        if scalars:
             out[name] = rows.select(*keys, *[value(f).alias(f.name) for f in scalars])
         nested = [f for f in fields if isinstance(f.dataType, T.StructType)]
         nested += [f for f in fields if isinstance(f.dataType, T.ArrayType)]
@@ -143,7 +151,7 @@ def entity_split(df: DataFrame, row: str, delim: str = ".", *, as_json: bool = F
                 below = rows.select(*keys, value(f).alias("__v")).where("__v IS NOT NULL")
                 emit(child, below, keys, f.dataType.fields, F.col("__v"))
                 continue
-            pos = f"{f.name}_pos"
+            pos = position_column(f.name)
             below = rows.select(*keys, F.posexplode(value(f)).alias(pos, "__v"))
             item = f.dataType.elementType
             if isinstance(item, T.StructType):
@@ -151,7 +159,7 @@ def entity_split(df: DataFrame, row: str, delim: str = ".", *, as_json: bool = F
             else:
                 out[child] = below.select(*keys, pos, _json(F.col("__v"), item).alias("value"))
 
-    emit("root", df, [row], df.schema.fields, None)
+    emit("root", df.select(F.col(row).alias(RECORD), "*"), [RECORD], df.schema.fields, None)
     return out
 
 

@@ -118,13 +118,13 @@ def s7(spark, sf_dir):
 
 
 # -- archives -----------------------------------------------------------------------------------
-def packed_events(spark, sf_dir) -> DataFrame:
-    """Archives (path, content), packed in tasks: one per event, with an inner archive and an unwanted file."""
+def packed_customers(spark, sf_dir) -> DataFrame:
+    """Archives (path, content), packed in tasks: one per customer, with an inner archive and an unwanted file."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for e, kind, props in zip(b["event_id"], b["event_type"], b["props"]):
+            for e, kind, props in zip(b["c_custkey"], b["c_mktsegment"], b["props"]):
                 fmt = ("zip", "tar", "tar.gz")[e % 3]
                 inner = A.pack([("deep/n.json", props.encode()), ("x.bin", b"\0\1")], "tar.gz")
                 entries = [("a.json", props.encode()), ("Sub/in.tgz", inner), ("sub/A.csv", f"k,t\n{e},{kind}\n".encode()),
@@ -132,27 +132,29 @@ def packed_events(spark, sf_dir) -> DataFrame:
                 rows.append((f"p{e}.{fmt}", A.pack(entries, fmt)))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return table(spark, sf_dir, "events").select("event_id", "event_type", "props").mapInPandas(run, "path string, content binary")
+    props = F.concat(F.lit('{"k": '), F.col("c_nationkey").cast("string"), F.lit("}")).alias("props")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", props).mapInPandas(run, "path string, content binary")
 
 
-_PACK = "'p' || event_id || CASE event_id % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.tar' ELSE '.tar.gz' END"
+_PACKED = """packed AS (SELECT c_custkey, c_mktsegment, '{"k": ' || c_nationkey || '}' AS props FROM customer)"""
+_PACK = "'p' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.tar' ELSE '.tar.gz' END"
 _ENTRIES = """(VALUES (0, 'file', 'a.json', NULL), (1, 'nested', 'Sub/in', NULL), (2, 'file', 'Sub/in/deep/n.json', NULL), (3, 'skipped', 'Sub/in/x.bin', 'not a text file'),
  (4, 'file', 'sub/A.csv', NULL), (5, 'file', 'SUB/a.CSV', NULL), (6, 'nested', 'bad', NULL), (7, 'skipped', 'bad.zip', 'unreadable archive: BadZipFile')) v(i, kind, entry, reason)"""
 
 
-@query("s8_expand_archives", f"SELECT {_PACK} AS path, kind, entry, reason, CASE WHEN i IN (0, 2) THEN props WHEN i = 4 THEN 'k,t' || chr(10) || event_id || ',' || event_type || chr(10) WHEN i = 5 THEN 'twin' END AS text FROM events, {_ENTRIES}")
+@query("s8_expand_archives", f"WITH {_PACKED} SELECT {_PACK} AS path, kind, entry, reason, CASE WHEN i IN (0, 2) THEN props WHEN i = 4 THEN 'k,t' || chr(10) || c_custkey || ',' || c_mktsegment || chr(10) WHEN i = 5 THEN 'twin' END AS text FROM packed, {_ENTRIES}")
 def s8(spark, sf_dir):
-    return R.expand_archives(packed_events(spark, sf_dir)).select("path", "kind", "entry", "reason", F.decode("content", "UTF-8").alias("text"))
+    return R.expand_archives(packed_customers(spark, sf_dir)).select("path", "kind", "entry", "reason", F.decode("content", "UTF-8").alias("text"))
 
 
-@query("s9_list_archive", f"SELECT {_PACK} AS path, entry, is_directory FROM events, (VALUES ('a.json', false), ('Sub/in.tgz', false), ('sub/A.csv', false), ('bad.zip', false)) v(entry, is_directory)")
+@query("s9_list_archive", f"WITH {_PACKED} SELECT {_PACK} AS path, entry, is_directory FROM packed, (VALUES ('a.json', false), ('Sub/in.tgz', false), ('sub/A.csv', false), ('bad.zip', false)) v(entry, is_directory)")
 def s9(spark, sf_dir):
-    return R.list_archive(packed_events(spark, sf_dir)).select("path", "entry", "is_directory")
+    return R.list_archive(packed_customers(spark, sf_dir)).select("path", "entry", "is_directory")
 
 
-@query("s10_read_entry", f"SELECT {_PACK} AS path, 'a.json' AS entry, length(props)::BIGINT AS size, false AS binary, false AS truncated, props AS content FROM events")
+@query("s10_read_entry", f"WITH {_PACKED} SELECT {_PACK} AS path, 'a.json' AS entry, length(props)::BIGINT AS size, false AS binary, false AS truncated, props AS content FROM packed")
 def s10(spark, sf_dir):
-    return R.read_entry(packed_events(spark, sf_dir), "/A.JSON")
+    return R.read_entry(packed_customers(spark, sf_dir), "/A.JSON")
 
 
 @query("s11_read_folder", "SELECT 'seg=' || c_mktsegment || '/c' || c_custkey || '.txt' AS path, length(c_name)::BIGINT AS size, c_name AS text FROM customer")
@@ -208,7 +210,7 @@ UNION ALL SELECT '3|S' || (o_custkey + i) || ',' || ((o_orderkey + i) % 7) FROM
 UNION ALL SELECT unnest(['0|# entity: root', '0|id,status', '1|', '1|# entity: customer', '1|id', '2|', '2|# entity: customer.tier', '2|level', '3|', '3|# entity: items', '3|sku,qty'])""")
 def k4(spark, sf_dir):
     path = scratch(spark, "entities")
-    blocks = W.entity_blocks(nested(spark, sf_dir).withColumn("customer", F.struct(F.col("customer.id").alias("id"), "customer.tier")), "id")
+    blocks = W.entity_blocks(nested(spark, sf_dir), "id")
     ordered = blocks.withColumn("line", F.explode(F.split("line", "\n"))).withColumn(
         "line", F.concat_ws("|", F.col("block").cast("string"), F.col("line")))
     W.write_blocks(ordered, path)
@@ -318,28 +320,28 @@ def x14(spark, sf_dir):
 
 # -- packages -----------------------------------------------------------------------------------
 def imported(spark, sf_dir) -> P.Imported:
-    return P.import_packages(packed_events(spark, sf_dir))
+    return P.import_packages(packed_customers(spark, sf_dir))
 
 
 _MEMBERS = """(VALUES ('a.json', 'k', 'value'), ('Sub/in/deep/n.json', 'k', 'value'), ('sub/A.csv', 'k', 'value'), ('sub/A.csv', 't', 'value'), ('SUB/a.CSV', 'twin', 'value')) v(member, leaf, kind)"""
 
 
-@query("p1_import_packages", f"""SELECT {_PACK} AS package, member, leaf AS path, kind, CASE WHEN member LIKE '%json' THEN json_extract_string(props, '$.k') WHEN leaf = 'k' THEN event_id::VARCHAR WHEN leaf = 't' THEN event_type END AS sample FROM events, {_MEMBERS}""")
+@query("p1_import_packages", f"""WITH {_PACKED} SELECT {_PACK} AS package, member, leaf AS path, kind, CASE WHEN member LIKE '%json' THEN json_extract_string(props, '$.k') WHEN leaf = 'k' THEN c_custkey::VARCHAR WHEN leaf = 't' THEN c_mktsegment END AS sample FROM packed, {_MEMBERS}""")
 def p1(spark, sf_dir):
     return imported(spark, sf_dir).schemas.select("package", "member", "path", "kind", "sample")
 
 
-@query("p1_import_skipped", f"SELECT {_PACK} AS package, entry AS path, reason FROM events, {_ENTRIES} WHERE kind = 'skipped'")
+@query("p1_import_skipped", f"WITH {_PACKED} SELECT {_PACK} AS package, entry AS path, reason FROM packed, {_ENTRIES} WHERE kind = 'skipped'")
 def p1_skipped(spark, sf_dir):
     return imported(spark, sf_dir).skipped
 
 
-@query("p2_nested_map", f"SELECT {_PACK} AS package, folder_path, archive_path, archive_format FROM events, (VALUES ('Sub/in', 'Sub/in.tgz', 'tar.gz'), ('bad', 'bad.zip', 'zip')) v(folder_path, archive_path, archive_format)")
+@query("p2_nested_map", f"WITH {_PACKED} SELECT {_PACK} AS package, folder_path, archive_path, archive_format FROM packed, (VALUES ('Sub/in', 'Sub/in.tgz', 'tar.gz'), ('bad', 'bad.zip', 'zip')) v(folder_path, archive_path, archive_format)")
 def p2(spark, sf_dir):
     return P.nested_map(imported(spark, sf_dir).members)
 
 
-@query("p3_hydrate", f"""SELECT {_PACK} AS package, path, kind, n::INT AS schema_fields FROM events,
+@query("p3_hydrate", f"""WITH {_PACKED} SELECT {_PACK} AS package, path, kind, n::INT AS schema_fields FROM packed,
  (VALUES ('a.json', 'text', 1), ('Sub/in/deep/n.json', 'text', 1), ('sub/A.csv', 'text', 2), ('SUB/a.CSV', 'text', 1), ('Sub/in', 'nested_archive_folder', NULL), ('bad', 'nested_archive_folder', NULL)) v(path, kind, n)""")
 def p3(spark, sf_dir):
     got = imported(spark, sf_dir)
@@ -349,30 +351,30 @@ def p3(spark, sf_dir):
 PACKAGE = [P.Member("in/case.xml", TIED, "xml"), P.Member("c.json", CUSTOMER, "json")]
 MODES = {"in/case.xml": {"case_id": "unique", "event": "same", "amount": "random", "owner.name": "same", "owner.team": "same"},
          "c.json": {"customer_id": "same", "full_name": "same", "email": "same", "signup_date": "same"}}
-_CASE = Leaf(SEED, "in/case.xml:amount", "o_orderkey")
+_CASE = Leaf(SEED, "in/case.xml:amount", "c_custkey")
 _FIRST = Leaf(SEED, "in/case.xml:owner.name", "0")
-_BALANCE = Leaf(SEED, "c.json:balance", "o_orderkey")
+_BALANCE = Leaf(SEED, "c.json:balance", "c_custkey")
 
 
 def _decimal(units: str, places: int) -> str:
     return f"regexp_replace((({units}) / {10 ** places}.0::DOUBLE)::VARCHAR, '\\.0$', '')"
 
 
-_XML_CONTENT = f"""'<root>' || chr(10) || '  <case_id>' || {duck.let(duck.permuted_wide('o_orderkey', 62 ** 6, SEED, 'in/case.xml:case_id'), lambda c: duck.spell(c, duck.ALNUM, 6))} || '</case_id>' || chr(10)
+_XML_CONTENT = f"""'<root>' || chr(10) || '  <case_id>' || {duck.let(duck.permuted_wide('c_custkey', 62 ** 6, SEED, 'in/case.xml:case_id'), lambda c: duck.spell(c, duck.ALNUM, 6))} || '</case_id>' || chr(10)
  || '  <event>892</event>' || chr(10) || '  <owner>' || chr(10) || '    <name>' || substr({_FIRST.text('text', duck.LOWER, 12)}, 1, 4 + {_FIRST.below('text-length', 9)}) || '</name>' || chr(10)
  || '    <team>true</team>' || chr(10) || '  </owner>' || chr(10) || '  <amount>' || {_decimal(f"{_CASE.below('number', 201)} + 25", 1)} || '</amount>' || chr(10) || '</root>'"""
 _JSON_CONTENT = f"""'{{' || chr(10) || '  "customer_id": 10001,' || chr(10) || '  "full_name": "Robin Vale",' || chr(10) || '  "email": "jo.lee7@example.com",' || chr(10)
  || '  "signup_date": "2024-06-15",' || chr(10) || '  "balance": ' || {_decimal(f"{_BALANCE.below('number', 2001)} + 999", 2)} || chr(10) || '}}'"""
-_VARIANTS = f"""SELECT o_orderkey + 1 AS variant, 'in/case.xml' AS path, {_XML_CONTENT} AS content FROM orders UNION ALL SELECT o_orderkey + 1, 'c.json', {_JSON_CONTENT} FROM orders"""
+_VARIANTS = f"""SELECT c_custkey + 1 AS variant, 'in/case.xml' AS path, {_XML_CONTENT} AS content FROM customer UNION ALL SELECT c_custkey + 1, 'c.json', {_JSON_CONTENT} FROM customer"""
 
 
 def made_variants(spark, sf_dir) -> DataFrame:
-    return P.variants(spark, PACKAGE, 2 ** 40, SEED, modes=MODES, rows=table(spark, sf_dir, "orders"), row_id="o_orderkey")
+    return P.variant_rows(spark, PACKAGE, 2 ** 40, SEED, modes=MODES, rows=table(spark, sf_dir, "customer"), row_id="c_custkey")
 
 
 @query("p4_variants", _VARIANTS)
 def p4(spark, sf_dir):
-    return made_variants(spark, sf_dir)
+    return made_variants(spark, sf_dir).select("variant", F.inline("files"))
 
 
 @query("p5_repack", f"""WITH v AS ({_VARIANTS}) SELECT 'pkg_' || CASE WHEN variant < 10000 THEN lpad(variant::VARCHAR, 4, '0') ELSE variant::VARCHAR END || '.tar.gz' AS path, path AS entry, content AS text FROM v""")
@@ -381,7 +383,7 @@ def p5(spark, sf_dir):
     return R.expand_archives(packed).where("kind = 'file'").select("path", "entry", F.decode("content", "UTF-8").alias("text"))
 
 
-@query("p6_member_leaves", f"SELECT {_PACK} AS package, member, leaf AS path FROM events, {_MEMBERS}")
+@query("p6_member_leaves", f"WITH {_PACKED} SELECT {_PACK} AS package, member, leaf AS path FROM packed, {_MEMBERS}")
 def p6(spark, sf_dir):
     return P.member_leaves(imported(spark, sf_dir).schemas)
 
@@ -399,11 +401,11 @@ def _drained(stream: DataFrame, spark, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@query("t1_generate_stream", f"SELECT event_id, {permuted('event_id', 260_000, SEED, 'code')} AS code, {Leaf(SEED, 'pct', 'event_id').below('number', 21)} - 5 AS pct FROM events")
+@query("t1_generate_stream", f"SELECT event_id, {permuted('event_id', 400_000_001, SEED, 'code')} + 800000000 AS code, {Leaf(SEED, 'pct', 'event_id').below('number', 21)} - 5 AS pct FROM events")
 def t1(spark, sf_dir):
     from synthmill.operators.generate import SchemaPlan
     from synthmill.schema import Field, Schema
-    schema = Schema("s", [Field("code", sample="130000", is_unique=True, min=0, max=259_999), Field("pct", sample="5")])
+    schema = Schema("s", [Field("code", sample="1000000000", is_unique=True), Field("pct", sample="5")])
     plan = SchemaPlan(schema, SEED)
     wide = stream_events(spark, sf_dir).select("event_id", *plan.columns(F.col("event_id")))
     return _drained(wide, spark, "generated")

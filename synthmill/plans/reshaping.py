@@ -76,22 +76,19 @@ def x5(spark, sf_dir):
     return R.union_headers([left, right])
 
 
-@query("x6_entity_split", """SELECT 'root' AS entity, o_orderkey AS parent, 0::BIGINT AS at, o_orderstatus AS text FROM orders
+@query("x6_entity_split", """SELECT 'root' AS entity, o_orderkey AS parent, 0::BIGINT AS at, o_orderkey || '|' || o_orderstatus AS text FROM orders
 UNION ALL SELECT 'customer.tier', o_orderkey, 0, o_orderpriority FROM orders
 UNION ALL SELECT 'items', o_orderkey, i, 'S' || (o_custkey + i) || '|' || ((o_orderkey + i) % 7) FROM orders, range(3) t(i) WHERE i < o_orderkey % 4
 UNION ALL SELECT 'tags', o_orderkey, i, CASE i WHEN 0 THEN o_orderstatus ELSE o_orderpriority END FROM orders, range(2) t(i) WHERE i < o_orderkey % 3 AND o_orderkey % 5 > 0
 UNION ALL SELECT 'customer', o_orderkey, 0, o_custkey::VARCHAR FROM orders""")
 def x6(spark, sf_dir):
-    flat = nested(spark, sf_dir).withColumn("customer", F.struct(
-        F.col("customer.id").alias("cust"), F.col("customer.tier").alias("tier")))
-    parts = R.entity_split(flat, "id")
     out = []
-    for name, df in parts.items():
+    for name, df in R.entity_split(nested(spark, sf_dir), "id").items():
         pos = [c for c in df.columns if c.endswith("_pos")]
-        own = [c for c in df.columns if c not in ("id", *pos)]
+        own = [c for c in df.columns if c not in (R.RECORD, *pos)]
         at = F.col(pos[0]).cast("long") if pos else F.lit(0).cast("long")
         text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in own])
-        out.append(df.select(F.lit(name).alias("entity"), F.col("id").alias("parent"), at.alias("at"), text.alias("text")))
+        out.append(df.select(F.lit(name).alias("entity"), F.col(R.RECORD).alias("parent"), at.alias("at"), text.alias("text")))
     result = out[0]
     for p in out[1:]:
         result = result.unionByName(p)
@@ -100,7 +97,7 @@ def x6(spark, sf_dir):
 
 @query("x7_entity_split_json", f"SELECT o_orderkey AS id, o_orderstatus AS status, {_CUSTOMER} AS customer, {_ITEMS} AS items, {_TAGS} AS tags FROM orders")
 def x7(spark, sf_dir):
-    return R.entity_split(nested(spark, sf_dir), "id", as_json=True)["root"]
+    return R.entity_split(nested(spark, sf_dir), "id", as_json=True)["root"].drop(R.RECORD)
 
 
 @query("x8_per_key", """SELECT 'c_name' AS key, c_custkey, c_name AS value FROM customer UNION ALL SELECT 'c_nationkey', c_custkey, c_nationkey::VARCHAR FROM customer

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from synthmill.functions.render import (
     csv_line, record_column, xml_tag, xml_text, yaml_text)
 from synthmill.functions.text import is_scalar, scalar_text
-from synthmill.operators.reshape import entity_split, flatten, per_key
+from synthmill.operators.reshape import RECORD, entity_split, flatten, per_key, position_column
 
 
 def _framed(lines: DataFrame, head: str, tail: str, separator: str) -> DataFrame:
@@ -69,14 +69,11 @@ def entity_blocks(df: DataFrame, row: str, delim: str = ".", as_json: bool = Fal
     """(block, seq, at, line): the ``# entity:`` sections of one text, ready to be ordered."""
     out = None
     for block, (name, rows) in enumerate(entity_split(df, row, delim, as_json=as_json).items()):
-        positions = [c for c in rows.columns if c.endswith("_pos")]
-        fields = [f for f in rows.schema.fields if f.name not in (row, *positions)]
-        if name == "root":
-            fields = [f for f in df.schema.fields if f.name == row] + fields
-        if not fields:
-            continue
+        inside = [] if name == "root" else name.split(delim)
+        positions = [c for c in map(position_column, inside) if c in rows.columns]
+        fields = [f for f in rows.schema.fields if f.name not in (RECORD, *positions)]
         at = F.array(*[F.col(p).cast("int") for p in positions]) if positions else F.array(F.lit(0))
-        data = rows.select(F.lit(block).alias("block"), F.col(row).cast("long").alias("seq"), at.alias("at"),
+        data = rows.select(F.lit(block).alias("block"), F.col(RECORD).cast("long").alias("seq"), at.alias("at"),
                            csv_line([scalar_text(F.col(f"`{f.name}`"), f.dataType) for f in fields]).alias("line"))
         heading = csv_line([F.lit(f.name) for f in fields])
         first = df.sparkSession.range(1).select(

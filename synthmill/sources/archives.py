@@ -7,7 +7,7 @@ import posixpath
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,22 +47,20 @@ def clean_entry(path: str) -> str:
     return "/".join(p for p in parts if p and p not in (".", ".."))
 
 
-def iter_entries(data: bytes, fmt: str) -> Iterator[tuple[str, int, bool, bytes | None]]:
-    """(path, size, is directory, content) of each entry, one entry in memory at a time."""
+def iter_entries(data: bytes, fmt: str) -> Iterator[tuple[str, int, bool, Callable[[], bytes]]]:
+    """(path, size, is directory, reader) of each entry; an entry is only unpacked when its reader is called."""
     if fmt == "zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 name = clean_entry(info.filename)
                 if name:
-                    yield name, info.file_size, info.is_dir(), None if info.is_dir() else z.read(info)
+                    yield name, info.file_size, info.is_dir(), lambda: z.read(info)
         return
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz" if fmt == "tar.gz" else "r:") as t:
         for info in t:
             name = clean_entry(info.name)
-            if name and info.isdir():
-                yield name, 0, True, None
-            elif name and info.isfile():
-                yield name, info.size, False, t.extractfile(info).read()
+            if name and (info.isdir() or info.isfile()):
+                yield name, info.size, info.isdir(), lambda: t.extractfile(info).read()
 
 
 def _strip(name: str) -> str:
@@ -83,9 +81,9 @@ def _expand(source: str, entry: str, data: bytes, depth: int) -> Iterator[tuple]
     folder = posixpath.join(posixpath.dirname(entry), _strip(name))
     yield (source, "nested", folder, len(data), True, None, entry, fmt, None)
     try:
-        for inner, _, is_dir, content in iter_entries(data, fmt):
+        for inner, _, is_dir, read in iter_entries(data, fmt):
             if not is_dir:
-                yield from _expand(source, f"{folder}/{inner}", content, depth + 1)
+                yield from _expand(source, f"{folder}/{inner}", read(), depth + 1)
     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError) as e:
         yield (source, "skipped", entry, len(data), False, None, None, None, f"unreadable archive: {type(e).__name__}")
 
@@ -122,9 +120,9 @@ def expand_archives(files: DataFrame) -> DataFrame:
                     continue
                 def rows():
                     try:
-                        for entry, _, is_dir, data in iter_entries(content, fmt):
+                        for entry, _, is_dir, read in iter_entries(content, fmt):
                             if not is_dir:
-                                yield from _expand(path, entry, data, 0)
+                                yield from _expand(path, entry, read(), 0)
                     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError) as e:
                         yield (path, "skipped", posixpath.basename(path), len(content), False, None, None, None,
                                f"unreadable archive: {type(e).__name__}")
@@ -133,14 +131,17 @@ def expand_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ENTRY_SCHEMA)
 
 
-def _listing(files: DataFrame, with_content: bool) -> DataFrame:
+def _listing(files: DataFrame, wanted: str | None = None) -> DataFrame:
+    """Entries of archives; the content only of files whose path equals ``wanted`` without case."""
+
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 fmt = archive_format(path)
                 entries = iter_entries(content, fmt) if fmt else ()
-                yield from _frames(((path, i, e, s, d, c if with_content else None) for i, (e, s, d, c) in enumerate(entries)),
-                                   ["path", "at", "entry", "size", "is_directory", "content"])
+                rows = ((path, i, e, s, d, None if wanted is None else read()) for i, (e, s, d, read) in enumerate(entries)
+                        if wanted is None or (not d and e.lower() == wanted))
+                yield from _frames(rows, ["path", "at", "entry", "size", "is_directory", "content"])
     return files.select("path", "content").mapInPandas(
         run, "path string, at int, entry string, size bigint, is_directory boolean, content binary")
 
@@ -148,17 +149,15 @@ def _listing(files: DataFrame, with_content: bool) -> DataFrame:
 def list_archive(files: DataFrame) -> DataFrame:
     """(path, entry, size, is_directory); the first of entries that differ only in case is kept."""
     first = F.min_by(F.struct("entry", "size"), F.col("at"))
-    rows = _listing(files, False).groupBy("path", "is_directory", F.lower("entry").alias("key")).agg(first.alias("first"))
+    rows = _listing(files).groupBy("path", "is_directory", F.lower("entry").alias("key")).agg(first.alias("first"))
     return rows.select("path", "first.entry", "first.size", "is_directory")
 
 
 def read_entry(files: DataFrame, entry: str) -> DataFrame:
     """One entry of each archive by case-insensitive path, as text up to 2 MiB; binary ones only flagged."""
-    wanted = clean_entry(entry).lower()
-    rows = _listing(files, True).where((F.lower("entry") == wanted) & ~F.col("is_directory"))
+    rows = _listing(files, clean_entry(entry).lower())
     head = F.substring(F.col("content"), 1, ENTRY_TEXT_BYTES)
-    binary = F.contains(F.hex(F.substring(F.col("content"), 1, 8000)), F.lit("00")) & (
-        F.position(F.lit(b"\x00"), F.substring(F.col("content"), 1, 8000)) > 0)
+    binary = F.contains(F.substring(F.col("content"), 1, 8000), F.lit(b"\x00"))
     texty = F.col("entry").rlike(TEXT_NAME)
     binary = binary | (~texty & (F.col("size") > 64 * 1024))
     return rows.select("path", "entry", "size", binary.alias("binary"),

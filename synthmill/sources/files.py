@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv as csvlib
 import io
 import json
-import posixpath
 import re
 from collections.abc import Iterator
 
@@ -48,7 +47,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of whole text files."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
@@ -155,9 +154,12 @@ def documents(files: DataFrame) -> DataFrame:
     """
     typed = files.select("path", "content", sniff_format(F.col("path"), F.col("content")).alias("format"))
     text = trim(F.col("content"))
-    whole = F.try_parse_json(text).isNotNull()
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), trim), lambda s: (s != "") & F.try_parse_json(s).isNotNull())
-    inner = F.when(F.col("format") == "txt", F.array(F.to_json(F.struct("content")))).when(whole, F.array(text)).otherwise(lines)
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), trim), lambda s: s != "")
+    # A first line that is a document of its own means one document a line; bad lines are skipped.
+    by_line = (F.size(lines) > 1) & F.try_parse_json(F.get(lines, F.lit(0))).isNotNull()
+    whole = ~by_line & F.try_parse_json(text).isNotNull()
+    good = F.filter(lines, lambda s: F.try_parse_json(s).isNotNull())
+    inner = F.when(F.col("format") == "txt", F.array(F.to_json(F.struct("content")))).when(whole, F.array(text)).otherwise(good)
     native = typed.where(F.col("format").isin("json", "txt")).select("path", F.posexplode_outer(inner).alias("record", "document"))
     native = native.select("path", F.coalesce("record", F.lit(0)).alias("record"), "document",
                            F.when(F.col("document").isNull(), "no JSON").alias("error"))
@@ -178,6 +180,3 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
     texts = read_texts(spark, path)
     return documents(texts).where("error IS NULL").drop("error")
 
-
-def relative_name(path: str) -> str:
-    return posixpath.basename(path)
