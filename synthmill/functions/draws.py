@@ -53,8 +53,6 @@ def div(a: Column, b: int | Column) -> Column:
     return F.call_function("div", a, long(b))
 
 
-# Digits and letters that stand for the digits 0..25 in base 26.
-_BASE26 = "0123456789abcdefghijklmnop"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 DIGITS = "0123456789"
@@ -64,15 +62,13 @@ TOKEN = LOWER + DIGITS
 
 def spell(value: Column, alphabet: str, width: int) -> Column:
     """``value`` written in base len(alphabet) with ``width`` digits, most significant first."""
-    base = len(alphabet)
     if alphabet == DIGITS:
         return F.lpad(value.cast("string"), width, "0")
-    if base == 26:
-        text = F.lpad(F.lower(F.conv(value.cast("string"), 10, 26)), width, "0")
-        return F.translate(text, _BASE26, alphabet)
-    return F.concat(*[
-        F.substring(F.lit(alphabet), long(1) + div(value, base ** (width - 1 - j)) % long(base), long(1))
-        for j in range(width)])
+    # The split of a literal folds to a constant array, so a letter is one array access.
+    letters, base = F.split(F.lit(" ".join(alphabet)), " "), len(alphabet)
+    digits = [div(value, base ** (width - 1 - j)) if j < width - 1 else value for j in range(width)]
+    chars = [F.get(letters, (digit % long(base) if j else digit).cast("int")) for j, digit in enumerate(digits)]
+    return chars[0] if width == 1 else F.concat(*chars)
 
 
 def word(bits: Column, alphabet: str, width: int) -> Column:

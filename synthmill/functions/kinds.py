@@ -97,11 +97,26 @@ def phone_like(c: Column) -> Column:
 
 
 def match_flags(value: Column) -> dict[str, Column]:
-    """One boolean per kind test; aggregate each with ``bool_and``."""
-    flags = {name: value.rlike(rx) for name, rx in (*_TEXT_TESTS, *_SLASH_DATES, *_ID_TESTS)}
-    flags |= {name: value.rlike(rx) for name, rx in _NUMBER_TESTS.items()}
-    flags["phone"] = phone_like(value)
-    flags["alpha"] = value.rlike(ALPHA)
+    """One boolean per kind test; aggregate each with ``bool_and``.
+
+    Cheap looks at the length and the first and last character keep most patterns from running.
+    """
+    n, first, last = F.length(value), F.left(value, F.lit(1)), F.right(value, F.lit(1))
+    ends_in_digit = (last >= "0") & (last <= "9")
+    starts_number = ((first >= "0") & (first <= "9")) | first.isin("-", "$", "€", "£")
+    numeric = ends_in_digit & starts_number
+    slashes = F.contains(value, F.lit("/")) & n.between(8, 10)
+    likely = {
+        "bool": n.between(4, 5), "date-iso": n == 10, "datetime-iso": n.between(19, 29),
+        "email": F.contains(value, F.lit("@")), "uuid": n == 36, "percent": last == "%",
+        "currency": numeric, "int": numeric & ~first.isin("$", "€", "£"),
+        "float": numeric & F.contains(value, F.lit(".")),
+    }
+    likely |= {name: slashes for name, _ in _SLASH_DATES}
+    patterns = dict((*_TEXT_TESTS, *_SLASH_DATES, *_ID_TESTS)) | _NUMBER_TESTS
+    flags = {name: likely[name] & value.rlike(rx) for name, rx in patterns.items()}
+    flags["phone"] = n.between(7, 20) & phone_like(value)
+    flags["alpha"] = ~ends_in_digit & value.rlike(ALPHA)
     flags["alnum"] = value.rlike(ALNUM)
     return flags
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from synthmill.functions import draws as d
 from synthmill.operators.leaves import STAT_NAMES, Address, LeafPlan
 from synthmill.schema import ARRAY, Field, Schema
+from synthmill.session import tune
 
 ARRAY_SLOTS = 3  # arrays hold one to three elements
 
@@ -107,6 +108,7 @@ class SchemaPlan:
 def generate(spark: SparkSession, schema: Schema, n: int, seed: int,
              bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent") -> DataFrame:
     """``n`` records (at least one) of the schema; any partitioning gives the same rows."""
+    tune(spark)
     n = max(int(n or 1), 1)
     plan = SchemaPlan(schema, seed, bank, n, order)
     return spark.range(n).select(*plan.columns(F.col("id")))
@@ -119,6 +121,7 @@ def generate_for(rows: DataFrame, row_id: str, schema: Schema, seed: int, *, kee
 
     Unique leaves need distinct ids; an id beyond a leaf's capacity gets the exhaustion value.
     """
+    tune(rows.sparkSession)
     plan = SchemaPlan(schema, seed, bank, n, order)
     return rows.select(*keep, *plan.columns(F.col(row_id)))
 
@@ -127,6 +130,7 @@ def generation_counts(rows: DataFrame, row_id: str, schema: Schema, seed: int, *
                       bank: Mapping[str, Sequence[str]] | None = None, n: int | None = None,
                       order: str = "intent") -> DataFrame:
     """One row of run counters, summed map-side from the same draws as the records."""
+    tune(rows.sparkSession)
     plan = SchemaPlan(schema, seed, bank, n, order)
     per_row = rows.select(*plan.stat_columns(F.col(row_id)))
     return per_row.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STAT_NAMES])

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, types as T, functions as F
 
 from synthmill.functions.kinds import (
-    INT, INT_PADDED, PERCENT, kind_columns, loose_number, match_flags, trim)
+    INT_PADDED, kind_columns, loose_number, match_flags, trim)
 from synthmill.functions.text import is_scalar, scalar_text
 from synthmill.schema import ARRAY, OBJECT, VALUE, Field, Schema
 
@@ -215,38 +215,51 @@ def umbrella_rows(table: DataFrame, package: Sequence[str], member: str) -> Data
 
 
 # -- format kinds ---------------------------------------------------------------------------
+def _flag(kind: str) -> str:
+    return f"is_{kind.replace('-', '_')}"
+
+
 def detect_kinds(values: DataFrame, samples: DataFrame | None = None, by: Sequence[str] = ("path",),
                  order: str = "intent") -> DataFrame:
     """Format kind and statistics per path, from (path, value) rows and optional (path, sample).
 
-    A single aggregation over all rows; values need not be distinct.
+    A single aggregation over all rows; values need not be distinct.  All its buffers are of fixed
+    width, which keeps it a hash aggregation: texts, such as the samples, are joined afterwards.
     """
-    rows = values.select(*by, trim(F.col("value")).alias("value"), F.lit(None).cast("string").alias("own"))
+    rows = values.select(*by, trim(F.col("value")).alias("value"))
     if samples is not None:
-        rows = rows.unionByName(samples.select(*by, trim(F.col("sample")).alias("value"), trim(F.col("sample")).alias("own")))
-    rows = rows.where(F.col("value") != "")
-    v, flags = F.col("value"), match_flags(F.col("value"))
-    place = F.length(F.regexp_extract(v, r"\.([0-9]+)", 1))
-
-    def shaped(rx: str, what: Column) -> Column:
-        return F.when(v.rlike(rx), what)
-
-    number = F.coalesce(shaped(PERCENT, loose_number(v)), F.when(flags["currency"], loose_number(v)))
-    whole = shaped(INT, v.try_cast("double"))
+        own = samples.select(*by, trim(F.col("sample")).alias("sample")).where("sample <> ''")
+        own = own.groupBy(*by).agg(F.max("sample").alias("sample"))
+        rows = rows.unionByName(own.withColumnRenamed("sample", "value"))
+    v = F.col("value")
+    flags = match_flags(v)
+    # Flags and numbers become columns first, so that the aggregates below do not repeat the tests.
+    rows = rows.where(v != "").select(*by, "value", *[c.alias(_flag(n)) for n, c in flags.items()])
+    plain, money = F.col(_flag("int")) | F.col(_flag("float")), F.col(_flag("currency")) | F.col(_flag("percent"))
+    number = F.when(plain, v.try_cast("double")).when(money, loose_number(v))
+    whole = F.col(_flag("int"))
+    rows = rows.select(
+        "*", number.alias("number"),
+        F.when(plain | money, F.length(F.regexp_extract(v, r"\.([0-9]+)", 1))).alias("places"),
+        F.when(whole, F.length(v) - F.startswith(v, F.lit("-")).cast("int")).alias("width"),
+        (whole & v.rlike(INT_PADDED)).alias("padded"), F.length(v).alias("size"), F.contains(v, F.lit(",")).alias("comma"),
+        F.nullif(F.instr(F.lit(_SIGNS), F.left(v, F.lit(1))), F.lit(0)).alias("sign"))
     grouped = rows.groupBy(*by).agg(
-        *[F.bool_and(c).alias(f"all_{n.replace('-', '_')}") for n, c in flags.items()],
-        F.bool_or(v.rlike(INT_PADDED)).alias("any_padded"), F.bool_or(F.contains(v, F.lit(","))).alias("any_comma"),
-        F.max("own").alias("sample"), F.min("value").alias("least"),
-        F.min(F.length(v)).alias("min_len"), F.max(F.length(v)).alias("max_len"),
-        F.min(number).alias("min_any"), F.max(number).alias("max_any"),
-        F.min(whole).alias("min_int"), F.max(whole).alias("max_int"),
-        F.max(F.when(number.isNotNull(), place)).alias("places"),
-        F.max(shaped(INT, F.length(F.regexp_replace(v, "^-", "")))).alias("width"))
-    every = {n: F.col(f"all_{n.replace('-', '_')}") for n in flags}
+        *[F.bool_and(_flag(n)).alias(f"all_{_flag(n)}") for n in flags],
+        F.bool_or("padded").alias("any_padded"), F.bool_or("comma").alias("any_comma"),
+        F.min("sign").alias("sign"),
+        F.min("size").alias("min_len"), F.max("size").alias("max_len"),
+        F.min("number").alias("min_any"), F.max("number").alias("max_any"),
+        F.min(F.when(whole, F.col("number"))).alias("min_int"), F.max(F.when(whole, F.col("number"))).alias("max_int"),
+        F.max("places").alias("places"), F.max("width").alias("width"))
+    every = {n: F.col(f"all_{_flag(n)}") for n in flags}
+    grouped = grouped.withColumn("sample", F.lit(None).cast("string")) if samples is None else grouped.join(own, [*by], "left")
     kind = kind_columns(every, F.col("any_padded"), F.col("sample"), order)
     return _with_stats(grouped.withColumn("kind", kind), by)
 
 
+_SIGNS = "$€£"
+
 # Lengths that belong to a kind, whatever the samples.
 _FIXED_LENGTHS = {"bool": (4, 5), "date-iso": (10, 10), "datetime-iso": (19, 30), "date-us": (8, 10),
                   "date-eu": (8, 10), "date-slash-ymd": (8, 10), "uuid": (36, 36)}
@@ -265,8 +278,8 @@ def _with_stats(g: DataFrame, by: Sequence[str]) -> DataFrame:
     comma = F.col("any_comma") & (kind == "currency")
     places = F.coalesce("places", F.lit(0))
     money = F.greatest(places, F.when(comma, 2).otherwise(0))
-    lead = F.coalesce("sample", "least")
-    sign = F.regexp_extract(lead, "^[$€£]", 0)
+    sampled = F.nullif(F.instr(F.lit(_SIGNS), F.left("sample", F.lit(1))), F.lit(0))
+    sign = F.coalesce(F.when(F.col("sample").isNotNull(), F.coalesce(sampled, F.lit(1))), F.col("sign"), F.lit(1))
     return g.select(
         *by, "kind", length(0, "min_len").alias("min_len"), length(1, "max_len").alias("max_len"),
         F.when(whole, F.col("min_int")).when(real, F.col("min_any")).alias("min_num"),
@@ -275,5 +288,5 @@ def _with_stats(g: DataFrame, by: Sequence[str]) -> DataFrame:
         .when(kind == "currency", F.when(money == 0, 2).otherwise(money)).alias("decimals"),
         F.when(kind == "int-padded", F.coalesce(
             F.when(F.col("sample").rlike(INT_PADDED), F.length(F.regexp_replace("sample", "^-", ""))), F.col("width"))).alias("pad_width"),
-        F.when(kind == "currency", F.when(sign == "", "$").otherwise(sign)).alias("prefix"),
+        F.when(kind == "currency", F.substring(F.lit(_SIGNS), sign, F.lit(1))).alias("prefix"),
         F.when(kind == "currency", comma).alias("thousands"))

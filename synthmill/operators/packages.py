@@ -14,6 +14,7 @@ from synthmill.functions.render import render
 from synthmill.operators import infer as I
 from synthmill.operators.generate import SchemaPlan
 from synthmill.schema import Schema
+from synthmill.session import tune
 from synthmill.sinks.archives import pack
 from synthmill.sinks.records import write_files
 from synthmill.sources.archives import expand_archives, folder_of
@@ -98,6 +99,7 @@ def variant_rows(spark: SparkSession, members: Sequence[Member], n: int, seed: i
     Variants count from 1.  Unique fields do not repeat over all variants.  ``rows`` may give the row
     ids (0-based) instead of a range.
     """
+    tune(spark)
     base = spark.range(n).select(F.col("id").alias("__id")) if rows is None else rows.select(F.col(row_id).alias("__id"))
     modes = modes or {}
     records, types = [F.col("__id")], []

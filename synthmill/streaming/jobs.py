@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from synthmill.operators.bank import BANK_COLUMNS, record_ensure, record_use
 from synthmill.operators.generate import SchemaPlan
 from synthmill.schema import Schema
+from synthmill.session import tune
 
 
 def generate_stream(spark: SparkSession, schema: Schema, seed: int, rows_per_second: int = 1000, **source) -> DataFrame:
     """Endless records; row ``i`` of the stream equals row ``i`` of a batch run with the same seed."""
+    tune(spark)
     rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).options(**source).load()
     return rate.select("timestamp", F.col("value").alias("row"), *SchemaPlan(schema, seed).columns(F.col("value")))
 
