@@ -203,9 +203,9 @@ def detect(values: Iterable[str], sample: str | None = None, order: str = "inten
     base = dict(samples=tuple(pool), min_len=min(lens), max_len=max(lens))
 
     def numeric(kind: str) -> Pattern:
-        # Only values that have the kind's own shape feed the range.
-        rx = {"int-padded": INT}.get(kind) or _NUMBER_TESTS[kind]
-        fitting = [p for p in pool if re.search(rx, p)]
+        # Only values that are numbers of the kind's own sort feed the range.
+        tests = {"int": (INT,), "int-padded": (INT,), "float": (INT, FLOAT)}.get(kind, (PERCENT, CURRENCY))
+        fitting = [p for p in pool if any(re.search(rx, p) for rx in tests)]
         nums = [parse_number(p) for p in fitting] or [Fraction(0), Fraction(999)]
         places = max((decimal_places(p) for p in fitting), default=0)
         thousands = kind == "currency" and any("," in p for p in fitting)
@@ -213,7 +213,8 @@ def detect(values: Iterable[str], sample: str | None = None, order: str = "inten
         return Pattern(
             kind, **base, low=min(nums), high=max(nums),
             decimals={"percent": places, "float": max(places, 1), "currency": max(places, 2 if thousands else 0) or 2}.get(kind, 0),
-            pad_width=max(len(p.lstrip("-")) for p in ([sample] if sample else fitting)) if kind == "int-padded" else 0,
+            pad_width=max(len(p.removeprefix("-")) for p in ([sample] if re.search(INT_PADDED, sample) else fitting))
+            if kind == "int-padded" else 0,
             prefix=(mark.group(0) if mark else "$") if kind == "currency" else "", thousands=thousands)
 
     if either(BOOL):

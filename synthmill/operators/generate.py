@@ -18,7 +18,8 @@ class SchemaPlan:
     """A schema compiled for one seed.
 
     ``bank`` maps read key (lower case) to the ranked values of that key; leave it empty for
-    output that depends on schema and seed only.  ``n`` is the number of rows, when known.
+    output that depends on schema and seed only.  ``n`` bounds the row ids from above, when that is
+    known; it decides which of several unique forms is roomy enough.
     ``scope`` keeps the draws of several schemas of one run apart.
     """
 

@@ -242,7 +242,8 @@ def detect_kinds(values: DataFrame, samples: DataFrame | None = None, by: Sequen
         "*", number.alias("number"),
         F.when(plain | money, F.length(F.regexp_extract(v, r"\.([0-9]+)", 1))).alias("places"),
         F.when(whole, F.length(v) - F.startswith(v, F.lit("-")).cast("int")).alias("width"),
-        (whole & v.rlike(INT_PADDED)).alias("padded"), F.length(v).alias("size"), F.contains(v, F.lit(",")).alias("comma"),
+        (whole & v.rlike(INT_PADDED)).alias("padded"), F.length(v).alias("size"),
+        ((plain | money) & F.contains(v, F.lit(","))).alias("comma"), plain.alias("plain"),
         F.nullif(F.instr(F.lit(_SIGNS), F.left(v, F.lit(1))), F.lit(0)).alias("sign"))
     grouped = rows.groupBy(*by).agg(
         *[F.bool_and(_flag(n)).alias(f"all_{_flag(n)}") for n in flags],
@@ -250,6 +251,8 @@ def detect_kinds(values: DataFrame, samples: DataFrame | None = None, by: Sequen
         F.min("sign").alias("sign"),
         F.min("size").alias("min_len"), F.max("size").alias("max_len"),
         F.min("number").alias("min_any"), F.max("number").alias("max_any"),
+        F.min(F.when(F.col("plain"), F.col("number"))).alias("min_plain"), F.max(F.when(F.col("plain"), F.col("number"))).alias("max_plain"),
+        F.max(F.when(F.col("plain"), F.col("places"))).alias("places_plain"),
         F.min(F.when(whole, F.col("number"))).alias("min_int"), F.max(F.when(whole, F.col("number"))).alias("max_int"),
         F.max("places").alias("places"), F.max("width").alias("width"))
     every = {n: F.col(f"all_{_flag(n)}") for n in flags}
@@ -274,7 +277,7 @@ def _with_stats(g: DataFrame, by: Sequence[str]) -> DataFrame:
             out = out.when(kind == name, pair[index])
         return out.otherwise(F.col(observed))
 
-    whole, real = kind.isin("int", "int-padded"), kind.isin("float", "currency", "percent")
+    whole, real = kind.isin("int", "int-padded"), kind.isin("currency", "percent")
     comma = F.col("any_comma") & (kind == "currency")
     places = F.coalesce("places", F.lit(0))
     money = F.greatest(places, F.when(comma, 2).otherwise(0))
@@ -282,9 +285,9 @@ def _with_stats(g: DataFrame, by: Sequence[str]) -> DataFrame:
     sign = F.coalesce(F.when(F.col("sample").isNotNull(), F.coalesce(sampled, F.lit(1))), F.col("sign"), F.lit(1))
     return g.select(
         *by, "kind", length(0, "min_len").alias("min_len"), length(1, "max_len").alias("max_len"),
-        F.when(whole, F.col("min_int")).when(real, F.col("min_any")).alias("min_num"),
-        F.when(whole, F.col("max_int")).when(real, F.col("max_any")).alias("max_num"),
-        F.when(kind == "percent", places).when(kind == "float", F.greatest(places, F.lit(1)))
+        F.when(whole, F.col("min_int")).when(kind == "float", F.col("min_plain")).when(real, F.col("min_any")).alias("min_num"),
+        F.when(whole, F.col("max_int")).when(kind == "float", F.col("max_plain")).when(real, F.col("max_any")).alias("max_num"),
+        F.when(kind == "percent", places).when(kind == "float", F.greatest(F.coalesce("places_plain", F.lit(0)), F.lit(1)))
         .when(kind == "currency", F.when(money == 0, 2).otherwise(money)).alias("decimals"),
         F.when(kind == "int-padded", F.coalesce(
             F.when(F.col("sample").rlike(INT_PADDED), F.length(F.regexp_replace("sample", "^-", ""))), F.col("width"))).alias("pad_width"),

@@ -145,9 +145,8 @@ def permuted_wide(ordinal: str, size: int, seed: int, path: str) -> str:
     def shift(value: str, by: str, name: str, modulus: int) -> str:
         return f"(({value}) + {Leaf(seed, path, by).below(name, modulus)}) % {modulus}"
     return let(f"{{'l': ({ordinal}) % {half}, 'h': (({ordinal}) // {half}) % {high_size}}}", lambda a:
-               let(f"{{'h': {a}.h, 'l': {shift(f'{a}.l', f'{a}.h', 'low', half)}}}", lambda b:
-                   let(f"{{'l': {b}.l, 'h': {shift(f'{b}.h', f'{b}.l', 'high', high_size)}}}", lambda c:
-                       f"({c}.h * {half} + {shift(f'{c}.l', f'{c}.h', 'low2', half)})")))
+               let(f"{{'l': {a}.l, 'h': {shift(f'{a}.h', f'{a}.l', 'high', high_size)}}}", lambda b:
+                   f"({b}.h * {half} + {shift(f'{b}.l', f'{b}.h', 'low', half)})"))
 
 
 def date_text(ms: str, kind: str) -> str:

@@ -109,7 +109,7 @@ def _unique_code(ordinal: str, path: str) -> str:
         f"({duck.spell(f'({c} % {26 ** 3})', UPPER, 3)} || '-' || {duck.spell(f'({c} // {26 ** 3})', duck.DIGITS, 5)})"))
 
 
-leaf_query("l23_unique", Field("v", sample="ORD-10042", is_unique=True), _unique_code(KEY, "v"), n=1_000_000)
+leaf_query("l23_unique", Field("v", sample="ORD-10042", is_unique=True), _unique_code(KEY, "v"), n=10 ** 9)
 _WIDE = 26 ** 3 * 10 ** 12
 
 
@@ -117,14 +117,13 @@ _WIDE = 26 ** 3 * 10 ** 12
     f"({duck.spell(f'({c} % {26 ** 3})', UPPER, 3)} || {duck.spell(f'({c} // {26 ** 3})', duck.DIGITS, 12)})"))} AS v FROM orders""")
 def unique_wide(spark, sf_dir):
     return generate_for(table(spark, sf_dir, "orders"), KEY,
-                        Schema("leaf", [Field("v", sample="REF000000000001", is_unique=True)]), SEED, keep=[KEY], n=10 ** 6)
+                        Schema("leaf", [Field("v", sample="REF000000000001", is_unique=True)]), SEED, keep=[KEY], n=10 ** 9)
 
 
 _SPENT = f"({v.word('spent', LOWER, 6)} || '_' || ({v.below('spent', 999_000, 0, 1)} + 1000))"
-leaf_query("l24_exhaustion_fallback", Field("v", sample="K-1", is_unique=True),
-           f"CASE WHEN o_orderkey < 260 THEN " + duck.let(permuted(KEY, 260, SEED, "v"), lambda c: (
-               f"({duck.spell(f'({c} % 26)', UPPER, 1)} || '-' || {duck.spell(f'({c} // 26)', duck.DIGITS, 1)})")) + f" ELSE {_SPENT} END",
-           n=200)
+leaf_query("l24_exhaustion_fallback", Field("v", sample="K 1", is_unique=True),
+           "CASE WHEN o_orderkey < 260 THEN " + duck.let(permuted(KEY, 260, SEED, "v"), lambda c: (
+               f"({duck.spell(f'({c} % 26)', UPPER, 1)} || ' ' || {duck.spell(f'({c} // 26)', duck.DIGITS, 1)})")) + f" ELSE {_SPENT} END")
 leaf_query("l25_length_repair", Field("v", sample="Hi there 42", min_length=8, max_length=9),
            f"substr({_mutated('Hi there 42')}, 1, 9)")
 leaf_query("l25_length_pad", Field("v", sample="Hi 4", min_length=8), f"({_mutated('Hi 4')}) || 'xxxx'")
@@ -198,28 +197,26 @@ def g2(spark, sf_dir):
 
 NESTED = Schema("order", [
     Field("customer", OBJECT, children=[
-        Field("id", sample="C-8801", is_unique=True), Field("name", sample="Acme Corp")]),
-    Field("items", ARRAY, children=[Field("sku", sample="SKU-100", is_unique=True), Field("qty", sample="2", min=1)]),
+        Field("id", sample="C 88010000", is_unique=True), Field("name", sample="Acme Corp")]),
+    Field("items", ARRAY, children=[Field("sku", sample="SKU 100000", is_unique=True), Field("qty", sample="2", min=1)]),
     Field("codes", ARRAY, children=[Field("item", sample="7.5")])])
 
 
 @query("g3_object", f"""SELECT o_orderkey,
-  {duck.let(permuted(KEY, 260_000, SEED, 'customer.id'), lambda c: f"({duck.spell(f'({c} % 26)', UPPER, 1)} || '-' || {duck.spell(f'({c} // 26)', duck.DIGITS, 4)})")} AS id,
-  {_mutated('Acme Corp', _leaf('customer.name'))} AS name FROM orders WHERE o_orderkey < 260000""")
+  {duck.let(duck.permuted_wide(KEY, 26 * 10 ** 8, SEED, 'customer.id'), lambda c: f"({duck.spell(f'({c} % 26)', UPPER, 1)} || ' ' || {duck.spell(f'({c} // 26)', duck.DIGITS, 8)})")} AS id,
+  {_mutated('Acme Corp', _leaf('customer.name'))} AS name FROM orders""")
 def g3(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 260000")
-    return generate_for(rows, KEY, NESTED, SEED, keep=[KEY], n=260_000).select(KEY, "customer.*")
+    return generate_for(table(spark, sf_dir, "orders"), KEY, NESTED, SEED, keep=[KEY]).select(KEY, "customer.*")
 
 
-_SKU = 26 ** 3 * 1000
+_SKU = 26 ** 3 * 10 ** 6
 
 
 @query("g4_array", f"""WITH r AS (SELECT o_orderkey, unnest(range(0, 1 + {_leaf('items').below('size', 3)})) AS pos FROM orders)
-SELECT o_orderkey, pos, {duck.let(permuted('o_orderkey * 3 + pos', _SKU, SEED, 'items.sku'), lambda c: f"({duck.spell(f'({c} % {26 ** 3})', UPPER, 3)} || '-' || {duck.spell(f'({c} // {26 ** 3})', duck.DIGITS, 3)})")} AS sku,
-  greatest(1, {_leaf('items.qty', KEY, 'pos').below('number', 21)} - 8) AS qty FROM r WHERE o_orderkey < 260000""")
+SELECT o_orderkey, pos, {duck.let(duck.permuted_wide('o_orderkey * 3 + pos', _SKU, SEED, 'items.sku'), lambda c: f"({duck.spell(f'({c} % {26 ** 3})', UPPER, 3)} || ' ' || {duck.spell(f'({c} // {26 ** 3})', duck.DIGITS, 6)})")} AS sku,
+  greatest(1, {_leaf('items.qty', KEY, 'pos').below('number', 21)} - 8) AS qty FROM r""")
 def g4(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 260000")
-    made = generate_for(rows, KEY, NESTED, SEED, keep=[KEY], n=260_000)
+    made = generate_for(table(spark, sf_dir, "orders"), KEY, NESTED, SEED, keep=[KEY])
     return made.select(KEY, F.posexplode("items").alias("pos", "item")).select(
         KEY, F.col("pos").cast("long").alias("pos"), "item.*")
 

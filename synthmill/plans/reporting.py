@@ -145,7 +145,7 @@ def n9(spark, sf_dir):
 REPORTED = Schema("reported", [
     Field("priority", enum=PRIORITIES, null_rate=20), Field("day", sample="2024-06-15"),
     Field("qty", sample="100", min=95, max=110), Field("note", sample="Hi there 42", max_length=9),
-    Field("code", sample="K-1", is_unique=True), Field("num", sample="1001", pattern="^[8-9].*[27]$"),
+    Field("code", sample="K 1", is_unique=True), Field("num", sample="1001", pattern="^[8-9].*[27]$"),
     Field("items", ARRAY, children=[Field("a", sample="x y"), Field("b", sample="5.5", null_rate=50)])])
 
 
@@ -174,7 +174,7 @@ _COUNTS = f"""per AS (SELECT o_orderkey, {_SIZE} AS size, ({_l('priority').chanc
 
 
 def counts_of_orders(spark, sf_dir) -> DataFrame:
-    return generation_counts(table(spark, sf_dir, "orders"), "o_orderkey", REPORTED, SEED, n=200)
+    return generation_counts(table(spark, sf_dir, "orders"), "o_orderkey", REPORTED, SEED)
 
 
 @query("m1_report", f"WITH {_COUNTS} SELECT * FROM counts")
