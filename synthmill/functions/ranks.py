@@ -19,17 +19,21 @@ CHUNK = 1 << 20
 
 def grouped_rank(df: DataFrame, group: Sequence[str], row: str, name: str = "rank", chunk: int = CHUNK) -> DataFrame:
     """Add the 1-based rank of each row among the rows of its group, by row id."""
-    keys = [*group, "__chunk"]
+    # Group keys in a form without NULLs, so that the join below is a plain one and finds both sides
+    # already partitioned by it: the data moves once.
+    parts = {}
+    for i, column in enumerate(group):
+        parts[f"__k{i}"] = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        parts[f"__n{i}"] = F.col(column).isNull()
+    groups, keys = list(parts), [*parts, "__chunk"]
     # Row ids of one chunk may be sparse; they are still at most ``chunk`` rows.
-    cut = df.withColumn("__chunk", div(F.col(row).cast("long"), chunk))
+    cut = df.withColumns({**parts, "__chunk": div(F.col(row).cast("long"), chunk)})
     sizes = cut.groupBy(*keys).agg(F.count("*").alias("__size"))
-    earlier = W.partitionBy(*group).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*groups).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"))
     local = F.row_number().over(W.partitionBy(*keys).orderBy(row))
-    conditions = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    joined = cut.withColumn("__local", local).alias("l").join(offsets.alias("r"), conditions)
-    kept = [F.col(f"l.{c}") for c in df.columns]
-    return joined.select(*kept, (F.col("__local") + F.col("__offset")).cast("long").alias(name))
+    joined = cut.withColumn("__local", local).join(offsets, keys)
+    return joined.select(*df.columns, (F.col("__local") + F.col("__offset")).cast("long").alias(name))
 
 
 def row_index(df: DataFrame, row: str, name: str = "index", chunk: int = CHUNK) -> DataFrame:

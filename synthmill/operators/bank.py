@@ -8,7 +8,7 @@ what they identify, so a recomputed task gives the same ids.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -217,7 +217,7 @@ def clear_condition(mode: str, *, now: datetime | None = None, days: int | None
     if mode == "days":
         if days is None or not 1 <= int(days) <= MAX_CLEAR_DAYS:
             raise ValueError(f"days must be between 1 and {MAX_CLEAR_DAYS}")
-        cutoff, age = (now or datetime.utcnow()) - timedelta(days=int(days)), age or "newer"
+        cutoff, age = (now or datetime.now(timezone.utc).replace(tzinfo=None)) - timedelta(days=int(days)), age or "newer"
     elif mode == "datetime":
         if cutoff is None:
             raise ValueError("a cutoff is required")
@@ -280,9 +280,23 @@ def correct(bank: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
 
 
 # -- transfer -----------------------------------------------------------------------------
+def _recent_enough(bank: DataFrame, rows: int) -> DataFrame:
+    """The bank without hours that cannot hold any of the newest ``rows`` entries.
+
+    A large top-k would make every task send up to k rows to one; the counts per hour tell which
+    hours are needed, at the price of one aggregation over a single column.
+    """
+    hours = bank.groupBy(F.date_trunc("hour", "last_used_at").alias("hour")).agg(F.count("*").alias("n"))
+    newer = W.orderBy(F.desc("hour")).rowsBetween(W.unboundedPreceding, -1)
+    needed = hours.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("before") < rows)
+    oldest = needed.agg(F.min("hour")).first()[0]
+    return bank if oldest is None else bank.where(F.col("last_used_at") >= F.lit(oldest))
+
+
 def snapshot(bank: DataFrame, categories: DataFrame, limit: int = 50_000) -> DataFrame:
     """Newest entries with their category, for transfer to another bank."""
-    return with_category(_newest(bank).limit(bound(limit, 1, SNAPSHOT_LIMIT)), categories)
+    limit = bound(limit, 1, SNAPSHOT_LIMIT)
+    return with_category(_newest(_recent_enough(bank, limit)).limit(limit), categories)
 
 
 def restore(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:

@@ -53,13 +53,13 @@ def import_entries(entries: DataFrame, max_depth: int = I.MAX_DEPTH) -> Imported
     return Imported(members, I.schema_rows(rows, by), values, left_out.unionByName(failed.distinct()))
 
 
-def import_packages(files: DataFrame, max_depth: int = I.MAX_DEPTH) -> Imported:
-    """Import archives (path, content); each file is one package.
+def import_packages(files: DataFrame, max_depth: int = I.MAX_DEPTH, package: str | None = None) -> Imported:
+    """Import archives (path, content), one package each, or with ``package`` the files of one folder.
 
     The expanded entries are kept once in the checkpoint folder, because every frame of the result
     reads them; archives are not opened again for each.
     """
-    return import_entries(cut(expand_archives(files)), max_depth)
+    return import_entries(cut(expand_archives(files, package)), max_depth)
 
 
 def nested_map(members: DataFrame) -> DataFrame:

@@ -104,17 +104,21 @@ def _frames(rows: Iterator[tuple], columns: list[str], size: int = 256) -> Itera
 _COLUMNS = [c.strip().split()[0] for c in ENTRY_SCHEMA.split(",")]
 
 
-def expand_archives(files: DataFrame) -> DataFrame:
+def expand_archives(files: DataFrame, package: str | None = None) -> DataFrame:
     """Entries of archive files (path, content), nested archives opened in place.
 
     ``kind`` is ``file``, ``nested`` (the folder that stands for an inner archive) or ``skipped`` (with a
-    reason).  Each archive is read by the task that holds it; nothing is shuffled.
+    reason).  Each archive is read by the task that holds it; nothing is shuffled.  With ``package`` the
+    files are the contents of one folder of that name, and archives among them count as inner ones.
     """
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 fmt = archive_format(path)
+                if package is not None:
+                    yield from _frames(_expand(package, clean_entry(path), content, 0), _COLUMNS)
+                    continue
                 if fmt is None:
                     yield from _frames(_expand(path, posixpath.basename(path), content, 0), _COLUMNS)
                     continue

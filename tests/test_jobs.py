@@ -256,6 +256,27 @@ def test_package_round_trip(spark, tmp_path):
     assert len(folder) == 10 and folder[0]["path"].startswith("p_000")
 
 
+def test_a_folder_is_one_package(spark, tmp_path):
+    (tmp_path / "f/sub").mkdir(parents=True)
+    (tmp_path / "f/a b.csv").write_text("k\n1\n")
+    (tmp_path / "f/sub/in.zip").write_bytes(A.pack([("n.json", b'{"z":1}')], "zip"))
+    got = P.import_packages(S.read_folder(spark, str(tmp_path / "f")), package="f")
+    assert listed(got.members, "package", "path", "kind") == [
+        ("f", "a b.csv", "text"), ("f", "sub/in", "nested_archive_folder"), ("f", "sub/in/n.json", "text")]
+    assert listed(got.values, "member", "path", "value") == [("a b.csv", "k", "1"), ("sub/in/n.json", "z", "1")]
+    full = P.hydrate(got.members, got.schemas).where("kind = 'text'")
+    assert {r["path"]: [x["path"] for x in r["schema_rows"]] for r in full.collect()} == {"a b.csv": ["k"], "sub/in/n.json": ["z"]}
+
+
+def test_snapshot_is_the_exact_newest_part(spark):
+    bank = bank_of(spark, [("a", "k", str(i)) for i in range(60)]).withColumn(
+        "last_used_at", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=F.call_function("div", F.col("value").cast("long"), F.lit(7)).cast("int")))
+    names = spark.createDataFrame([], "id string, name string")
+    got = listed(B.snapshot(bank, names, 20), "id")
+    want = listed(bank.orderBy(F.desc("last_used_at"), F.desc("id")).limit(20), "id")
+    assert got == want and B.snapshot(bank, names, 1000).count() == 60
+
+
 # -- manifests and streams ----------------------------------------------------------------------------
 def test_manifests(spark):
     assert manifest_path("out/foo.json") == "out/foo.manifest.json" and manifest_path("foo") == "foo.manifest.json"
