@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -22,14 +23,26 @@ def draw_key(seed: int, path: str, purpose: str) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
+@lru_cache(maxsize=8192)
+def _literal(value: int) -> Column:
+    return F.expr(f"{value}L") if value > -(2 ** 63) else F.lit(value)
+
+
+@lru_cache(maxsize=16)
+def _letters(alphabet: str) -> Column:
+    # The split of a literal folds to a constant array, so a letter is one array access.
+    return F.split(F.lit(" ".join(alphabet)), " ")
+
+
 def long(value: int | Column) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast("long")
+    """A long column or literal; literals are kept, since a wide schema needs thousands of them."""
+    return value.cast("long") if isinstance(value, Column) else _literal(value)
 
 
 def raw_draw(key: int, row: Column, k: int | Column = 0, p: int | Column = 0,
              idx: Sequence[Column] = ()) -> Column:
-    """64 random bits at the address, as a signed long."""
-    return F.xxhash64(long(key), long(k), long(p), long(row), *[long(i) for i in idx])
+    """64 random bits at the address, as a signed long.  Columns of the address must be longs."""
+    return F.xxhash64(_literal(key), *[x if isinstance(x, Column) else _literal(x) for x in (k, p)], row, *idx)
 
 
 def draw(key: int, row: Column, k: int | Column = 0, p: int | Column = 0,
@@ -40,17 +53,17 @@ def draw(key: int, row: Column, k: int | Column = 0, p: int | Column = 0,
 
 def chance(bits: Column, probability: float) -> Column:
     """True with the given probability."""
-    return bits % F.lit(UNIT).cast("long") < F.lit(round(probability * UNIT)).cast("long")
+    return bits % _literal(UNIT) < _literal(round(probability * UNIT))
 
 
 def below(bits: Column, n: int) -> Column:
     """Uniform long in [0, n)."""
-    return bits % F.lit(n).cast("long")
+    return bits % _literal(n)
 
 
 def div(a: Column, b: int | Column) -> Column:
     """Integer division of longs."""
-    return F.call_function("div", a, long(b))
+    return F.call_function("div", a, b if isinstance(b, Column) else _literal(b))
 
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -64,8 +77,7 @@ def spell(value: Column, alphabet: str, width: int) -> Column:
     """``value`` written in base len(alphabet) with ``width`` digits, most significant first."""
     if alphabet == DIGITS:
         return F.lpad(value.cast("string"), width, "0")
-    # The split of a literal folds to a constant array, so a letter is one array access.
-    letters, base = F.split(F.lit(" ".join(alphabet)), " "), len(alphabet)
+    letters, base = _letters(alphabet), len(alphabet)
     digits = [div(value, base ** (width - 1 - j)) if j < width - 1 else value for j in range(width)]
     chars = [F.get(letters, (digit % long(base) if j else digit).cast("int")) for j, digit in enumerate(digits)]
     return chars[0] if width == 1 else F.concat(*chars)

@@ -142,7 +142,8 @@ def compile_name(naming: Naming, ctx: NameContext, row: Column,
 
     ``fragments`` gives the resolved column of a ``{field:path|unique}`` token.
     """
-    index = d.long(row) + 1
+    row = d.long(row)
+    index = row + 1
     pad = min(max(naming.index_pad, 1), 12)
     ms = clock(row, ctx.seed, naming.deterministic, ctx.now_ms)
 
