@@ -41,6 +41,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("synthmill-bench")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.session.timeZone", "UTC")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     run(spark.range(1000))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 from synthmill.functions.draws import div, draw, draw_key, long
 

@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from synthmill.functions.naming import NameContext, Naming
 from synthmill.functions.scratch import scratch
-from synthmill.operators import infer as I, packages as P
+from synthmill.operators import packages as P
 from synthmill.plans import duck
 from synthmill.plans.banking import STAMP, event_rows, now, _BANK, _T
 from synthmill.plans.duck import Leaf, permuted
 from synthmill.plans.generation import SEED, TIED, CUSTOMER
-from synthmill.plans.inference import event_documents
 from synthmill.plans.registry import query, table
 from synthmill.plans.reshaping import nested_orders
 from synthmill.sinks import archives as A, files as W, records as K
@@ -287,9 +286,6 @@ def _numbered(spark, sf_dir) -> DataFrame:
     return row_index(df, "id", "no")
 
 
-_BODY = "string_agg({item}, {sep} ORDER BY c_custkey)"
-
-
 @query("k11_write_multi_format", """SELECT 'pack.zip' AS path, 'out/c.csv' AS entry, 'id,name' || chr(10) || string_agg(c_custkey || ',' || c_name, chr(10) ORDER BY c_custkey) AS text FROM customer
 UNION ALL SELECT 'pack.zip', 'out/c.yml', string_agg('- id: ' || c_custkey || chr(10) || '  name: ' || c_name || chr(10), '' ORDER BY c_custkey) FROM customer
 UNION ALL SELECT 'pack.zip', 'out/c.json', '[' || chr(10) || string_agg('  {' || chr(10) || '    "id": ' || c_custkey || ',' || chr(10) || '    "name": "' || c_name || '"' || chr(10) || '  }', ',' || chr(10) ORDER BY c_custkey) || chr(10) || ']' FROM customer""")
@@ -422,6 +418,3 @@ def t2(spark, sf_dir):
 def t3(spark, sf_dir):
     rows = event_rows(stream_events(spark, sf_dir)).select(F.col("key_name").alias("path"), "value", F.col("used_at").cast("timestamp").alias("used_at"))
     return _drained(J.first_seen_stream(rows, "used_at", "60 days"), spark, "seen").select("path", "value")
-
-
-__all__ = ["I", "event_documents"]

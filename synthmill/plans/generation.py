@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from synthmill.functions.draws import ALNUM, LOWER, UPPER
 from synthmill.operators.bank import bank_for_fields
 from synthmill.plans.banking import bank_from_events
-from synthmill.operators.generate import SchemaPlan, generate_for
+from synthmill.operators.generate import generate_for
 from synthmill.operators.leaves import EMAIL_DOMAINS, YEAR_MS, epoch_ms
 from synthmill.plans import duck
-from synthmill.plans.duck import Leaf, permuted, quote
+from synthmill.plans.duck import Leaf, permuted
 from synthmill.plans.registry import query, table
 from synthmill.schema import ARRAY, OBJECT, Field, Schema
 
@@ -251,16 +251,9 @@ MODES = {"case_id": "unique", "event": "same"}
 
 
 @query("g7_field_modes", f"""SELECT o_orderkey,
-  {duck.let(permuted_ := duck.permuted_wide(KEY, 62 ** 6, SEED, 'case_id'), lambda c: duck.spell(c, ALNUM, 6))} AS case_id,
+  {duck.let(duck.permuted_wide(KEY, 62 ** 6, SEED, 'case_id'), lambda c: duck.spell(c, ALNUM, 6))} AS case_id,
   892 AS event, ({_leaf('amount').below('number', 201)} + 25) / 10.0::DOUBLE AS amount FROM orders""")
 def g7(spark, sf_dir):
     schema = Schema("tied", TIED.root).with_modes(MODES)
     return generate_for(table(spark, sf_dir, "orders"), KEY, schema, SEED, keep=[KEY]).select(
         KEY, "case_id", "event", "amount")
-
-
-def nested_plan(n: int | None = None) -> SchemaPlan:
-    return SchemaPlan(NESTED, SEED, n=n)
-
-
-__all__ = ["CUSTOMER", "NESTED", "SEED", "TIED", "nested_plan", "quote"]

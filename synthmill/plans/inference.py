@@ -9,7 +9,7 @@ from synthmill.functions.paths import read_keys, write_key
 from synthmill.operators import infer as I
 from synthmill.operators.hashing import schema_hash
 from synthmill.operators.harvest import harvest_run
-from synthmill.plans.generation import CUSTOMER, SEED, TIED
+from synthmill.plans.generation import SEED, TIED
 from synthmill.plans.duck import Leaf
 from synthmill.operators.generate import generate_for
 from synthmill.plans.registry import query, table
@@ -299,7 +299,3 @@ def h25(spark, sf_dir):
     untied = Schema("tied", schema.root, tied_paths=["CASE_ID"])
     run = generate_for(table(spark, sf_dir, "orders"), "o_orderkey", schema, SEED, keep=["o_orderkey"])
     return harvest_run(run, "o_orderkey", untied, cap=5000)
-
-
-def customer_schema() -> Schema:
-    return CUSTOMER

@@ -9,7 +9,7 @@ from synthmill.operators import naming as O, report as R
 from synthmill.operators.generate import generation_counts
 from synthmill.operators.leaves import STAT_NAMES
 from synthmill.plans.duck import Leaf, TOKEN_TEXT, uuid_text
-from synthmill.plans.generation import PRIORITIES, SEED, START, SPAN, permuted
+from synthmill.plans.generation import PRIORITIES, SEED
 from synthmill.plans.registry import query, table
 from synthmill.plans.reshaping import nested_orders
 from synthmill.schema import ARRAY, Field, Schema
@@ -227,6 +227,3 @@ def m5(spark, sf_dir):
         F.col("o_orderstatus").alias("schema_key"), F.lit("s0").alias("id"), F.col("o_orderstatus").alias("name"), F.lit("h1").alias("hash"))
     out = R.compare_manifests(parsed.withColumn("schema_key", F.col("schema_name")), schemas)
     return out.select("o_orderkey", "hash_match", "id_match", "name_match", F.array_join("warnings", "; ").alias("warnings"))
-
-
-__all__ = ["REPORTED", "START", "SPAN", "permuted"]

@@ -143,4 +143,3 @@ def convert(df: DataFrame, fmt: str, path: str, **options) -> None:
     """Write any read frame in another format."""
     {"json": write_json, "ndjson": write_ndjson, "csv": write_csv, "xml": write_xml, "yaml": write_yaml,
      "txt": write_txt}[fmt](df, path, **options)
-

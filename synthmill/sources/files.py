@@ -179,4 +179,3 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
     """(path, record, document) of text files: JSON, comma-separated or one ``content`` each."""
     texts = read_texts(spark, path)
     return documents(texts).where("error IS NULL").drop("error")
-
