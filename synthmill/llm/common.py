@@ -47,12 +47,17 @@ def block_count(docs: DataFrame, text_col: str = "text") -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES), 1)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the session's shared folder, read again: lineage ends there and every use reads one result."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for files which driver and executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the session's shared folder, read again: lineage ends there and every use reads one result."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

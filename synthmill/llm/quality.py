@@ -152,3 +152,16 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts, the base rule, the repeats found and the verdict ``kept``."""
     return narrowed(docs, id_col, text_col).mapInArrow(judge, SCHEMA)
+
+
+def kept(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text the rules keep, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], ["doc_id", "text"])
+            verdicts = [judged(t)["kept"] for _, t in slices(texts)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *verdicts])))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from synthmill.llm.bpe import encode_decode
-from synthmill.llm.common import documents
+from synthmill.llm.common import documents, shared_folder
+from synthmill.llm.packing import pack
 from synthmill.llm.quality import quality
 from synthmill.llm.secrets import scan
+from synthmill.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_folder(spark)).drop("complete")
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
