@@ -160,9 +160,6 @@ class Encoder:
         self.known: dict[str, tuple[str, int, bytes]] = {}
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            for piece in list(self.known)[:len(self.known) // 2]:
-                del self.known[piece]
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode()
@@ -176,15 +173,24 @@ class Encoder:
                 for (piece, _), ids in zip(part, found, strict=True):
                     self.known[piece] = (",".join(map(str, ids)), len(ids), b"".join(map(self.voc.parts.__getitem__, ids)))
 
+    def prepare(self, cut: list[list[str]]) -> None:
+        """Know all pieces of these lists."""
+        wanted = set().union(*cut)
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            for piece in list(self.known)[:len(self.known) // 2]:
+                if piece not in wanted:
+                    del self.known[piece]
+        self.learn(list(new))
+
+    def lone(self, piece: str) -> int:
+        """Tokens of a piece, without the table."""
+        return len(encode_one(self.voc, piece.encode()))
+
     def encode(self, texts: list[str | None]) -> list[list[tuple[str, int, bytes]]]:
         """For each text, its pieces as (ids joined by commas, their number, their bytes)."""
         cut = [self.split(t or "") for t in texts]
-        new = set().union(*cut) - self.known.keys()
-        if new:
-            self.learn(list(new))
-            # What a full table has dropped, and is needed here, is encoded again.
-            if missing := set().union(*cut) - self.known.keys():
-                self.learn(list(missing))
+        self.prepare(cut)
         look = self.known.__getitem__
         return [list(map(look, pieces)) for pieces in cut]
 

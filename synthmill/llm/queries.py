@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from synthmill.llm.bpe import encode_decode
 from synthmill.llm.common import documents, shared_folder
+from synthmill.llm.counts import edited_counts
+from synthmill.llm.fingerprints import compared
 from synthmill.llm.packing import pack
 from synthmill.llm.quality import quality
 from synthmill.llm.secrets import scan
+from synthmill.llm.sharding import placed
 from synthmill.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +36,33 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(documents(spark, sf_dir))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits to every document: a deletion, an insertion, a replacement by the text's own beginning."""
+    n = "char_length(text)"
+    edits = F.expr(f"""array(
+        named_struct('seq', 1, 'start', {n} div 4, 'length', 40, 'insert', ''),
+        named_struct('seq', 2, 'start', {n} div 2, 'length', 0, 'insert', ' (as amended)\\n'),
+        named_struct('seq', 3, 'start', {n} * 3 div 4, 'length', 20, 'insert', substr(text, 1, 60)))""")
+    return edited_counts(documents(spark, sf_dir).withColumn("edits", edits),
+                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(documents(spark, sf_dir).select("doc_id"), "doc_id", [f"shard-{i:03d}" for i in range(128)])
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_folder(spark)).drop("complete")

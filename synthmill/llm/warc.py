@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Payloads below this many bytes are never revisits.
 LEAST_SHARED = 100
-SEGMENT_BYTES = 64 << 10
+SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 8 << 10
 FILE_RECORDS = 2_000
 
