@@ -13,6 +13,7 @@ from synthmill.llm.counts import edited_counts
 from synthmill.llm.fingerprints import compared
 from synthmill.llm.packing import pack
 from synthmill.llm.quality import quality
+from synthmill.llm.repeats import dedup
 from synthmill.llm.secrets import scan
 from synthmill.llm.sharding import placed
 from synthmill.llm.warc import archived
@@ -26,6 +27,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(documents(spark, sf_dir))
+
+
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
