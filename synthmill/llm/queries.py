@@ -11,6 +11,7 @@ from synthmill.llm.bpe import encode_decode
 from synthmill.llm.common import documents, shared_folder
 from synthmill.llm.counts import edited_counts
 from synthmill.llm.fingerprints import compared
+from synthmill.llm.jaccard import linked
 from synthmill.llm.packing import pack
 from synthmill.llm.quality import quality
 from synthmill.llm.repeats import dedup
@@ -69,6 +70,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(documents(spark, sf_dir).select("doc_id"), "doc_id", [f"shard-{i:03d}" for i in range(128)])
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(documents(spark, sf_dir))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_folder(spark)).drop("complete")
