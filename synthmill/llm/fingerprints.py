@@ -128,21 +128,20 @@ def before(keys: DataFrame, key: str, bits: int = 64) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the text of the next smaller key; the smallest has the largest's, one document its own.
 
-    Texts move once, into groups of neighbouring keys; besides, one text per group goes to the group above.
+    Texts move once, into groups of neighbouring keys, and both uses read that exchange; besides, the first text of each
+    group goes to the group above, the topmost's to the lowest.
     """
     nulls = -(1 << 60)  # below all groups
-    grouped = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                          F.coalesce(F.shiftright("doc_id", GROUP_BITS), F.lit(nulls)).alias("group"))
-    groups = grouped.groupBy("group").agg(F.max("doc_id").alias("first"))
-    order = before(groups.select("group"), "group")
-    # The first text of each group, for the group above; the topmost for the lowest.
-    firsts = (grouped.withColumnRenamed("group", "at").join(groups, F.expr("at = group AND doc_id <=> first"))
-              .groupBy("at").agg(F.max("text").alias("first_text")))
-    top = groups.agg(F.max("group")).first()[0]
-    links = order.select("group", F.coalesce("before", F.lit(top)).alias("at")).join(firsts, "at").select("group", "first_text")
+    group = F.coalesce(F.shiftright("doc_id", GROUP_BITS), F.lit(nulls)).alias("group")
+    keys = docs.select(group).distinct()
+    top = keys.agg(F.max("group")).first()[0]
     down = W.partitionBy("group").orderBy(F.col("doc_id").desc(), F.col("text").desc())
-    return (grouped.withColumn("__next", F.lead("text").over(down)).join(links, "group")
-            .select("doc_id", "text", F.coalesce("__next", "first_text").alias("next_text")))
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), group).withColumns(
+        {"__next": F.lead("text").over(down), "__place": F.row_number().over(down)})
+    firsts = ordered.filter("__place = 1").select(F.col("group").alias("at"), F.col("text").alias("first_text"))
+    links = before(keys, "group").select("group", F.coalesce("before", F.lit(top)).alias("at"))
+    links = links.join(firsts, "at").select("group", "first_text")
+    return ordered.join(links, "group").select("doc_id", "text", F.coalesce("__next", "first_text").alias("next_text"))
 
 
 def edited(text: str, following: str) -> str:
