@@ -16,6 +16,7 @@ out, an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -29,8 +30,6 @@ from synthmill.llm.common import narrowed, slices, written
 
 CAPACITY = 1024
 END = 2
-#: Pieces in a group that is ranked by one task.
-RANKED_TOGETHER = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
@@ -228,7 +227,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # At most one row a length; the number of runs depends on the capacity, not on the documents.
     plan = spark.createDataFrame([(w, [tuple(x) for x in xs]) for w, xs in runs.items()],
                                  "length long, runs array<struct<first:long,n:long,sequence:long,offset:long>>")
-    groups = max(1, sum(counts.values()) // RANKED_TOGETHER)
+    groups = math.isqrt(sum(counts.values())) + 1  # as many groups as pieces in a group, should all have one length
     keyed = cut.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     before = W.partitionBy("length").orderBy("__group").rowsBetween(W.unboundedPreceding, -1)
     sizes = keyed.groupBy("length", "__group").agg(F.count("*").alias("__n"))
