@@ -148,7 +148,7 @@ class Tree:
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the column ``edits`` from rows (doc_id, seq, start, length, insert)."""
     lists = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.expr(
-        "struct(int(seq) AS seq, long(start) AS start, long(length) AS length, insert)"))).alias("edits"))
+        "struct(int(seq) AS seq, bigint(start) AS start, bigint(length) AS length, insert)"))).alias("edits"))
     return docs.drop("edits").join(lists.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
 
 

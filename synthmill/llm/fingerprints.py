@@ -193,5 +193,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def likeness(left: str, right: str) -> Column:
     """Containment of one ``chunks`` column in another, as an expression."""
     return F.expr(f"""CASE WHEN size({left}) = 0 THEN if(size({right}) = 0, 1.0D, 0.0D) ELSE
-        aggregate({left}, 0L, (a, x) -> a + least(x.bytes, coalesce(filter({right}, y -> y.digest = x.digest)[0].bytes, 0L)))
-        / aggregate({left}, 0L, (a, x) -> a + x.bytes) END""")
+        aggregate({left}, 0L, (sum, part) -> sum + least(part.bytes, coalesce(get(filter({right}, other -> other.digest = part.digest), 0).bytes, 0L)))
+        / aggregate({left}, 0L, (sum, part) -> sum + part.bytes) END""")
