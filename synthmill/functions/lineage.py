@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from synthmill.functions.scratch import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the session's shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        # Only a session without a shared folder, such as a local test, falls back to a new one.
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

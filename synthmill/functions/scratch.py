@@ -1,4 +1,4 @@
-"""A fresh folder for intermediate output, in the shared storage of the session."""
+"""Folders for intermediate output, in the shared storage of the session."""
 
 from __future__ import annotations
 
@@ -7,9 +7,23 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, one is chosen and set: below the warehouse, which driver and executors of a cluster share; a
+    session that is one process, as in tests, uses its own temporary folder.
+    """
+    shared = spark.conf.get(SETTING, None)
+    if not shared:
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        shared = tempfile.mkdtemp(prefix="synthmill-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        spark.conf.set(SETTING, shared)
+    return shared.rstrip("/")
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New path below ``spark.checkpoint.dir``; only a session without one, as in tests, uses a local folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="synthmill-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """New path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
