@@ -19,18 +19,14 @@ BANK_COLUMNS = ("id", "category_id", "key_name", "value", "use_count", "last_use
 IDENTITY = ["category_id", "key_name", "value"]
 UNCATEGORIZED = "uncategorized"
 
-# Limits of the listings.
-SUGGEST_LIMIT = 100
-RECENT_LIMIT = 200
-PAGE_LIMIT = 500
-VALUES_PER_KEY = 500
-KEYS_LIMIT = 100
-SNAPSHOT_LIMIT = 200_000
+# Fixed value: the longest age of a clear request.
 MAX_CLEAR_DAYS = 36_500
+#: Values of a key that a generation plan carries unless the caller says otherwise: they are literals of the plan.
+VALUES_PER_KEY = 500
 
 
-def bound(value: int, low: int, high: int) -> int:
-    return max(low, min(int(value), high))
+def at_least_one(limit: int) -> int:
+    return max(1, int(limit))
 
 
 def category_name(name: Column) -> Column:
@@ -118,7 +114,7 @@ def suggest(bank: DataFrame, *, category: str | None = None, key: str | None = N
         out = out.where(F.lower("key_name") == key.strip().lower())
     if (prefix or "").strip():
         out = out.where(F.startswith(F.lower("value"), F.lit(prefix.strip().lower())))
-    return out.orderBy(F.desc("use_count"), F.desc("last_used_at"), "id").limit(bound(limit, 1, SUGGEST_LIMIT))
+    return out.orderBy(F.desc("use_count"), F.desc("last_used_at"), "id").limit(at_least_one(limit))
 
 
 def _newest(bank: DataFrame) -> DataFrame:
@@ -127,7 +123,7 @@ def _newest(bank: DataFrame) -> DataFrame:
 
 def recent(bank: DataFrame, categories: DataFrame, limit: int = 50) -> DataFrame:
     """Newest entries; the category name is looked up for the listed rows only."""
-    return with_category(_newest(bank).limit(bound(limit, 1, RECENT_LIMIT)), categories)
+    return with_category(_newest(bank).limit(at_least_one(limit)), categories)
 
 
 def matches(text: str) -> Column:
@@ -146,7 +142,7 @@ def page(bank: DataFrame, categories: DataFrame, offset: int = 0, limit: int = 1
          text: str = "") -> tuple[DataFrame, DataFrame]:
     """(page of entries, one-row total).  A page past the end is empty."""
     found = search(bank, categories, text)
-    size = bound(limit, 1, PAGE_LIMIT)
+    size = at_least_one(limit)
     items = _newest(found).offset(max(0, int(offset))).limit(size)
     return items, found.agg(F.count("*").alias("total"))
 
@@ -172,19 +168,16 @@ def values_for_keys(bank: DataFrame, keys: Sequence[str], limit: int = VALUES_PE
     """Values of several keys in key order; a value counts where it occurs first."""
     wanted = list(dict.fromkeys(k.strip().lower() for k in keys if k.strip()))
     position = F.array_position(F.lit(wanted), F.col("key"))
-    ranked = _ranked(bank.where(F.lower("key_name").isin(wanted)), VALUES_PER_KEY)
+    ranked = _ranked(bank.where(F.lower("key_name").isin(wanted)), limit)
     place = F.struct(position.alias("key_pos"), F.col("rank"))
     return (ranked.groupBy("value").agg(F.min(place).alias("place"))
             .orderBy("place").limit(limit).select("value", "place.key_pos", "place.rank"))
 
 
-def bank_for_fields(bank: DataFrame, schema: Schema) -> dict[str, list[str]]:
-    """Ranked values of every read key of the schema, for the driver-side compile.
-
-    Bounded: at most 500 values for each key the schema names.
-    """
+def bank_for_fields(bank: DataFrame, schema: Schema, limit: int = VALUES_PER_KEY) -> dict[str, list[str]]:
+    """The best ``limit`` values of every read key of the schema, for the driver-side compile."""
     keys = sorted({k.lower() for path, f in schema.leaves() for k in f.read_keys(path)})
-    rows = values_for_key(bank.where(F.lower("key_name").isin(keys))).collect()
+    rows = values_for_key(bank.where(F.lower("key_name").isin(keys)), limit).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["key"], r["rank"])):
         out.setdefault(r["key"], []).append(r["value"])
@@ -200,12 +193,12 @@ def keys(bank: DataFrame, prefix: str, limit: int = 30) -> DataFrame:
         F.struct(F.lit(1).alias("pos"), F.substring_index("key_name", ".", -1).alias("name")))).alias("k"))
     return (both.select("k.*").where(F.startswith(F.lower("name"), F.lit(low)))
             .groupBy("name").agg(F.min("pos").alias("pos"))
-            .orderBy("pos", "name").limit(bound(limit, 1, KEYS_LIMIT)).select("name"))
+            .orderBy("pos", "name").limit(at_least_one(limit)).select("name"))
 
 
 def top_keys(bank: DataFrame, limit: int = 30) -> DataFrame:
     return (bank.groupBy("key_name").agg(F.sum("use_count").alias("uses"))
-            .orderBy(F.desc("uses"), "key_name").limit(bound(limit, 1, KEYS_LIMIT)))
+            .orderBy(F.desc("uses"), "key_name").limit(at_least_one(limit)))
 
 
 # -- deleting -----------------------------------------------------------------------------
@@ -293,9 +286,11 @@ def _recent_enough(bank: DataFrame, rows: int) -> DataFrame:
     return bank if oldest is None else bank.where(F.col("last_used_at") >= F.lit(oldest))
 
 
-def snapshot(bank: DataFrame, categories: DataFrame, limit: int = 50_000) -> DataFrame:
-    """Newest entries with their category, for transfer to another bank."""
-    limit = bound(limit, 1, SNAPSHOT_LIMIT)
+def snapshot(bank: DataFrame, categories: DataFrame, limit: int | None = None) -> DataFrame:
+    """All entries, or the newest ``limit``, with their category, for transfer to another bank."""
+    if limit is None:
+        return with_category(bank, categories)
+    limit = at_least_one(limit)
     return with_category(_newest(_recent_enough(bank, limit)).limit(limit), categories)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,26 +19,37 @@ class SchemaPlan:
     """A schema compiled for one seed.
 
     ``bank`` maps read key (lower case) to the ranked values of that key; leave it empty for
-    output that depends on schema and seed only.  ``n`` bounds the row ids from above, when that is
-    known; it decides which of several unique forms is roomy enough.
+    output that depends on schema and seed only.  A row depends on its id, never on the number of
+    rows.  Unique leaves with one write key and one form of values share those values out among them.
     ``scope`` keeps the draws of several schemas of one run apart.
     """
 
     def __init__(self, schema: Schema, seed: int, bank: Mapping[str, Sequence[str]] | None = None,
-                 n: int | None = None, order: str = "intent", scope: str = ""):
-        self.schema, self.seed, self.n, self.order = schema, seed & 0xFFFFFFFF, n, order
+                 order: str = "intent", scope: str = ""):
+        self.schema, self.seed, self.order = schema, seed & 0xFFFFFFFF, order
         self.scope = f"{scope}:" if scope else ""
         self.bank = {k.lower(): v for k, v in (bank or {}).items()}
         self.tied = {p.lower() for p in schema.tied_paths}
         self._leaves: dict[str, LeafPlan] = {}
 
-    def leaf(self, field: Field, path: str, depth: int = 0) -> LeafPlan:
+    def leaf(self, field: Field, path: str) -> LeafPlan:
         if path not in self._leaves:
             values = [v for key in field.read_keys(path) for v in self.bank.get(key.lower(), ())]
-            n = None if self.n is None else self.n * ARRAY_SLOTS ** depth
-            self._leaves[path] = LeafPlan(field, self.scope + path, self.seed, values, n, self.order)
+            self._leaves[path] = LeafPlan(field, self.scope + path, self.seed, values, self.order, self._sharing.get(path))
         return self._leaves[path]
 
+    @cached_property
+    def _sharing(self) -> dict[str, tuple[str, int, int]]:
+        """(key, place, number) of the unique leaves that share their values."""
+        groups: dict[tuple, list[str]] = {}
+        for path, f in self.schema.leaves():
+            if f.unique and not f.enum and path.lower() not in self.tied:
+                values = [v for key in f.read_keys(path) for v in self.bank.get(key.lower(), ())]
+                space = LeafPlan(f, self.scope + path, self.seed, values, self.order).unique_space
+                groups.setdefault((f.write_key(path).lower(), repr(space)), []).append(path)
+        return {path: (f"{self.scope}key:{key}", i, len(paths)) for (key, _), paths in groups.items() if len(paths) > 1
+                for i, path in enumerate(paths)}
+
     def columns(self, row: Column) -> list[Column]:
         at = Address(d.long(row), (), d.long(row))
         return [self._column(f, "", at).alias(f.name) for f in self.schema.root]
@@ -49,7 +61,7 @@ class SchemaPlan:
         if not f.is_leaf:
             return F.struct(*[self._column(c, path, at).alias(c.name) for c in f.children]) \
                 if f.children else F.lit(None).cast("string")
-        plan = self.leaf(f, path, len(at.idx))
+        plan = self.leaf(f, path)
         if path.lower() in self.tied:
             fixed = plan.tied_value()
             if fixed is not None:
@@ -93,7 +105,7 @@ class SchemaPlan:
     def _stats(self, f: Field, prefix: str, at: Address) -> dict[str, Column]:
         path = f"{prefix}.{f.name}" if prefix else f.name
         if f.is_leaf and f.kind != ARRAY:
-            return self.leaf(f, path, len(at.idx)).compile(at, with_stats=True).stats
+            return self.leaf(f, path).compile(at, with_stats=True).stats
         totals = {name: F.lit(0) for name in STAT_NAMES}
         places = [(at, None)]
         if f.kind == ARRAY:
@@ -111,27 +123,25 @@ def generate(spark: SparkSession, schema: Schema, n: int, seed: int,
     """``n`` records (at least one) of the schema; any partitioning gives the same rows."""
     tune(spark)
     n = max(int(n or 1), 1)
-    plan = SchemaPlan(schema, seed, bank, n, order)
+    plan = SchemaPlan(schema, seed, bank, order)
     return spark.range(n).select(*plan.columns(F.col("id")))
 
 
 def generate_for(rows: DataFrame, row_id: str, schema: Schema, seed: int, *, keep: Sequence[str] = (),
-                 bank: Mapping[str, Sequence[str]] | None = None, n: int | None = None,
-                 order: str = "intent") -> DataFrame:
+                 bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent") -> DataFrame:
     """One record per row of ``rows``, addressed by its whole-number id; ``keep`` passes columns through.
 
     Unique leaves need distinct ids; an id beyond a leaf's capacity gets the exhaustion value.
     """
     tune(rows.sparkSession)
-    plan = SchemaPlan(schema, seed, bank, n, order)
+    plan = SchemaPlan(schema, seed, bank, order)
     return rows.select(*keep, *plan.columns(F.col(row_id)))
 
 
 def generation_counts(rows: DataFrame, row_id: str, schema: Schema, seed: int, *,
-                      bank: Mapping[str, Sequence[str]] | None = None, n: int | None = None,
-                      order: str = "intent") -> DataFrame:
+                      bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent") -> DataFrame:
     """One row of run counters, summed map-side from the same draws as the records."""
     tune(rows.sparkSession)
-    plan = SchemaPlan(schema, seed, bank, n, order)
+    plan = SchemaPlan(schema, seed, bank, order)
     per_row = rows.select(*plan.stat_columns(F.col(row_id)))
     return per_row.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STAT_NAMES])

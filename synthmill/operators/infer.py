@@ -18,7 +18,6 @@ from synthmill.functions.text import is_scalar, scalar_text
 from synthmill.schema import ARRAY, OBJECT, VALUE, Field, Schema
 
 EACH = "[]"
-VALUES_PER_PATH = 200
 MAX_DEPTH = 8
 
 # Names that mark a key column.
@@ -105,8 +104,8 @@ def normalize(df: DataFrame, column: str, pos: str) -> DataFrame:
     return rows.select(pos, "at", "value.*") if isinstance(dtype.elementType, T.StructType) else rows
 
 
-def harvest_values(rows: DataFrame, by: Sequence[str] = (), cap: int | None = VALUES_PER_PATH) -> DataFrame:
-    """(path, rank, value): distinct trimmed values per path in first-seen order, up to ``cap``.
+def harvest_values(rows: DataFrame, by: Sequence[str] = (), cap: int | None = None) -> DataFrame:
+    """Distinct trimmed values per path: all of them, as (path, value, seen), or the first ``cap``, as (path, rank, value).
 
     Repeats are combined before the first shuffle and the cap is applied in every task before
     the second, so a path that holds most values costs no more than any other.
@@ -121,9 +120,10 @@ def harvest_values(rows: DataFrame, by: Sequence[str] = (), cap: int | None = VA
     return ranked.where(F.col("rank") <= cap)
 
 
-def scan_counts(df: DataFrame, cap: int = 500) -> DataFrame:
+def scan_counts(df: DataFrame) -> DataFrame:
+    """Records of a frame and how many of them inference reads: all."""
     n = F.count("*")
-    return df.agg(n.alias("records"), F.least(n, F.lit(cap)).cast("long").alias("scanned"))
+    return df.agg(n.alias("records"), n.alias("scanned"))
 
 
 def merge_shapes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

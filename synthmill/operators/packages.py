@@ -105,7 +105,7 @@ def variant_rows(spark: SparkSession, members: Sequence[Member], n: int, seed: i
     records, types = [F.col("__id")], []
     for i, m in enumerate(members):
         schema = m.schema.with_modes(modes.get(m.path) or modes.get(m.path.lower()), default)
-        columns = SchemaPlan(schema, seed, bank, n, scope=m.path).columns(F.col("__id"))
+        columns = SchemaPlan(schema, seed, bank, scope=m.path).columns(F.col("__id"))
         records.append(F.struct(*columns).alias(f"m{i}"))
         types.append(m)
     made = base.select(*records)

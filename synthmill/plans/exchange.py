@@ -399,12 +399,10 @@ def _drained(stream: DataFrame, spark, name: str) -> DataFrame:
 
 @query("t1_generate_stream", f"SELECT event_id, {permuted('event_id', 400_000_001, SEED, 'code')} + 800000000 AS code, {Leaf(SEED, 'pct', 'event_id').below('number', 21)} - 5 AS pct FROM events")
 def t1(spark, sf_dir):
-    from synthmill.operators.generate import SchemaPlan
     from synthmill.schema import Field, Schema
     schema = Schema("s", [Field("code", sample="1000000000", is_unique=True), Field("pct", sample="5")])
-    plan = SchemaPlan(schema, SEED)
-    wide = stream_events(spark, sf_dir).select("event_id", *plan.columns(F.col("event_id")))
-    return _drained(wide, spark, "generated")
+    made = J.generate_stream(spark, schema, SEED, rows=stream_events(spark, sf_dir), row="event_id", keep=())
+    return _drained(made, spark, "generated").withColumnRenamed("row", "event_id")
 
 
 @query("t2_bank_stream", f"WITH {_BANK} SELECT id, key_name, value, use_count, strftime(last_used_at, '{_T}') AS last_used_at FROM bank")

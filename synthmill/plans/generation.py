@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from synthmill.functions.draws import ALNUM, LOWER, UPPER
 from synthmill.operators.bank import bank_for_fields
 from synthmill.plans.banking import bank_from_events
-from synthmill.operators.generate import generate_for
+from synthmill.operators.generate import generate, generate_for
 from synthmill.operators.leaves import EMAIL_DOMAINS, YEAR_MS, epoch_ms
 from synthmill.plans import duck
 from synthmill.plans.duck import Leaf, permuted
@@ -24,12 +24,12 @@ def _leaf(path: str = "v", row: str = KEY, *idx: str) -> Leaf:
     return Leaf(SEED, path, row, *idx)
 
 
-def leaf_query(name: str, field: Field, sql: str, n: int | None = None) -> None:
+def leaf_query(name: str, field: Field, sql: str) -> None:
     """One leaf generated for every order."""
 
     @query(name, f"SELECT o_orderkey, {sql} AS v FROM orders")
     def run(spark, sf_dir):
-        return generate_for(table(spark, sf_dir, "orders"), KEY, Schema("leaf", [field]), SEED, keep=[KEY], n=n)
+        return generate_for(table(spark, sf_dir, "orders"), KEY, Schema("leaf", [field]), SEED, keep=[KEY])
 
 
 v = _leaf()
@@ -109,7 +109,7 @@ def _unique_code(ordinal: str, path: str) -> str:
         f"({duck.spell(f'({c} % {26 ** 3})', UPPER, 3)} || '-' || {duck.spell(f'({c} // {26 ** 3})', duck.DIGITS, 5)})"))
 
 
-leaf_query("l23_unique", Field("v", sample="ORD-10042", is_unique=True), _unique_code(KEY, "v"), n=10 ** 9)
+leaf_query("l23_unique", Field("v", sample="ORD-10042", is_unique=True), _unique_code(KEY, "v"))
 _WIDE = 26 ** 3 * 10 ** 12
 
 
@@ -117,7 +117,34 @@ _WIDE = 26 ** 3 * 10 ** 12
     f"({duck.spell(f'({c} % {26 ** 3})', UPPER, 3)} || {duck.spell(f'({c} // {26 ** 3})', duck.DIGITS, 12)})"))} AS v FROM orders""")
 def unique_wide(spark, sf_dir):
     return generate_for(table(spark, sf_dir, "orders"), KEY,
-                        Schema("leaf", [Field("v", sample="REF000000000001", is_unique=True)]), SEED, keep=[KEY], n=10 ** 9)
+                        Schema("leaf", [Field("v", sample="REF000000000001", is_unique=True)]), SEED, keep=[KEY])
+
+
+_BILLION = 400_000_001  # values around the sample 1000000000
+_UNIQUE_TRIES = "[" + ", ".join(f"({permuted(f'(o_orderkey * 24 + {k})', _BILLION, SEED, 'v')} + 800000000)" for k in range(24)) + "]"
+leaf_query("l23_unique_pattern", Field("v", sample="1000000000", is_unique=True, pattern="[37]$"), duck.let(
+    _UNIQUE_TRIES, lambda t: f"coalesce(list_filter({t}, lambda c: regexp_matches(c::VARCHAR, '[37]$'))[1], {t}[24])"))
+
+
+@query("l23_unique_pooled", f"""SELECT o_orderkey, {permuted('(o_orderkey * 2)', _BILLION, SEED, 'key:pool:codes')} + 800000000 AS a,
+  {permuted('(o_orderkey * 2 + 1)', _BILLION, SEED, 'key:pool:codes')} + 800000000 AS b FROM orders""")
+def unique_pooled(spark, sf_dir):
+    pooled = [Field(name, sample="1000000000", is_unique=True, pool="codes") for name in "ab"]
+    return generate_for(table(spark, sf_dir, "orders"), KEY, Schema("pooled", pooled), SEED, keep=[KEY])
+
+
+_SHAPES = ["Ab " + "1" * i for i in range(1, 14)] + ["no digits: " + "x" * 15 + " é"]
+
+
+def _of_shapes(purpose: str) -> str:
+    return f"CASE {v.below(f'{purpose}-pick', len(_SHAPES))} " + " ".join(
+        f"WHEN {i} THEN {v.fill(purpose, s)}" for i, s in enumerate(_SHAPES)) + " END"
+
+
+@query("l5_mutate_many_shapes", f"""SELECT o_orderkey, CASE WHEN {v.chance('source', .5)} THEN {v.pick('bank', _SHAPES)}
+   WHEN {v.chance('source', .55, 0, 1)} THEN {_of_shapes('mutate')} ELSE {_of_shapes('synth')} END AS v FROM orders""")
+def many_shapes(spark, sf_dir):
+    return generate_for(table(spark, sf_dir, "orders"), KEY, Schema("leaf", [Field("v")]), SEED, keep=[KEY], bank={"v": _SHAPES})
 
 
 _SPENT = f"({v.word('spent', LOWER, 6)} || '_' || ({v.below('spent', 999_000, 0, 1)} + 1000))"
@@ -173,7 +200,7 @@ _C = {p: _customer(p) for p in ("full_name", "email", "signup_date", "balance")}
 _CE = _C["email"]
 
 
-@query("g1_generate", f"""SELECT c_custkey,
+@query("g1_generate", f"""SELECT
   CASE WHEN c_custkey < 4001 THEN {permuted('c_custkey', 4001, SEED, 'customer_id')} + 8001
        ELSE greatest(0, least(4000000, {epoch_ms(SEED)}::BIGINT + {_customer('customer_id').below('spent', 10 ** 9)}) % 1000000000) END AS customer_id,
   {_mutated('Robin Vale', _C['full_name'])} AS full_name,
@@ -185,7 +212,8 @@ _CE = _C["email"]
   ({_C['balance'].below('number', 2001)} + 999) / 100.0::DOUBLE AS balance
 FROM customer""")
 def g1(spark, sf_dir):
-    return generate_for(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMER, SEED, keep=["c_custkey"])
+    # As many records as there are customers, whose keys are the row ids from 0 on.
+    return generate(spark, CUSTOMER, table(spark, sf_dir, "customer").count(), SEED)
 
 
 @query("g2_draw", f"SELECT event_id, {Leaf(SEED, 'g2', 'event_id').draw('draw', 3, 1)} AS bits FROM events")

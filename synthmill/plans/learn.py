@@ -17,13 +17,13 @@ _BANK_DDL = ("id string, category_id string, key_name string, value string, use_
 
 
 def learn(df: DataFrame, row: str, name: str, bank: DataFrame | None = None,
-          now: datetime | None = None) -> tuple[Schema, DataFrame]:
-    """(schema, bank) of a typed frame: its shape with first samples, and its values added to the bank."""
+          now: datetime | None = None, cap: int | None = None) -> tuple[Schema, DataFrame]:
+    """(schema, bank) of a typed frame: its shape with first samples, and its values (of each path, or its first ``cap``) added to the bank."""
     rows = I.leaves(df, row)
     schema = I.to_schema(I.schema_rows(rows), name)
     start = bank if bank is not None else df.sparkSession.createDataFrame([], _BANK_DDL)
-    at = F.lit((now or datetime(2024, 1, 1)).isoformat(sep=" ")).cast("timestamp_ntz")
-    return schema, B.record_ensure(start, learned_rows(I.harvest_values(rows)), at)
+    at = F.current_timestamp() if now is None else F.lit(now.isoformat(sep=" "))
+    return schema, B.record_ensure(start, learned_rows(I.harvest_values(rows, cap=cap)), at.cast("timestamp_ntz"))
 
 
 def twin(df: DataFrame, row: str, name: str, seed: int) -> DataFrame:

@@ -118,11 +118,11 @@ def n8_suffix(spark, sf_dir):
 
 @query("n8_collision_existing", f"""WITH p AS (SELECT o_orderkey AS id, {_CASED} AS path FROM orders),
  r AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY id) AS g FROM p),
- x AS (SELECT *, CASE WHEN lower(path) = 'hot.json' THEN CASE WHEN g < 10 THEN g + 1 ELSE g + 21 END ELSE g END AS n FROM r)
+ x AS (SELECT *, CASE WHEN lower(path) = 'hot.json' THEN CASE WHEN g < 10 THEN g + 1 ELSE g + 25 END ELSE g END AS n FROM r)
 SELECT id, CASE WHEN n = 1 THEN path ELSE path[:-6] || '_' || n || path[-5:] END AS path FROM x""")
 def n8_existing(spark, sf_dir):
-    # Files of an earlier run: the plain name and the numbers 11 to 30.
-    taken = table(spark, sf_dir, "nation").select("n_nationkey").where("n_nationkey < 21").select(
+    # Files of an earlier run: the plain name and the numbers 11 to 34.
+    taken = table(spark, sf_dir, "nation").select("n_nationkey").select(
         F.when(F.col("n_nationkey") == 0, "HOT.json").otherwise(
             F.concat(F.lit("Hot_"), (F.col("n_nationkey") + 10).cast("string"), F.lit(".json"))).alias("path"))
     return O.resolve_collisions(_plain_paths(table(spark, sf_dir, "orders")), "id", "path", "suffix", taken)
@@ -187,10 +187,10 @@ def m2(spark, sf_dir):
     return R.report_rates(counts_of_orders(spark, sf_dir)).select("history_hit_rate", "null_rate_pct")
 
 
-@query("m3_build_manifest", f"""WITH {_COUNTS} SELECT '{{"app":"synthmill","version":"1.0.0","createdAt":"2024-06-15T00:00:00Z","seed":{SEED},"ciMode":true,"recordCount":1000,"format":"csv","schemaName":"reported","schemaHash":"{REPORTED.hash()}","recordHistory":false,"report":{{'
+@query("m3_build_manifest", f"""WITH {_COUNTS} SELECT '{{"app":"synthmill","version":"1.0.0","createdAt":"2024-06-15T00:00:00Z","seed":{SEED},"ciMode":true,"recordCount":' || (SELECT count(*) FROM orders) || ',"format":"csv","schemaName":"reported","schemaHash":"{REPORTED.hash()}","recordHistory":false,"report":{{'
  || {" || ',' || ".join(f"'\"{n}\":' || {n}" for n in STAT_NAMES)} || '}}}}' AS manifest FROM counts""")
 def m3(spark, sf_dir):
-    return R.build_manifest(counts_of_orders(spark, sf_dir), REPORTED, seed=SEED, record_count=1000, ci_mode=True,
+    return R.build_manifest(counts_of_orders(spark, sf_dir), REPORTED, seed=SEED, record_count=table(spark, sf_dir, "orders").count(), ci_mode=True,
                             fmt="csv", created_at="2024-06-15T00:00:00Z")
 
 

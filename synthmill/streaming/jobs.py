@@ -12,11 +12,16 @@ from synthmill.schema import Schema
 from synthmill.session import tune
 
 
-def generate_stream(spark: SparkSession, schema: Schema, seed: int, rows_per_second: int = 1000, **source) -> DataFrame:
-    """Endless records; row ``i`` of the stream equals row ``i`` of a batch run with the same seed."""
+def generate_stream(spark: SparkSession, schema: Schema, seed: int, rows_per_second: int = 1000, *,
+                    rows: DataFrame | None = None, row: str = "value", keep: tuple[str, ...] = ("timestamp",), **source) -> DataFrame:
+    """Endless records; row ``i`` of the stream equals row ``i`` of a batch run with the same seed.
+
+    Rows come from a clock, or from a stream ``rows`` with whole-number ids in ``row``; ``keep`` passes columns through.
+    """
     tune(spark)
-    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).options(**source).load()
-    return rate.select("timestamp", F.col("value").alias("row"), *SchemaPlan(schema, seed).columns(F.col("value")))
+    if rows is None:
+        rows = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).options(**source).load()
+    return rows.select(*keep, F.col(row).alias("row"), *SchemaPlan(schema, seed).columns(F.col(row)))
 
 
 def _committed(spark: SparkSession, folder: str, before: int) -> int | None:

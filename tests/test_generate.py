@@ -33,13 +33,13 @@ def rows(df):
 @pytest.mark.parametrize("schema", [FLAT, ORDER, INVOICE], ids=lambda s: s.name)
 def test_partitioning_does_not_change_the_result(spark, schema):
     def run(parts):
-        return rows(generate_for(spark.range(0, 300, 1, parts), "id", schema, 5, keep=["id"], n=300))
+        return rows(generate_for(spark.range(0, 300, 1, parts), "id", schema, 5, keep=["id"]))
     assert run(1) == run(7) == run(64)
 
 
 def test_single_rows_can_be_replayed(spark):
-    whole = {r["id"]: r for r in generate_for(spark.range(200), "id", ORDER, 5, keep=["id"], n=200).collect()}
-    some = generate_for(spark.range(50, 60), "id", ORDER, 5, keep=["id"], n=200).collect()
+    whole = {r["id"]: r for r in generate_for(spark.range(200), "id", ORDER, 5, keep=["id"]).collect()}
+    some = generate_for(spark.range(50, 60), "id", ORDER, 5, keep=["id"]).collect()
     assert all(whole[r["id"]] == r for r in some)
 
 
@@ -128,13 +128,13 @@ def test_exhaustion_is_counted(spark):
 
 
 def test_report_adds_up(spark):
-    c = generation_counts(spark.range(500), "id", ORDER, 5, n=500).first()
+    c = generation_counts(spark.range(500), "id", ORDER, 5).first()
     used = c["history_hits"] + c["enum_hits"] + c["synthesized"] + c["mutated_from_sample"]
     assert used == c["leaf_values"] - c["null_values"] and c["null_values"] > 0
 
 
 def test_replay_from_a_manifest(spark):
-    report = generation_counts(spark.range(40), "id", FLAT, 77, n=40)
+    report = generation_counts(spark.range(40), "id", FLAT, 77)
     text = build_manifest(report, FLAT, seed=77, record_count=40, ci_mode=True, fmt="csv", created_at="2024-01-01T00:00:00Z").first()[0]
     assert rows(generate(spark, FLAT, **replay_arguments(text))) == rows(generate(spark, FLAT, 40, 77))
 
@@ -203,3 +203,49 @@ def test_draw_hash_is_stable(spark):
     bits = spark.range(20000).select(draws.draw(key, F.col("id")).alias("b"))
     share = bits.select(F.avg(draws.chance(F.col("b"), .25).cast("int"))).first()[0]
     assert abs(share - .25) < .02
+
+
+def test_rows_do_not_depend_on_their_number(spark):
+    schema = Schema("s", [
+        Field("code", sample="ab12", is_unique=True), Field("order", sample="ORD-10042", is_unique=True),
+        Field("starts", sample="AB12", is_unique=True, pattern="^[AB]"), Field("many"),
+        Field("one", sample="AB 123", is_unique=True, pool="p"), Field("two", sample="AB 123", is_unique=True, pool="p")])
+    bank = {"many": ["Ab " + "1" * i for i in range(1, 15)]}
+    head = rows(generate(spark, schema, 100, 3, bank=bank))
+    assert rows(generate(spark, schema, 3000, 3, bank=bank).limit(100)) == head
+    far = generate_for(spark.range(100), "id", schema, 3, bank=bank)
+    assert rows(far) == head
+
+
+def test_a_unique_leaf_tries_for_its_pattern_at_any_size(spark):
+    schema = Schema("s", [Field("v", sample="ABC1234567", is_unique=True, pattern="^[A-C]")])
+    made = [r.v for r in generate(spark, schema, 2000, 5).collect()]
+    assert len(set(made)) == 2000
+    assert sum(v[0] in "ABC" for v in made) > 1300
+
+
+def test_pooled_unique_leaves_never_repeat_each_other(spark):
+    fields = [Field(n, sample="AB 123", is_unique=True, pool="p") for n in ("a", "b", "c")]
+    for seed in (1, 9):
+        made = generate(spark, Schema("s", fields), 50_000, seed).collect()
+        assert len({v for r in made for v in r}) == 150_000
+
+
+def test_templates_read_at_run_time_give_the_same_values(spark, monkeypatch):
+    from synthmill.operators import leaves
+    schema = Schema("s", [Field("v")])
+    bank = {"v": ["Ab 12", "cd-345 Xyz", "é 7", "0123456789012345678901234567890", "abcdefghijklmnopqrstuvwxyz"]}
+    spelled = rows(generate(spark, schema, 500, 4, bank=bank))
+    monkeypatch.setattr(leaves, "MAX_SHAPES", 0)
+    assert rows(generate(spark, schema, 500, 4, bank=bank)) == spelled
+
+
+def test_stream_of_unique_rows_equals_the_batch(spark, tmp_path):
+    from synthmill.streaming.jobs import generate_stream
+    schema = Schema("s", [Field("code", sample="ab12", is_unique=True), Field("starts", sample="AB12", is_unique=True, pattern="^[AB]")])
+    spark.range(300).write.parquet(str(tmp_path / "ids"))
+    ids = spark.readStream.schema("id long").parquet(str(tmp_path / "ids"))
+    out = generate_stream(spark, schema, 8, rows=ids, row="id", keep=())
+    out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("row").drop("row")
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in generate(spark, schema, 300, 8).collect()]
