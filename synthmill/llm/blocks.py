@@ -1,6 +1,6 @@
 """Which keys of a block does another block have too?  Asked and answered in arrays, without a row per key.
 
-A block is a bounded share of the documents, chosen by a hash of the document's key.  Each block sends every distinct key
+A block is a bounded share of the documents, chosen by hash.  Each block sends every distinct key
 once, with its count in the block, to the part of the key space that owns it; a part adds the counts up and tells each
 block which of its keys reach two.  However many documents have a key, a part hears of it once per block.
 
@@ -10,20 +10,39 @@ shared that is not, which the operators must (and do) allow for.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from synthmill.llm.common import written
+
+#: Bytes of text in a block, the unit that is routed between stages.
+BLOCK_BYTES = 4 << 20
+#: Copies of a text that may share a block whatever the number of rows; most texts whose copies are spread.
+FEW_COPIES, MOST_SPREAD = 64, 1_000_000
+
 ASKED = "part int, block int, keys array<int>, counts array<int>"
 TOLD = "block int, part int, keys array<int>, totals array<int>"
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def in_blocks(docs: DataFrame, key: str, blocks: int) -> DataFrame:
-    """``docs`` with their ``block``."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+def in_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """``docs`` with their ``block``, and the number of blocks, each of about BLOCK_BYTES.
+
+    Copies of a text share a block, where they count once, unless they are very many: those are spread by key, and count
+    once per block.  The texts to be spread are at most MOST_SPREAD, as each has more than that share of the rows.
+    """
+    text_hash = F.xxhash64(F.coalesce(text, F.lit("")))
+    total, rows = docs.agg(F.sum(F.octet_length(text).cast("long")), F.count("*")).first()
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // BLOCK_BYTES))
+    many = max(FEW_COPIES, rows // MOST_SPREAD)
+    spread = docs.groupBy(text_hash.alias("__hash")).count().filter(F.col("count") > many).select("__hash")
+    spread = written(spread, "spread")
+    out = docs.join(F.broadcast(spread), text_hash == F.col("__hash"), "left")
+    by = F.when(F.col("__hash").isNull(), text_hash).otherwise(F.xxhash64(key))
+    return out.withColumn("block", F.pmod(by, F.lit(blocks)).cast("int")).drop("__hash"), blocks
 
 
 def codes(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -109,9 +128,3 @@ def first_of_texts(ids: Iterable[int | None], texts: Iterable[str | None]) -> tu
 
 def key_array(ids: Iterable[int | None]) -> np.ndarray:
     return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-
-
-def rows_of(columns: dict[str, np.ndarray], step: int = 200_000) -> Iterator[dict[str, np.ndarray]]:
-    n = len(next(iter(columns.values())))
-    for start in range(0, n, step):
-        yield {k: v[start:start + step] for k, v in columns.items()}

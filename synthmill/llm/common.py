@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from synthmill.functions.scratch import scratch
 
 #: Bytes of text a Python step handles at once.
 SLICE_BYTES = 4 << 20
-#: Bytes of text in a block, the unit that is routed between stages.
-BLOCK_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,23 +40,9 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[tuple[li
         yield ids[start:], texts[start:]
 
 
-def block_count(docs: DataFrame, text_col: str = "text") -> int:
-    """Blocks of about BLOCK_BYTES; never fewer than the session's shuffle partitions."""
-    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES), 1)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for files which driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return shared.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the session's shared folder, read again: lineage ends there and every use reads one result."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

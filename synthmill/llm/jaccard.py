@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from synthmill.llm.blocks import ASKED, asked, codes, in_blocks, key_array, looked_up, shared_keys, summed, told
-from synthmill.llm.common import as_bytes, block_count, narrowed, written
+from synthmill.llm.common import as_bytes, narrowed, written
 from synthmill.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -215,8 +215,7 @@ def shared_blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the size of its set, its component, and the number of documents that it links to."""
     texts = narrowed(docs, id_col, text_col)
-    blocks = block_count(texts)
-    texts = in_blocks(texts, "doc_id", blocks)
+    texts, blocks = in_blocks(texts, "doc_id", "text")
     answers = shared_keys(texts.groupBy("block").applyInArrow(ask(blocks), ASKED))
     rows = written(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(listed(blocks), SETS), "sets")
 
