@@ -112,6 +112,13 @@ def uuid4(key: int, row: Column, k: int | Column = 0, idx: Sequence[Column] = ()
     return uuid_from_hex(a, b)
 
 
+def name_uuid(key: int, row: Column) -> Column:
+    """As ``uuid4``, with the variant digit (8, 9, a or b) too, as names of files have it."""
+    value = uuid4(key, row)
+    variant = F.translate(F.substring(value, 20, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(value, 1, 19), variant, F.substring(value, 21, 16))
+
+
 def uuid_from_hex(a: Column, b: Column) -> Column:
     return F.concat(F.substring(a, 1, 8), F.lit("-"), F.substring(a, 9, 4), F.lit("-4"),
                     F.substring(a, 13, 3), F.lit("-"), F.substring(b, 1, 4), F.lit("-"),

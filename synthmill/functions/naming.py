@@ -188,7 +188,7 @@ def compile_name(naming: Naming, ctx: NameContext, row: Column,
         if body in ("ts", "timestamp"):
             return ms.cast("string")
         if body in ("uuid", "uuid8"):
-            value = d.uuid4(random("uuid", at), row)
+            value = d.name_uuid(random("uuid", at), row)
             return value if body == "uuid" else F.substring(value, 1, 8)
         return F.lit("")
 

@@ -61,13 +61,16 @@ def record_use(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     fresh = (_clean(rows).withColumn("used_at", used_at).groupBy(*IDENTITY)
              .agg(F.count("*").alias("use_count"), F.max("used_at").alias("last_used_at"),
                   F.min("used_at").alias("created_at")))
-    known = bank.select(*IDENTITY, "use_count", "last_used_at", "created_at", "id")
-    return (known.unionByName(fresh.withColumn("id", F.lit(None).cast("string")))
-            .groupBy(*IDENTITY)
-            .agg(F.sum("use_count").alias("use_count"), F.max("last_used_at").alias("last_used_at"),
-                 F.min("created_at").alias("created_at"), F.max("id").alias("id"))
-            .withColumn("id", F.coalesce("id", entry_id(*[F.col(c) for c in IDENTITY])))
-            .select(*BANK_COLUMNS))
+    own = entry_id(*[F.col(c) for c in IDENTITY])
+    known = bank.select(*IDENTITY, "use_count", "last_used_at", "created_at")
+    # Numbers and times only, so that Spark can hash; ids follow from what they identify, but for corrected entries.
+    merged = (known.unionByName(fresh).groupBy(*IDENTITY)
+              .agg(F.sum("use_count").alias("use_count"), F.max("last_used_at").alias("last_used_at"),
+                   F.min("created_at").alias("created_at")))
+    corrected = bank.where(F.col("id") != own).select(*IDENTITY, F.col("id").alias("kept"))
+    same = [merged[c].eqNullSafe(F.col(f"__{c}")) for c in IDENTITY]
+    renamed = corrected.select(*[F.col(c).alias(f"__{c}") for c in IDENTITY], "kept")
+    return merged.join(renamed, same, "left").withColumn("id", F.coalesce("kept", own)).select(*BANK_COLUMNS)
 
 
 def record_ensure(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:

@@ -164,4 +164,4 @@ TOKEN_TEXT = LOWER + DIGITS
 def uuid_text(leaf: Leaf, purpose: str) -> str:
     halves = ", ".join(f"lower(lpad(to_hex(({leaf.raw(purpose, 0, p)})::UBIGINT), 16, '0'))" for p in (0, 1))
     return let(f"[{halves}]", lambda h: (
-        f"({h}[1][1:8] || '-' || {h}[1][9:12] || '-4' || {h}[1][13:15] || '-' || {h}[2][1:4] || '-' || {h}[2][5:16])"))
+        f"({h}[1][1:8] || '-' || {h}[1][9:12] || '-4' || {h}[1][13:15] || '-' || translate({h}[2][1], '0123456789abcdef', '89ab89ab89ab89ab') || {h}[2][2:4] || '-' || {h}[2][5:16])"))
