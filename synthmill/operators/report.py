@@ -43,9 +43,15 @@ def manifest_path(output: str) -> str:
 
 
 def write_manifest(manifest: DataFrame, output: str) -> str:
-    """Write the manifest beside the output as a one-part text folder; returns its path."""
-    target = manifest_path(output)
-    manifest.select(F.col("manifest").alias("value")).coalesce(1).write.mode("overwrite").text(target)
+    """Write the one-row manifest beside the output, as one file of its file system; returns its path."""
+    target, spark = manifest_path(output), manifest.sparkSession
+    text = manifest.first()["manifest"]
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
     return target
 
 

@@ -219,14 +219,15 @@ def h20(spark, sf_dir):
     return show(B.correct(bank, edits, now()))
 
 
-@query("h21_prune_categories", f"WITH {_BANK} SELECT DISTINCT category_id AS id FROM bank WHERE last_used_at >= TIMESTAMP '2024-01-30 23:00:00'")
+@query("h21_prune_categories", f"""WITH {_BANK} SELECT DISTINCT category_id AS id FROM bank
+WHERE NOT (contains(lower(key_name), 'click') OR contains(lower(value), 'click') OR contains(lower(category_name), 'click'))""")
 def h21(spark, sf_dir):
     bank, categories = both(spark, sf_dir)
-    kept = B.clear(bank, "datetime", cutoff=datetime(2024, 1, 30, 23))
+    kept = B.delete_matching(bank, categories, "click")
     return B.prune_categories(categories, kept).select("id")
 
 
-@query("h22_snapshot", f"WITH {_BANK} SELECT {_COLS}, category_name FROM bank ORDER BY bank.last_used_at DESC, id DESC LIMIT 50000")
+@query("h22_snapshot", f"WITH {_BANK} SELECT {_COLS}, category_name FROM bank ")
 def h22(spark, sf_dir):
     return show(B.snapshot(*both(spark, sf_dir)), "category_name")
 
