@@ -171,7 +171,7 @@ def s12(spark, sf_dir):
     files = table(spark, sf_dir, "pages").select(
         "page_id", F.concat(F.lit("d/p."), F.when(k == 0, "png").when(k == 1, "HTML").otherwise("log")).alias("path"),
         F.when(k == 1, F.length("html") * 10000).otherwise(1).alias("size"))
-    return S.classify_files(files).select("page_id", "reason")
+    return S.classify_files(files, max_bytes=25 << 20).select("page_id", "reason")
 
 
 # -- sinks ----------------------------------------------------------------------------------------

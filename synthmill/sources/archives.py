@@ -12,11 +12,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from synthmill.sources.files import MAX_TEXT_BYTES, TEXT_NAME
+from synthmill.sources.files import TEXT_NAME
 
-# How deep archives are opened and how much of an entry is read as text.
-MAX_NEST_DEPTH = 6
-ENTRY_TEXT_BYTES = 2 * 1024 * 1024
+#: Archives within archives that are opened unless the caller says otherwise: a guard against archives that hold themselves.
+NEST_DEPTH = 64
 
 ENTRY_SCHEMA = ("path string, kind string, entry string, size bigint, is_directory boolean, content binary, "
                 "archive_path string, archive_format string, reason string")
@@ -67,15 +66,15 @@ def _strip(name: str) -> str:
     return re.sub(r"(?i)(\.tar\.gz|\.tgz|\.zip|\.tar)$", "", name) or "archive"
 
 
-def _expand(source: str, entry: str, data: bytes, depth: int) -> Iterator[tuple]:
+def _expand(source: str, entry: str, data: bytes, deeper: int, max_bytes: int | None) -> Iterator[tuple]:
     name = posixpath.basename(entry)
     fmt = archive_format(name)
     if fmt is None:
         reason = None if re.search(TEXT_NAME, name) else "not a text file"
-        reason = reason or ("too large" if len(data) > MAX_TEXT_BYTES else None)
+        reason = reason or ("too large" if max_bytes is not None and len(data) > max_bytes else None)
         yield (source, "skipped" if reason else "file", entry, len(data), False, None if reason else data, None, None, reason)
         return
-    if depth > MAX_NEST_DEPTH:
+    if deeper < 0:
         yield (source, "skipped", entry, len(data), False, None, None, None, "nested too deep")
         return
     folder = posixpath.join(posixpath.dirname(entry), _strip(name))
@@ -83,7 +82,7 @@ def _expand(source: str, entry: str, data: bytes, depth: int) -> Iterator[tuple]
     try:
         for inner, _, is_dir, read in iter_entries(data, fmt):
             if not is_dir:
-                yield from _expand(source, f"{folder}/{inner}", read(), depth + 1)
+                yield from _expand(source, f"{folder}/{inner}", read(), deeper - 1, max_bytes)
     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError) as e:
         yield (source, "skipped", entry, len(data), False, None, None, None, f"unreadable archive: {type(e).__name__}")
 
@@ -104,12 +103,14 @@ def _frames(rows: Iterator[tuple], columns: list[str], size: int = 256) -> Itera
 _COLUMNS = [c.strip().split()[0] for c in ENTRY_SCHEMA.split(",")]
 
 
-def expand_archives(files: DataFrame, package: str | None = None) -> DataFrame:
+def expand_archives(files: DataFrame, package: str | None = None, *, max_depth: int = NEST_DEPTH,
+                    max_bytes: int | None = None) -> DataFrame:
     """Entries of archive files (path, content), nested archives opened in place.
 
     ``kind`` is ``file``, ``nested`` (the folder that stands for an inner archive) or ``skipped`` (with a
     reason).  Each archive is read by the task that holds it; nothing is shuffled.  With ``package`` the
     files are the contents of one folder of that name, and archives among them count as inner ones.
+    Archives nested deeper than ``max_depth``, and texts above ``max_bytes`` if given, are skipped with that reason.
     """
 
     def run(batches):
@@ -117,16 +118,16 @@ def expand_archives(files: DataFrame, package: str | None = None) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 fmt = archive_format(path)
                 if package is not None:
-                    yield from _frames(_expand(package, clean_entry(path), content, 0), _COLUMNS)
+                    yield from _frames(_expand(package, clean_entry(path), content, max_depth, max_bytes), _COLUMNS)
                     continue
                 if fmt is None:
-                    yield from _frames(_expand(path, posixpath.basename(path), content, 0), _COLUMNS)
+                    yield from _frames(_expand(path, posixpath.basename(path), content, max_depth, max_bytes), _COLUMNS)
                     continue
                 def rows():
                     try:
                         for entry, _, is_dir, read in iter_entries(content, fmt):
                             if not is_dir:
-                                yield from _expand(path, entry, read(), 0)
+                                yield from _expand(path, entry, read(), max_depth, max_bytes)
                     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError) as e:
                         yield (path, "skipped", posixpath.basename(path), len(content), False, None, None, None,
                                f"unreadable archive: {type(e).__name__}")
@@ -157,13 +158,14 @@ def list_archive(files: DataFrame) -> DataFrame:
     return rows.select("path", "first.entry", "first.size", "is_directory")
 
 
-def read_entry(files: DataFrame, entry: str) -> DataFrame:
-    """One entry of each archive by case-insensitive path, as text up to 2 MiB; binary ones only flagged."""
+def read_entry(files: DataFrame, entry: str, max_bytes: int | None = None) -> DataFrame:
+    """One entry of each archive by case-insensitive path, as text (up to ``max_bytes``, if given); binary ones only flagged."""
     rows = _listing(files, clean_entry(entry).lower())
-    head = F.substring(F.col("content"), 1, ENTRY_TEXT_BYTES)
+    head = F.col("content") if max_bytes is None else F.substring(F.col("content"), 1, max_bytes)
+    cut = F.lit(False) if max_bytes is None else F.col("size") > max_bytes
     binary = F.contains(F.substring(F.col("content"), 1, 8000), F.lit(b"\x00"))
     texty = F.col("entry").rlike(TEXT_NAME)
     binary = binary | (~texty & (F.col("size") > 64 * 1024))
     return rows.select("path", "entry", "size", binary.alias("binary"),
-                       (~binary & (F.col("size") > ENTRY_TEXT_BYTES)).alias("truncated"),
+                       (~binary & cut).alias("truncated"),
                        F.when(~binary, F.decode(head, "UTF-8")).alias("content"))

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions a
 
 from synthmill.functions.kinds import trim
 
-# Size limit of a text member and the extensions that count as text.
-MAX_TEXT_BYTES = 25 * 1024 * 1024
+# Fixed value: the extensions that count as text.
 TEXT_NAME = (r"(?i)\.(json|ya?ml|xml|csv|txt|jsonl|ndjson|md|html?|log|tsv|ini|cfg|conf|properties)$")
 
 
@@ -77,10 +76,10 @@ def sniff_format(path: Column, text: Column) -> Column:
             .when(t.rlike(r"(?m)^[A-Za-z0-9_.-]+:\s") & ~F.contains(t, F.lit(",")), "yaml").otherwise(loose))
 
 
-def classify_files(files: DataFrame, size: str = "size") -> DataFrame:
-    """Add ``reason``: NULL for files to keep, else why a file is left out."""
-    return files.withColumn("reason", F.when(~base_name(F.col("path")).rlike(TEXT_NAME), "not a text file")
-                            .when(F.col(size) > MAX_TEXT_BYTES, "too large"))
+def classify_files(files: DataFrame, size: str = "size", max_bytes: int | None = None) -> DataFrame:
+    """Add ``reason``: NULL for files to keep, else why a file is left out; sizes count only if ``max_bytes`` is given."""
+    reason = F.when(~base_name(F.col("path")).rlike(TEXT_NAME), "not a text file")
+    return files.withColumn("reason", reason if max_bytes is None else reason.when(F.col(size) > max_bytes, "too large"))
 
 
 # -- documents of a mixed corpus -------------------------------------------------------------------
