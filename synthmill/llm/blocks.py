@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from synthmill.llm.common import written
 
-#: Bytes of text in a block, the unit that is routed between stages.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, the unit that is routed between stages, and the session option that sets another number.  A
+#: task holds a block, so this fits small executors; over many TB, blocks of 128 MB or more keep a block's keys for a part
+#: in arrays of some hundreds.
+BLOCK_BYTES, BLOCK_OPTION = 4 << 20, "spark.synthmill.blockBytes"
 #: Copies of a text that may share a block whatever the number of rows; most texts whose copies are spread.
 FEW_COPIES, MOST_SPREAD = 64, 1_000_000
 
@@ -29,14 +31,16 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def in_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """``docs`` with their ``block``, and the number of blocks, each of about BLOCK_BYTES.
+    """``docs`` with their ``block``, and the number of blocks, at least the session's shuffle partitions.
 
     Copies of a text share a block, where they count once, unless they are very many: those are spread by key, and count
     once per block.  The texts to be spread are at most MOST_SPREAD, as each has more than that share of the rows.
     """
     text_hash = F.xxhash64(F.coalesce(text, F.lit("")))
     total, rows = docs.agg(F.sum(F.octet_length(text).cast("long")), F.count("*")).first()
-    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // BLOCK_BYTES))
+    conf = docs.sparkSession.conf
+    size = int(conf.get(BLOCK_OPTION, str(BLOCK_BYTES)))
+    blocks = max(int(conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // size))
     many = max(FEW_COPIES, rows // MOST_SPREAD)
     spread = docs.groupBy(text_hash.alias("__hash")).count().filter(F.col("count") > many).select("__hash")
     spread = written(spread, "spread")

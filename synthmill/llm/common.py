@@ -26,18 +26,27 @@ def as_bytes(texts: Iterable[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in texts]
 
 
+def rows_of(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
+    """The rows of a batch; only some at a time become Python values."""
+    for start in range(0, batch.num_rows, rows):
+        yield from zip(*(c.to_pylist() for c in batch.slice(start, rows).columns), strict=True)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[str | None]]]:
     """Ids and texts of a batch of (doc_id, text), in runs of about ``limit`` characters; a longer text is a run of its own."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 64
+    ids: list = []
+    texts: list[str | None] = []
+    size = 0
+    for key, text in rows_of(batch):
+        n = len(text or "") + 64
         if size and size + n > limit:
-            yield ids[start:i], texts[start:i]
-            start, size = i, 0
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(key)
+        texts.append(text)
         size += n
-    if start < len(texts):
-        yield ids[start:], texts[start:]
+    if texts:
+        yield ids, texts
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from synthmill.llm.common import narrowed
+from synthmill.llm.common import narrowed, rows_of
 
 #: Sizes in bytes; the least is also the memory of the 32-bit gear hash.
 LEAST, NORMAL, MOST = 32, 64, 256
@@ -157,7 +157,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         kept_text, kept = None, {}
         for batch in batches:
             rows, size = [], 0
-            for doc, text, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, following in rows_of(batch):
                 own = kept if text == kept_text else fingerprint(text.encode())
                 kept_text, kept = following, fingerprint(following.encode())  # mostly the next row's own
                 other = edited(text, following)

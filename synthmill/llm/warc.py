@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from synthmill.llm.common import rows_of
+
 #: Payloads below this many bytes are never revisits.
 LEAST_SHARED = 100
 SEGMENT_BYTES = 16 << 10
@@ -115,8 +117,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         for batch in batches:
             out: list[bytes] = []
             size = 0
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page, url, html, refers_to, revisit = row
+            for page, url, html, refers_to, revisit in rows_of(batch):
                 for record in page_records(page, url, html.encode(), refers_to, revisit, segment):
                     out.append(record)
                     size += len(record)
