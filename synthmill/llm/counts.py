@@ -164,9 +164,8 @@ def edited_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             known = enc.known
             try:
                 return [known[p][1] for p in pieces]
-            except KeyError:
-                enc.learn(list({p for p in pieces if p not in known}))
-                return [enc.known[p][1] if p in enc.known else enc.lone(p) for p in pieces]
+            except KeyError:  # an edit has made a new piece or two: not worth a batch
+                return [known[p][1] if p in known else enc.lone(p) for p in pieces]
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
