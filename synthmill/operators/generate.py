@@ -20,22 +20,24 @@ class SchemaPlan:
 
     ``bank`` maps read key (lower case) to the ranked values of that key; leave it empty for
     output that depends on schema and seed only.  A row depends on its id, never on the number of
-    rows.  Unique leaves with one write key and one form of values share those values out among them.
+    rows: ``rows``, a bound of the ids where one is known, only saves work.  Unique leaves with one
+    write key and one form of values share those values out among them.
     ``scope`` keeps the draws of several schemas of one run apart.
     """
 
     def __init__(self, schema: Schema, seed: int, bank: Mapping[str, Sequence[str]] | None = None,
-                 order: str = "intent", scope: str = ""):
-        self.schema, self.seed, self.order = schema, seed & 0xFFFFFFFF, order
+                 order: str = "intent", scope: str = "", rows: int | None = None):
+        self.schema, self.seed, self.order, self.rows = schema, seed & 0xFFFFFFFF, order, rows
         self.scope = f"{scope}:" if scope else ""
         self.bank = {k.lower(): v for k, v in (bank or {}).items()}
         self.tied = {p.lower() for p in schema.tied_paths}
         self._leaves: dict[str, LeafPlan] = {}
 
-    def leaf(self, field: Field, path: str) -> LeafPlan:
+    def leaf(self, field: Field, path: str, depth: int = 0) -> LeafPlan:
         if path not in self._leaves:
             values = [v for key in field.read_keys(path) for v in self.bank.get(key.lower(), ())]
-            self._leaves[path] = LeafPlan(field, self.scope + path, self.seed, values, self.order, self._sharing.get(path))
+            rows = None if self.rows is None else self.rows * ARRAY_SLOTS ** depth
+            self._leaves[path] = LeafPlan(field, self.scope + path, self.seed, values, self.order, self._sharing.get(path), rows)
         return self._leaves[path]
 
     @cached_property
@@ -61,7 +63,7 @@ class SchemaPlan:
         if not f.is_leaf:
             return F.struct(*[self._column(c, path, at).alias(c.name) for c in f.children]) \
                 if f.children else F.lit(None).cast("string")
-        plan = self.leaf(f, path)
+        plan = self.leaf(f, path, len(at.idx))
         if path.lower() in self.tied:
             fixed = plan.tied_value()
             if fixed is not None:
@@ -105,7 +107,7 @@ class SchemaPlan:
     def _stats(self, f: Field, prefix: str, at: Address) -> dict[str, Column]:
         path = f"{prefix}.{f.name}" if prefix else f.name
         if f.is_leaf and f.kind != ARRAY:
-            return self.leaf(f, path).compile(at, with_stats=True).stats
+            return self.leaf(f, path, len(at.idx)).compile(at, with_stats=True).stats
         totals = {name: F.lit(0) for name in STAT_NAMES}
         places = [(at, None)]
         if f.kind == ARRAY:
@@ -123,7 +125,7 @@ def generate(spark: SparkSession, schema: Schema, n: int, seed: int,
     """``n`` records (at least one) of the schema; any partitioning gives the same rows."""
     tune(spark)
     n = max(int(n or 1), 1)
-    plan = SchemaPlan(schema, seed, bank, order)
+    plan = SchemaPlan(schema, seed, bank, order, rows=n)
     return spark.range(n).select(*plan.columns(F.col("id")))
 
 
