@@ -216,6 +216,16 @@ def k4(spark, sf_dir):
     return _lines(spark, path)
 
 
+@query("k4_csv_entity_folders", """SELECT 'root|' || o_orderkey || ',' || o_orderkey || ',' || o_orderstatus AS line FROM orders
+UNION ALL SELECT 'customer|' || o_orderkey || ',' || o_custkey FROM orders UNION ALL SELECT 'customer.tier|' || o_orderkey || ',' || o_orderpriority FROM orders
+UNION ALL SELECT 'items|' || o_orderkey || ',' || i || ',S' || (o_custkey + i) || ',' || ((o_orderkey + i) % 7) FROM orders, range(3) t(i) WHERE i < o_orderkey % 4""")
+def k4_folders(spark, sf_dir):
+    """Each entity's own CSV data set, without the header lines of its part files."""
+    path = scratch(spark, "entity-folders")
+    W.write_csv_entities(nested(spark, sf_dir), "id", path)
+    return spark.read.text(path).where(~F.startswith("value", F.lit("_record,"))).select(F.concat_ws("|", "entity", "value").alias("line"))
+
+
 @query("k5_write_csv_per_key", '''SELECT 'name' AS line UNION ALL SELECT 'segment' UNION ALL SELECT 'note' UNION ALL SELECT '' FROM range(2)
 UNION ALL SELECT c_name FROM customer UNION ALL SELECT c_mktsegment FROM customer UNION ALL SELECT '"say ""' || c_nationkey || ', ok"""' FROM customer''')
 def k5(spark, sf_dir):
