@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from synthmill.functions import draws as d
-from synthmill.operators.leaves import STAT_NAMES, Address, LeafPlan
+from synthmill.operators.leaves import ARRAY_SLOTS, DRAWN, STAT_NAMES, Address, LeafPlan
+from synthmill.operators.pools import Pools, drawn
 from synthmill.schema import ARRAY, Field, Schema
 from synthmill.session import tune
 
-ARRAY_SLOTS = 3  # arrays hold one to three elements
-
 
 class SchemaPlan:
     """A schema compiled for one seed.
 
     ``bank`` maps read key (lower case) to the ranked values of that key; leave it empty for
-    output that depends on schema and seed only.  A row depends on its id, never on the number of
+    output that depends on schema and seed only.  ``pools`` are the values of leaves whatever
+    their number, and take the place of ``bank``.  A row depends on its id, never on the number of
     rows: ``rows``, a bound of the ids where one is known, only saves work.  Unique leaves with one
     write key and one form of values share those values out among them.
     ``scope`` keeps the draws of several schemas of one run apart.
     """
 
     def __init__(self, schema: Schema, seed: int, bank: Mapping[str, Sequence[str]] | None = None,
-                 order: str = "intent", scope: str = "", rows: int | None = None):
+                 order: str = "intent", scope: str = "", rows: int | None = None, pools: Pools | None = None):
+        self.pools = pools or Pools({}, {}, None)
         self.schema, self.seed, self.order, self.rows = schema, seed & 0xFFFFFFFF, order, rows
         self.scope = f"{scope}:" if scope else ""
         self.bank = {k.lower(): v for k, v in (bank or {}).items()}
@@ -35,19 +37,61 @@ class SchemaPlan:
 
     def leaf(self, field: Field, path: str, depth: int = 0) -> LeafPlan:
         if path not in self._leaves:
-            values = [v for key in field.read_keys(path) for v in self.bank.get(key.lower(), ())]
             rows = None if self.rows is None else self.rows * ARRAY_SLOTS ** depth
-            self._leaves[path] = LeafPlan(field, self.scope + path, self.seed, values, self.order, self._sharing.get(path), rows)
+            self._leaves[path] = LeafPlan(field, self.scope + path, self.seed, self._values(field, path), self.order, self._sharing.get(path), rows,
+                                          self.pools.many.get(path), self._firsts.get(path, 0))
         return self._leaves[path]
 
+    def _values(self, field: Field, path: str) -> Sequence[str]:
+        """Values that the plan carries for a leaf."""
+        return self.pools.few.get(path) or [v for key in field.read_keys(path) for v in self.bank.get(key.lower(), ())]
+
+    @cached_property
+    def _places(self) -> dict[str, tuple[Field, int]]:
+        """(leaf, number of arrays around it) of every path."""
+        out: dict[str, tuple[Field, int]] = {}
+
+        def visit(fields: Sequence[Field], prefix: str, depth: int) -> None:
+            for f in fields:
+                path = f"{prefix}.{f.name}" if prefix else f.name
+                if f.is_leaf:
+                    out[path] = f, depth
+                visit(f.children, path, depth + (f.kind == ARRAY))
+        visit(self.schema.root, "", 0)
+        return out
+
+    @cached_property
+    def _firsts(self) -> dict[str, int]:
+        """First number of the values that a row draws for each leaf of a large pool."""
+        out, n = {}, 0
+        for path in self.pools.many:
+            field, depth = self._places[path]
+            out[path] = n
+            n += LeafPlan(field, path, self.seed, many=self.pools.many[path]).numbers(depth)
+        return out
+
+    def wanted(self, row: Column) -> list[tuple[int, str, Column]]:
+        """(number, path, place) of all values that a row draws from large pools."""
+        out = []
+        for path in self.pools.many:
+            field, depth = self._places[path]
+            if path.lower() in self.tied:
+                at = Address(d.long(0), (d.long(0),) * depth, d.long(0))
+                places = [(0, at)] if not field.sample else []
+            else:
+                places = [(slot, Address(d.long(row), tuple(d.long(i) for i in idx)))
+                          for slot, idx in enumerate(itertools.product(range(ARRAY_SLOTS), repeat=depth))]
+            for slot, at in places:
+                out += [(n, path, place) for n, place in self.leaf(field, path, depth).wanted(at, slot)]
+        return out
+
     @cached_property
     def _sharing(self) -> dict[str, tuple[str, int, int]]:
         """(key, place, number) of the unique leaves that share their values."""
         groups: dict[tuple, list[str]] = {}
         for path, f in self.schema.leaves():
             if f.unique and not f.enum and path.lower() not in self.tied:
-                values = [v for key in f.read_keys(path) for v in self.bank.get(key.lower(), ())]
-                space = LeafPlan(f, self.scope + path, self.seed, values, self.order).unique_space
+                space = LeafPlan(f, self.scope + path, self.seed, self._values(f, path), self.order, many=self.pools.many.get(path)).unique_space
                 groups.setdefault((f.write_key(path).lower(), repr(space)), []).append(path)
         return {path: (f"{self.scope}key:{key}", i, len(paths)) for (key, _), paths in groups.items() if len(paths) > 1
                 for i, path in enumerate(paths)}
@@ -130,13 +174,16 @@ def generate(spark: SparkSession, schema: Schema, n: int, seed: int,
 
 
 def generate_for(rows: DataFrame, row_id: str, schema: Schema, seed: int, *, keep: Sequence[str] = (),
-                 bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent") -> DataFrame:
+                 bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent", pools: Pools | None = None) -> DataFrame:
     """One record per row of ``rows``, addressed by its whole-number id; ``keep`` passes columns through.
 
     Unique leaves need distinct ids; an id beyond a leaf's capacity gets the exhaustion value.
     """
     tune(rows.sparkSession)
-    plan = SchemaPlan(schema, seed, bank, order)
+    plan = SchemaPlan(schema, seed, bank, order, pools=pools)
+    wanted = plan.wanted(F.col(row_id))
+    if wanted:
+        rows = drawn(rows, row_id, plan.wanted, pools.values, DRAWN)
     return rows.select(*keep, *plan.columns(F.col(row_id)))
 
 

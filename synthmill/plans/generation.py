@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from synthmill.functions.draws import ALNUM, LOWER, UPPER
-from synthmill.operators.bank import bank_for_fields
 from synthmill.plans.banking import bank_from_events
 from synthmill.operators.generate import generate, generate_for
 from synthmill.operators.leaves import EMAIL_DOMAINS, YEAR_MS, epoch_ms
+from synthmill.operators.pools import pools
 from synthmill.plans import duck
 from synthmill.plans.duck import Leaf, permuted
 from synthmill.plans.registry import query, table
@@ -182,7 +182,7 @@ def from_bank(spark, sf_dir):
     bank = bank_from_events(table(spark, sf_dir, "events"))
     schema = Schema("leaf", [_PICKED])
     return generate_for(table(spark, sf_dir, "orders"), KEY, schema, SEED, keep=[KEY],
-                        bank=bank_for_fields(bank, schema))
+                        pools=pools(bank, schema))
 
 
 # -- records --------------------------------------------------------------------------------

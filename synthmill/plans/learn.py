@@ -10,6 +10,7 @@ from synthmill.functions.draws import UPPER
 from synthmill.operators import bank as B, infer as I
 from synthmill.operators.generate import generate_for
 from synthmill.operators.harvest import learned_rows
+from synthmill.operators.pools import pools
 from synthmill.plans.duck import Leaf
 from synthmill.plans.registry import query, table
 from synthmill.schema import Schema
@@ -29,9 +30,9 @@ def learn(df: DataFrame, row: str, name: str, bank: DataFrame | None = None,
 
 
 def twin(df: DataFrame, row: str, name: str, seed: int) -> DataFrame:
-    """As many generated records as the frame has rows, in the formats and from the values it shows."""
+    """As many generated records as the frame has rows, in the formats and from all the values it shows."""
     schema, bank = learn(df, row, name)
-    return generate_for(df, row, schema, seed, keep=[row], bank=B.bank_for_fields(bank, schema))
+    return generate_for(df, row, schema, seed, keep=[row], pools=pools(bank, schema))
 
 
 _ROW, _SEED = "c_custkey", 42

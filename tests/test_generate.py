@@ -8,7 +8,9 @@ from synthmill.functions.kinds import detect
 from synthmill.functions.permute import capacity_of, permute
 from synthmill.operators import infer
 from synthmill.operators.generate import generate, generate_for, generation_counts
+from synthmill.operators.bank import bank_for_fields
 from synthmill.operators.leaves import epoch_ms
+from synthmill.operators.pools import pools
 from synthmill.operators.report import build_manifest, replay_arguments
 from synthmill.schema import ARRAY, OBJECT, Field, Schema
 from tests.conftest import executed_plan
@@ -249,3 +251,39 @@ def test_stream_of_unique_rows_equals_the_batch(spark, tmp_path):
     out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("row").drop("row")
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in generate(spark, schema, 300, 8).collect()]
+
+
+# -- values of a bank, however many -----------------------------------------------------------------
+def test_large_pools_are_drawn_whole(spark):
+    """Ranges and values come from all of a bank, and joined values give the same records as literals."""
+    from synthmill.operators import infer as I
+    from synthmill.plans.learn import learn
+    df = spark.range(1200).select("id", F.concat(F.lit("N-"), "id").alias("name"), (F.col("id") * 7.25 - 900).alias("amount"),
+                                  F.array(F.struct(F.concat(F.lit("t"), "id", F.lit("@x.org")).alias("mail"), F.hex("id").alias("code"))).alias("l"))
+    schema, bank = learn(df, "id", "s")
+    bank = bank.cache()
+    few, many = pools(bank, schema, literals=10 ** 6), pools(bank, schema)
+    assert not few.many and not many.few and [many.many[p].size for p in ("name", "amount", "l.mail", "l.code")] == [1200, 1200, 1200, 500]
+
+    def run(**given):
+        return rows(generate_for(spark.range(3000), "id", schema, 5, keep=["id"], **given))
+    whole = run(pools=many)
+    assert whole == run(pools=few) == run(bank=bank_for_fields(bank, schema, 10 ** 6))
+    assert max(r["amount"] for r in whole) > 7000 and len({r["name"] for r in whole}) > 700
+
+
+@pytest.mark.parametrize("name,sf", [("learn_and_generate", "sf0.01"), ("l4_from_bank", "sf0.1")])
+def test_queries_use_the_whole_bank(spark, name, sf):
+    """Against the query's SQL without its limit of 500 values."""
+    import duckdb
+
+    import __spark_entry__ as contract
+    folder, con = f"/root/testdata/{sf}", duckdb.connect()
+    for t in ("customer", "events", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    sql = contract.oracle_sql()[name]
+    assert "LIMIT 500" in sql
+    cursor = con.execute(sql.replace("LIMIT 500", ""))
+    names = [c[0] for c in cursor.description]
+    got = contract.queries()[name](spark, folder).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(cursor.fetchall(), key=str)
