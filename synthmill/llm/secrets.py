@@ -3,7 +3,7 @@
 Base kinds are patterns.  Beyond them, candidate strings (long unbroken runs of key characters with letters and digits)
 are scanned by a sliding window: each step takes one character out of the window's counts and one in, and changes the
 running sum of c * log2(c) by the difference, so the window's Shannon entropy costs no recount.  Each character class has
-its own limit.  Candidates that match the allow list (paths, UUIDs, placeholders, alphabets) add nothing; base spans stay.
+its own limit.  Candidates that are as a whole on the allow list (paths, UUIDs, placeholders, alphabets) add nothing; base spans stay.
 
 Spans are code points, end exclusive.  A null text counts as empty; an empty text has no spans; repeated rows are scanned
 one by one; other columns are left out by ``scan`` and kept by ``masked``.  The work is per row; nothing is shuffled.
@@ -23,10 +23,24 @@ METHOD = "entropy"
 #: Candidate strings of the entropy scan, its window, and the least entropy in bits by character class.
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-CLASSES = [("hex", "^[0-9A-Fa-f]+$", 3.0), ("alphanumeric", "^[A-Za-z0-9]+$", 3.7), ("base64", ".", 3.8)]
-#: Candidates that are no secrets: no letter or no digit, UUIDs, paths, placeholders, runs of an alphabet.
+#: A value of letters and digits behind a name or prefix is judged as it would be alone.
+CLASSES = [("hex", "^[0-9A-Fa-f]+$", 3.0), ("alphanumeric", "^[A-Za-z0-9]+$", 3.7),
+           ("named hex", "[=_](?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{20,}$", 3.0),
+           ("named alphanumeric", "[=_](?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[A-Za-z0-9]{20,}$", 3.7), ("base64", ".", 3.8)]
+def _start_of(letters: str, least: int) -> str:
+    """Pattern of the first letters of an alphabet, at least so many."""
+    tail = ""
+    for c in reversed(letters[least:]):
+        tail = f"(?:{c}{tail})?"
+    return letters[:least] + tail
+
+
+#: Candidates that are no secrets: no letter or no digit, UUIDs, paths; words with a placeholder among them and a short
+#: number; starts of alphabets, runs of one character and separators.  All describe the whole candidate: a word or a run
+#: inside a longer string says nothing of the rest.
 ALLOWED = ["^[^0-9]*$", "^[^A-Za-z]*$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "^[a-z]+(/[a-z0-9_-]+)+/?$",
-           "(?i)example|placeholder|changeme|your[_-]", "(?i)abcdefgh|01234567|(.)\\1{5}"]
+           "(?i)^(?=.*(?:example|placeholder|changeme|your[_-]))(?:[a-z]{1,12}[=_-]+)*+(?:[a-z]{1,12})?[0-9]{0,6}$",
+           f"(?i)^(?:{_start_of('abcdefghijklmnopqrstuvwxyz', 8)}|{_start_of('0123456789', 8)}|(.)\\1{{5,}}+|[+/_=-])++$"]
 
 LIST = "array<struct<start:int,kind:int,end:int>>"
 _SCALE = 1 << 20

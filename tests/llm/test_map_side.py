@@ -165,6 +165,23 @@ def test_secrets_equal_brute_force(spark):
     assert any("entropy" in x for x in got)
 
 
+def test_placeholders_hide_only_themselves(spark):
+    """A word, an alphabet or a run inside a candidate does not clear the rest of it."""
+    rng = random.Random(8)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    found = ["EXAMPLE_KEY=ghp_16C7e42F292c6912E7710c838347Ae178B4a", f"your_pat={key}", f"b3BlbnNzaC1rZXktdjEAAAAAA{key}AAAAAAAAAA{key}",
+             f"changeme-{key}", f"{key}01234567{key}", f"abcdefgh{key}", "A" * 3000 + key, "=-_" * 1000 + "aaaaaa" * 500 + key]
+    clear = ["your_api_key_here_12345", "API_KEY=your-placeholder-key-1", "abcdefghijklmnopqrstuvwxyz0123456789",
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "01234567890123456789abcdefghij", "aaaaaaaaaaaaaaaaaaaa000000"]
+    texts = dict(enumerate([*found, *clear]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = {texts[r.doc_id]: r.n_entropy for r in secrets.scan(df).collect()}
+    assert all(spans[t] for t in found), [t for t in found if not spans[t]]
+    assert not any(spans[t] for t in clear), [t for t in clear if spans[t]]
+    left = {texts[r.doc_id]: r.text for r in secrets.masked(df).collect()}
+    assert all(key not in left[t] for t in found) and left[found[0]] == "[SECRET]"
+
+
 def test_masks_cover_all_spans_and_keep_the_rest(spark):
     rows, df = frame(spark, secret_texts())
     out = secrets.masked(df)
