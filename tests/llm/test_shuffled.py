@@ -128,6 +128,22 @@ def test_groups_have_all_occurrences(spark):
     assert all(len(x) == len(docs) for s, x in by.items() if next(iter(x))[1] in passage.encode() and len(next(iter(x))[1]) >= 50)
 
 
+def test_groups_of_copies_and_inside_a_text(spark):
+    """Exact copies without another partner, and a passage of 500 bytes twice in one text, are covered; single passages are not."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    copy, passage, alone = (prose(rng, words, n) for n in (30, 84, 40))
+    docs = {0: copy, 1: copy, 2: f"{passage} 2 {prose(rng, words, 20)} 2 {passage}", 3: alone, 4: f"{copy[:40]} 4"}
+    found = repeats.repeat_groups(frame(spark, list(docs.items()))).collect()
+    places, covered = collections.defaultdict(set), {i: set() for i in docs}
+    for r in found:
+        places[r.repeat].add((r.doc_id, r.start))
+        covered[r.doc_id].update(range(r.start, r.start + r.length))
+    assert all(len(x) > 1 for x in places.values())
+    assert covered[0] == covered[1] == set(range(len(copy))) and not covered[3] and not covered[4]
+    assert len(passage) > 490 and covered[2] >= {*range(len(passage)), *range(len(docs[2]) - len(passage), len(docs[2]))}
+
+
 def test_interval_scan_equals_brute_force():
     rng = random.Random(14)
     for _ in range(60):
