@@ -20,11 +20,8 @@ from synthmill.operators.reshape import flatten, split_n
 
 FORMATS = ("zip", "tar", "tar.gz")
 
-# An archive is one file and is written by one task.  Runs up to these sizes give one archive, as
-# asked for; larger runs continue in numbered volumes, so that no task is ever given the whole run.
-VOLUME_RECORDS = 1_000_000
-VOLUME_ENTRIES = 100_000
-
+# An archive is one file and is written by one task, whatever its size.  Numbered volumes are made only where the caller
+# names their size: then each is written by a task of its own.
 
 # -- packing in memory, for small archives ------------------------------------------------------
 def pack(entries: Iterable[tuple[str, bytes]], fmt: str) -> bytes:
@@ -98,16 +95,18 @@ def volume_name(archive: Column, volume: Column) -> Column:
     return F.when(volume == 0, archive).otherwise(F.concat(stem, F.lit("_"), (volume + 1).cast("string"), ext))
 
 
-def write_archives(pieces: DataFrame, folder: str, fmt: str, volume_entries: int = VOLUME_ENTRIES) -> DataFrame:
+def write_archives(pieces: DataFrame, folder: str, fmt: str, volume_entries: int | None = None) -> DataFrame:
     """Write archives from (archive, entry_no, entry, seq, text) rows; gives (archive, entries, bytes).
 
     One task writes an archive, but as a stream: pieces arrive sorted and only one is in memory.  The
     size of each entry is summed beforehand.  A finished archive replaces the target in one move, so a
-    retried task leaves no half-written file.  ``entry_no`` counts the entries of an archive from 0.
+    retried task leaves no half-written file.  ``entry_no`` counts the entries of an archive from 0.  With
+    ``volume_entries``, an archive of more entries becomes numbered volumes.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown archive format {fmt!r}")
-    pieces = pieces.withColumn("archive", volume_name(F.col("archive"), d.div(F.col("entry_no").cast("long"), volume_entries)))
+    if volume_entries is not None:
+        pieces = pieces.withColumn("archive", volume_name(F.col("archive"), d.div(F.col("entry_no").cast("long"), volume_entries)))
     sizes = pieces.groupBy("archive", "entry_no").agg(F.sum(F.octet_length("text")).alias("size"))
     rows = pieces.join(sizes, ["archive", "entry_no"]).repartition("archive").sortWithinPartitions("archive", "entry_no", "seq")
 
@@ -197,8 +196,11 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _volumes(df: DataFrame, index: str, archive: str, size: Column, limit: int) -> tuple[DataFrame, Column, Column]:
-    """(frame with ``archive`` and the index within its volume, is last, is alone) of one document."""
+def _volumes(df: DataFrame, index: str, archive: str, size: Column, limit: int | None) -> tuple[DataFrame, Column, Column]:
+    """(frame with ``archive`` and the index within its volume, is last, is alone) of one document; without a limit it is one volume."""
+    if limit is None:
+        out = df.withColumns({"archive": F.lit(archive), "__held": size, index: F.col(index).cast("long")})
+        return out, F.col(index) == F.col("__held") - 1, F.col("__held") == 1
     volume = d.div(F.col(index).cast("long"), limit)
     start = volume * d.long(limit)
     held = F.least(size - start, d.long(limit))
@@ -209,7 +211,7 @@ def _volumes(df: DataFrame, index: str, archive: str, size: Column, limit: int)
 
 def multi_format_pieces(df: DataFrame, index: str, files: Sequence[tuple[str, str]], archive: str,
                         top_folder: str | None = None, total: int | None = None,
-                        volume_records: int = VOLUME_RECORDS) -> DataFrame:
+                        volume_records: int | None = None) -> DataFrame:
     """The same records as several documents of one archive; ``index`` is dense and starts at 0."""
     total = df.count() if total is None else total
     rows, last, alone = _volumes(df, index, archive, d.long(total), volume_records)
@@ -220,7 +222,7 @@ def multi_format_pieces(df: DataFrame, index: str, files: Sequence[tuple[str, st
 
 def split_pieces(df: DataFrame, index: str, files: Sequence[tuple[str, str]], archive: str,
                  top_folder: str | None = None, total: int | None = None,
-                 volume_records: int = VOLUME_RECORDS) -> DataFrame:
+                 volume_records: int | None = None) -> DataFrame:
     """Contiguous batches of the records, one document each; empty batches give an empty list."""
     total = df.count() if total is None else total
     n = len(files)

@@ -207,6 +207,16 @@ def test_archive_writer_in_pieces_and_volumes(spark, tmp_path):
         assert [json.loads(t.extractfile(m).read()) for m in t.getmembers()] == [{"name": "n0"}, {"name": "n1"}, {"name": "n2"}, []]
 
 
+def test_an_archive_of_any_size_is_one(spark, tmp_path):
+    """Volumes come from the caller's arguments, not from the size of the input."""
+    df = spark.range(4_000_005).select(F.col("id").alias("no"), F.lit("n").alias("name"))
+    for pieces in (A.multi_format_pieces(df, "no", [("a", "csv"), ("b", "json")], "p.zip"), A.split_pieces(df, "no", [(f"s{i}", "xml") for i in range(4)], "p.zip")):
+        assert [r[0] for r in pieces.select("archive").distinct().collect()] == ["p.zip"]
+    entries = spark.range(100_001).select(F.lit("p.tar").alias("archive"), F.col("id").alias("entry_no"), F.concat(F.lit("e"), "id").alias("entry"),
+                                          F.lit(0).alias("seq"), F.lit("x").alias("text"))
+    assert [tuple(r)[:2] for r in A.write_archives(entries, str(tmp_path), "tar").collect()] == [("p.tar", 100_001)]
+
+
 def test_nested_archives_stop_at_the_depth_limit(spark):
     data = A.pack([("x.json", b"{}")], "zip")
     for _ in range(9):
