@@ -73,7 +73,7 @@ def test_quality_rejects_a_long_repeat_that_base_rules_keep():
 
 
 def test_quality_of_a_very_long_text():
-    text = " ".join(f"w{i % 70_000}" for i in range(100_000))
+    text = " ".join(f"w{i % 70_000}" for i in range(30_000))
     figures = quality.judged([text])
     assert figures["longest_repeat"][0] == 30_000 and figures["n_repeat_words"][0] == 60_000
 
@@ -199,6 +199,31 @@ def test_masks_cover_all_spans_and_keep_the_rest(spark):
     assert sorted(str(tuple(r)) for r in out.collect()) == sorted(str((r[0], masked(r[1]), *r[2:])) for r in rows)
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Paths, base64, hexadecimal lines and separators of up to a megabyte; runs and pieces that the lists are cut into leave no trace."""
+    import time
+    rng = random.Random(9)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=250_000))
+    mixed = "".join(rng.choice(["a" * rng.randint(1, 60), base64[i:i + rng.randint(1, 70)], "_1"]) for i in range(2_000))
+    lines = "\n".join(f"{rng.getrandbits(72):018x}" for _ in range(30_000))
+    texts = ["a" + "/1b" * 330_000, "é" + base64, lines, "_a" * 60_000 + "1", "=" * 60_000 + "1a", "token=" * 80_000, mixed, "😀" * 1030 + "token=Zx9Zx9Zx9Zx9 " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), EMPTY).repartition(4)
+    began = time.time()
+    spans = {r.doc_id: r for r in secrets.scan(df).collect()}
+    left = {r.doc_id: r.text for r in secrets.masked(df).collect()}
+    assert time.time() - began < 120
+    assert spans[0].spans == "" and left[0] == texts[0]
+    assert spans[1].n_entropy >= 1 and len(left[1]) < 20_000
+    assert spans[2].n_hex == 30_000 and left[2].count("[SECRET]") == 30_000 and not re.search("[0-9a-f]{16}", left[2])
+    assert spans[6].spans == scanned(mixed)[0][4]
+    assert spans[7].n_assign == 400 and left[7] == "😀" * 1030 + "[SECRET] " * 400
+
+
+def test_masks_leave_clashing_columns_alone(spark):
+    df = spark.createDataFrame([("token=Zx9Zx9Zx9Zx9", 5, "b", [1])], "text string, __text int, __all string, ___m0 array<int>")
+    assert [tuple(r) for r in secrets.masked(df).collect()] == [("[SECRET]", 5, "b", [1])]
+
+
 def test_secret_scan_has_no_python(spark):
     plan = QUERIES["op3_secret_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
