@@ -6,10 +6,11 @@ import itertools
 from collections.abc import Mapping, Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from synthmill.functions import draws as d
-from synthmill.operators.leaves import ARRAY_SLOTS, DRAWN, STAT_NAMES, Address, LeafPlan
+from synthmill.operators import counters
+from synthmill.operators.leaves import ARRAY_SLOTS, BLANK, DRAWN, MADE, TIED, Address, LeafPlan
 from synthmill.operators.pools import Pools, drawn
 from synthmill.schema import ARRAY, Field, Schema
 from synthmill.session import tune
@@ -28,7 +29,7 @@ class SchemaPlan:
 
     def __init__(self, schema: Schema, seed: int, bank: Mapping[str, Sequence[str]] | None = None,
                  order: str = "intent", scope: str = "", rows: int | None = None, pools: Pools | None = None):
-        self.pools = pools or Pools({}, {}, None)
+        self.pools = pools or Pools({}, {}, {})
         self.schema, self.seed, self.order, self.rows = schema, seed & 0xFFFFFFFF, order, rows
         self.scope = f"{scope}:" if scope else ""
         self.bank = {k.lower(): v for k, v in (bank or {}).items()}
@@ -67,7 +68,7 @@ class SchemaPlan:
         for path in self.pools.many:
             field, depth = self._places[path]
             out[path] = n
-            n += LeafPlan(field, path, self.seed, many=self.pools.many[path]).numbers(depth)
+            n += LeafPlan(field, path, self.seed, many=self.pools.many[path]).draws(depth)
         return out
 
     def wanted(self, row: Column) -> list[tuple[int, str, Column]]:
@@ -139,58 +140,68 @@ class SchemaPlan:
         # First level: all slots are plain expressions, which keeps them inside codegen.
         return F.slice(F.array(*[element(d.long(i)) for i in range(ARRAY_SLOTS)]), F.lit(1), size)
 
-    def stat_columns(self, row: Column) -> list[Column]:
+    def count_columns(self, row: Column) -> list[Column]:
         """Per row and counter: how the values of the row came about."""
         at = Address(d.long(row), (), d.long(row))
-        totals = {name: F.lit(0) for name in STAT_NAMES}
-        for f in self.schema.root:
-            for name, c in self._stats(f, "", at).items():
-                totals[name] = totals[name] + c
-        return [c.cast("long").alias(name) for name, c in totals.items()]
+        return counters.columns(counters.together(self._events(f, "", at) for f in self.schema.root))
 
-    def _stats(self, f: Field, prefix: str, at: Address) -> dict[str, Column]:
+    def _events(self, f: Field, prefix: str, at: Address) -> counters.Events:
         path = f"{prefix}.{f.name}" if prefix else f.name
         if f.is_leaf and f.kind != ARRAY:
-            return self.leaf(f, path, len(at.idx)).compile(at, with_stats=True).stats
-        totals = {name: F.lit(0) for name in STAT_NAMES}
-        places = [(at, None)]
-        if f.kind == ARRAY:
-            size = self.array_size(path, at)
-            places = [(self.element_address(at, d.long(i)), size > i) for i in range(ARRAY_SLOTS)]
-        for where, live in places:
-            for c in f.children:
-                for name, count in self._stats(c, path, where).items():
-                    totals[name] = totals[name] + (count if live is None else F.when(live, count).otherwise(0))
-        return totals
-
-
-def generate(spark: SparkSession, schema: Schema, n: int, seed: int,
-             bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent") -> DataFrame:
+            plan = self.leaf(f, path, len(at.idx))
+            if path.lower() not in self.tied:
+                return plan.compile(at).events
+            if f.sample:
+                return {MADE: F.lit(1), TIED: F.lit(1)}
+            zero = tuple(d.long(0) for _ in at.idx)
+            blank = plan.compile(Address(d.long(0), zero, d.long(0))).events.get(BLANK, F.lit(0))
+            return {MADE: F.lit(1), BLANK: blank, TIED: F.lit(1) - blank}
+        if f.kind != ARRAY:
+            return counters.together(self._events(c, path, at) for c in f.children)
+        size = self.array_size(path, at)
+        return counters.together(
+            counters.where(size > i, counters.together(self._events(c, path, self.element_address(at, d.long(i))) for c in f.children))
+            for i in range(ARRAY_SLOTS))
+
+
+def generate(spark: SparkSession, schema: Schema, n: int, seed: int, bank: Mapping[str, Sequence[str]] | None = None,
+             order: str = "intent", pools: Pools | None = None) -> DataFrame:
     """``n`` records (at least one) of the schema; any partitioning gives the same rows."""
-    tune(spark)
     n = max(int(n or 1), 1)
-    plan = SchemaPlan(schema, seed, bank, order, rows=n)
-    return spark.range(n).select(*plan.columns(F.col("id")))
+    return generate_for(spark.range(n), "id", schema, seed, bank=bank, order=order, pools=pools, bound=n)
 
 
 def generate_for(rows: DataFrame, row_id: str, schema: Schema, seed: int, *, keep: Sequence[str] = (),
-                 bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent", pools: Pools | None = None) -> DataFrame:
+                 bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent", pools: Pools | None = None,
+                 bound: int | None = None, observed: Observation | None = None) -> DataFrame:
     """One record per row of ``rows``, addressed by its whole-number id; ``keep`` passes columns through.
 
-    Unique leaves need distinct ids; an id beyond a leaf's capacity gets the exhaustion value.
+    Unique leaves need distinct ids; an id beyond a leaf's capacity gets the exhaustion value.  ``bound``, above all ids where
+    one is known, only saves work.  ``observed`` gets the counters of the run when the records are written.  ``rows`` may be a stream.
     """
     tune(rows.sparkSession)
-    plan = SchemaPlan(schema, seed, bank, order, pools=pools)
-    wanted = plan.wanted(F.col(row_id))
-    if wanted:
-        rows = drawn(rows, row_id, plan.wanted, pools.values, DRAWN)
-    return rows.select(*keep, *plan.columns(F.col(row_id)))
+    plan = SchemaPlan(schema, seed, bank, order, rows=bound, pools=pools)
+    rows = drawn(rows, row_id, plan.wanted(F.col(row_id)), plan.pools.values, DRAWN)
+    if observed is None:
+        return rows.select(*keep, *plan.columns(F.col(row_id)))
+    made = rows.select(F.struct(*plan.count_columns(F.col(row_id))).alias("__counts"), *keep, *plan.columns(F.col(row_id)))
+    return made.observe(observed, *_sums("__counts.")).drop("__counts")
 
 
-def generation_counts(rows: DataFrame, row_id: str, schema: Schema, seed: int, *,
-                      bank: Mapping[str, Sequence[str]] | None = None, order: str = "intent") -> DataFrame:
+def _sums(prefix: str = "") -> list[Column]:
+    return [F.coalesce(F.sum(f"{prefix}{c}"), F.lit(0)).alias(c) for c in counters.names()]
+
+
+def generation_counts(rows: DataFrame, row_id: str, schema: Schema, seed: int, *, bank: Mapping[str, Sequence[str]] | None = None,
+                      order: str = "intent", pools: Pools | None = None) -> DataFrame:
     """One row of run counters, summed map-side from the same draws as the records."""
     tune(rows.sparkSession)
-    plan = SchemaPlan(schema, seed, bank, order)
-    per_row = rows.select(*plan.stat_columns(F.col(row_id)))
-    return per_row.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STAT_NAMES])
+    plan = SchemaPlan(schema, seed, bank, order, pools=pools)
+    rows = drawn(rows, row_id, plan.wanted(F.col(row_id)), plan.pools.values, DRAWN)
+    return rows.select(*plan.count_columns(F.col(row_id))).agg(*_sums())
+
+
+def observed_counts(spark: SparkSession, observed: Observation) -> DataFrame:
+    """The one-row report of a run that has been written."""
+    found = observed.get
+    return spark.range(1).select(*[F.lit(int(found[c])).cast("long").alias(c) for c in counters.names()])

@@ -1,13 +1,12 @@
 """Bank values of leaves, however many: few as literals of the plan, many joined by their place.
 
 A leaf draws a place in its values.  Up to ``literals`` values are carried by the generation plan.  Of more, the plan holds
-what they look like (an aggregation over all of them) and their number; each row asks for the places it has drawn, and
-the values are joined on (path, place).  Both ways give the same records.
+what they look like (an aggregation over all of them) and their number; each draw of a row is joined with the values by
+its place.  Both ways give the same records.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -15,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from synthmill.functions.draws import DIGITS, LOWER, UPPER
 from synthmill.functions.kinds import BOOL, NUMERIC_KINDS, WHITESPACE, Pattern, trim
-from synthmill.functions.ranks import grouped_rank
 from synthmill.functions.scratch import scratch
 from synthmill.operators.bank import VALUES_PER_KEY, category_id
 from synthmill.operators.infer import detect_kinds
@@ -56,20 +54,20 @@ class Pool:
 
 @dataclass(frozen=True)
 class Pools:
-    """By path: ``few`` values as they are, ``many`` by what they look like; ``values`` (path, place, value) of the many."""
+    """By path: ``few`` values as they are, ``many`` by what they look like; ``values`` (place, value) of the many."""
 
     few: dict[str, list[str]]
     many: dict[str, Pool]
-    values: DataFrame | None
+    values: dict[str, DataFrame]
 
 
 def _by_path(spark, pairs: list[tuple], ddl: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(pairs, ddl))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def _kept(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -105,7 +103,10 @@ def _pattern(r, samples: tuple[str, ...]) -> Pattern:
 
 
 def pools(bank: DataFrame, schema: Schema, order: str = "intent", literals: int = VALUES_PER_KEY) -> Pools:
-    """The whole bank of every leaf of the schema.  The driver holds ``literals`` values of a leaf at most."""
+    """The whole bank of every leaf of the schema.
+
+    The driver holds ``literals`` values of a leaf at most, and a row for each leaf and task of the sort.
+    """
     spark = bank.sparkSession
     values = _kept(all_values(bank, schema), "pool")
     counts = {r["path"]: r["count"] for r in values.groupBy("path").count().collect()}
@@ -114,39 +115,60 @@ def pools(bank: DataFrame, schema: Schema, order: str = "intent", literals: int
     for r in values.where(F.col("path").isin(short)).orderBy(*_best_first()).collect() if short else []:
         few.setdefault(r["path"], []).append(r["value"])
     if not long:
-        return Pools(few, {}, None)
+        return Pools(few, {}, {})
     samples = {p: (f.sample or "").strip(WHITESPACE) for p, f in schema.leaves() if p in long}
     limits = {p: f.max_length for p, f in schema.leaves() if p in long}
-    values = values.where(F.col("path").isin(long))
+    values = values.where(F.col("path").isin(long)) if short else values
     stats = {r["path"]: r for r in detect_kinds(values, spark.createDataFrame(list(samples.items()), "path string, sample string"), order=order).collect()}
-    traits = _by_path(spark, [(p, stats[p]["kind"], samples[p], limits[p]) for p in long], "path string, kind string, sample string, limit int")
-    fitting = values.join(traits, "path").where(_fits(F.col("kind"))).select("path", "value", "sample", "limit", "best")
-    # Places over all tasks: sorted once and kept, so that the ids below are read, not drawn again.
-    sorted_ = _kept(fitting.orderBy("path", *_best_first()).drop("best").withColumn("id", F.monotonically_increasing_id()), "pool-sorted")
-    placed = _kept(grouped_rank(sorted_, ["path"], "id", "place").withColumn("place", F.col("place") - 1), "pool-placed")
+    kinds = _by_path(spark, [(p, stats[p]["kind"]) for p in long], "path string, kind string")
+    # Sorted once over all tasks: an id is the number of its task and the place in it, so a place is the id less what
+    # the earlier tasks (and the earlier leaves of its own) have before it.
+    fitting = values.join(kinds, "path").where(_fits(F.col("kind"))).orderBy("path", *_best_first()).select("path", "value")
+    sorted_ = _kept(fitting.withColumn("id", F.monotonically_increasing_id()), "pool-sorted", "path")
+    traits = _by_path(spark, [(p, samples[p], limits[p]) for p in long], "path string, sample string, limit int")
     cut = F.substring("value", F.lit(1), F.coalesce("limit", F.length("value")))
-    found = {r["path"]: r for r in placed.groupBy("path").agg(
-        F.count("*").alias("size"), F.min_by("value", "place").alias("first"),
-        F.max_by("value", F.struct(_room(cut).alias("room"), (-F.col("place")).alias("place"))).alias("roomy"),
-        F.min_by("value", F.when(~F.contains("value", F.lit("@")), F.col("place"))).alias("bare"),
-        F.min(F.when(F.col("value") == F.col("sample"), F.col("place"))).alias("own")).collect()}
-    many = {}
+    parts = (sorted_.join(traits, "path").groupBy("path", F.shiftright("id", _TASK_BITS).alias("task")).agg(
+        F.count("*").alias("size"), F.min("id").alias("low"), F.min_by("value", "id").alias("first"),
+        F.max(_room(cut)).alias("room"), F.max_by("value", F.struct(_room(cut).alias("room"), (-F.col("id")).alias("id"))).alias("roomy"),
+        F.min_by("value", F.when(~F.contains("value", F.lit("@")), F.col("id"))).alias("bare"),
+        F.min(F.when(F.col("value") == F.col("sample"), F.col("id"))).alias("own")).collect())
+    many, placed = {}, {}
     for path in long:
-        r = found.get(path)
-        texts = [samples[path], *([r["first"], r["roomy"], r["bare"]] if r else [])]
-        many[path] = Pool(_pattern(stats[path], tuple(dict.fromkeys(t for t in texts if t))),
-                          r["size"] if r else 0, samples[path], r["own"] if r else None)
-    return Pools(few, many, placed.select("path", "place", "value"))
-
-
-def drawn(rows: DataFrame, row_id: str, wanted: Callable[[Column], list[tuple[int, str, Column]]], values: DataFrame, name: str) -> DataFrame:
-    """``rows`` with a map ``name`` from the number of a draw to its value.
-
-    ``wanted`` gives (number, path, place) of the draws of a row; a NULL place is a draw that the row does not use.
+        mine = sorted((r for r in parts if r["path"] == path), key=lambda r: r["task"])
+        size, own, shift = 0, None, {}
+        for r in mine:
+            shift[r["task"]] = r["low"] - size
+            own = r["own"] - r["low"] + size if r["own"] is not None else own
+            size += r["size"]
+        texts = [samples[path]]
+        if mine:
+            bare = next((r["bare"] for r in mine if r["bare"] is not None), None)
+            texts += [mine[0]["first"], max(mine, key=lambda r: r["room"])["roomy"], bare]
+        many[path] = Pool(_pattern(stats[path], tuple(dict.fromkeys(t for t in texts if t))), size, samples[path], own)
+        by_task = F.get(F.lit([shift.get(t, 0) for t in range(max(shift, default=0) + 1)]), F.shiftright("id", _TASK_BITS).cast("int"))
+        placed[path] = sorted_.where(F.col("path") == path).select((F.col("id") - by_task).alias("place"), "value")
+    return Pools(few, many, placed)
+
+
+#: ``monotonically_increasing_id`` holds the number of the task above so many bits.
+_TASK_BITS = 33
+
+
+def drawn(rows: DataFrame, row_id: str, wanted: list[tuple[int, str, Column]], values: dict[str, DataFrame], name: str) -> DataFrame:
+    """``rows`` with an array ``name`` of the values they draw, by the number of the draw.
+
+    ``wanted`` has (number, path, place) of the draws of a row; a NULL place is a draw that a row does not use.  Each draw is
+    one join with the values of its path: rows are neither multiplied nor regrouped, so they may be a stream, and small
+    values are broadcast by size.  Rows that draw nothing get places below zero of their own, so that no task has them all.
     """
-    ids = rows.select(F.col(row_id).alias("__row")).distinct()
-    asked = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(path).alias("path"), place.alias("place")) for n, path, place in wanted(F.col("__row"))])
-    asks = ids.select("__row", F.explode(asked).alias("a")).select("__row", "a.*").where("place IS NOT NULL")
-    answers = (asks.join(values, ["path", "place"]).groupBy("__row")
-               .agg(F.map_from_entries(F.collect_list(F.struct("n", "value"))).alias(name)))
-    return rows.join(answers, rows[row_id].eqNullSafe(answers["__row"]), "left").drop("__row")
+    if not wanted:
+        return rows
+    spread = F.lit(-1).cast("long") - F.pmod(F.col(row_id).cast("long"), F.lit(1 << 40))
+    found: dict[int, Column] = {}
+    for number, path, place in wanted:
+        own = values[path].select(F.col("place").alias(f"__place{number}"), F.col("value").alias(f"__value{number}"))
+        rows = rows.join(own, F.coalesce(place, spread) == own[f"__place{number}"], "left")
+        found[number] = F.col(f"__value{number}")
+    none = F.lit(None).cast("string")
+    taken = F.array(*[found.get(i, none) for i in range(max(found) + 1)])
+    return rows.withColumn(name, taken).drop(*[f"__{kind}{number}" for number in found for kind in ("place", "value")])

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from synthmill.operators.leaves import BANK_JOINED, BANK_LITERAL, BLANK, MADE
 from synthmill.schema import Schema
 
 APP = "synthmill"
@@ -18,11 +19,10 @@ def _percent(part: Column, whole: Column) -> Column:
 
 
 def report_rates(counts: DataFrame) -> DataFrame:
-    """Add the bank hit rate of non-null leaves and the null rate of all leaves."""
-    filled = F.greatest(F.col("leaf_values") - F.col("null_values"), F.lit(0))
-    return counts.withColumns({
-        "history_hit_rate": _percent(F.col("history_hits"), filled),
-        "null_rate_pct": _percent(F.col("null_values"), F.col("leaf_values"))})
+    """Add the share of bank values among filled leaves and that of blank ones among all."""
+    filled = F.col(MADE) - F.col(BLANK)
+    return counts.withColumns({"bank_percent": _percent(F.col(BANK_LITERAL) + F.col(BANK_JOINED), filled),
+                               "blank_percent": _percent(F.col(BLANK), F.col(MADE))})
 
 
 def build_manifest(report: DataFrame, schema: Schema, *, seed: int, record_count: int, ci_mode: bool,

@@ -172,7 +172,7 @@ _PICKED = Field("v", source_keys=["click"])
 WITH bank AS (SELECT 'u' || lpad(user_id::VARCHAR, 6, '0') AS value, count(*) AS uses, max(ts) AS last
               FROM events WHERE event_type = 'click' GROUP BY 1),
      pool AS (SELECT list(value ORDER BY uses DESC, last DESC, value) AS vals FROM
-              (SELECT * FROM bank ORDER BY uses DESC, last DESC, value LIMIT 500))
+              bank)
 SELECT o_orderkey, CASE WHEN {v.chance('source', .5)} THEN {v.pick('bank', 'vals')}
    WHEN {v.chance('source', .55, 0, 1)} THEN {v.fill('mutate', 'u000000')}
    WHEN {v.chance('synth-source', .6)} THEN {v.fill('synth', 'u000000')}

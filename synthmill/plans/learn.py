@@ -41,7 +41,7 @@ _NAME, _NATION, _BALANCE, _SEGMENT = (Leaf(_SEED, path, _ROW) for path in ("c_na
 
 def _pool(column: str, text: str) -> str:
     """The values of a column that the plan carries, in the order of the bank."""
-    return f"(SELECT list(t ORDER BY t) FROM (SELECT DISTINCT {text} AS t FROM customer WHERE {column} IS NOT NULL ORDER BY t LIMIT {B.VALUES_PER_KEY}))"
+    return f"(SELECT list(t ORDER BY t) FROM (SELECT DISTINCT {text} AS t FROM customer WHERE {column} IS NOT NULL))"
 
 
 def _number(leaf: Leaf, pool: str, least: int) -> str:

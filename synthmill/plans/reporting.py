@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from synthmill.functions import naming as N
-from synthmill.operators import naming as O, report as R
+from synthmill.operators import counters, naming as O, report as R
 from synthmill.operators.generate import generation_counts
-from synthmill.operators.leaves import STAT_NAMES
 from synthmill.plans.duck import Leaf, TOKEN_TEXT, uuid_text
 from synthmill.plans.generation import PRIORITIES, SEED
 from synthmill.plans.registry import query, table
@@ -166,11 +165,11 @@ _COUNTS = f"""per AS (SELECT o_orderkey, {_SIZE} AS size, ({_l('priority').chanc
   {_sum_items(lambda i: f"({_l('items.b', i).chance('null', .5)})::INT")} AS null2,
   {_l('note').chance('source', .55, 0, 1)}::INT AS mutated, {_sum_items(lambda i: f"({_l('items.a', i).chance('source', .55, 0, 1)})::INT")} AS mutated2,
   {_l('qty').below('number', 41)} + 80 AS qty, {_N} AS hit FROM orders),
- counts AS (SELECT sum(6 + 2 * size)::BIGINT AS leaf_values, sum(null1 + null2)::BIGINT AS null_values, 0::BIGINT AS history_hits,
-  sum(1 - null1)::BIGINT AS enum_hits, sum(4 - mutated + 1 + (size - mutated2) + (size - null2) - 0)::BIGINT AS synthesized,
-  sum(mutated + mutated2)::BIGINT AS mutated_from_sample, sum(coalesce(hit - 1, 24))::BIGINT AS pattern_retries,
-  sum((hit IS NULL)::INT)::BIGINT AS pattern_failures, count(*) AS length_repairs, sum((qty < 95 OR qty > 110)::INT)::BIGINT AS numeric_repairs,
-  sum((o_orderkey >= 260)::INT)::BIGINT AS unique_exhausted FROM per)"""
+ counts AS (SELECT sum(6 + 2 * size)::BIGINT AS leaves_made, sum(null1 + null2)::BIGINT AS left_blank, sum(1 - null1)::BIGINT AS from_closed_set,
+  0::BIGINT AS from_bank_literal, 0::BIGINT AS from_bank_joined, sum(mutated + mutated2)::BIGINT AS template_redrawn,
+  sum(4 - mutated + (size - mutated2) + (size - null2))::BIGINT AS drawn_free, sum((o_orderkey < 260)::INT)::BIGINT AS drawn_distinct,
+  sum((o_orderkey >= 260)::INT)::BIGINT AS distinct_used_up, 0::BIGINT AS tied, count(*) AS cut, 0::BIGINT AS padded,
+  sum((qty < 95 OR qty > 110)::INT)::BIGINT AS clamped, sum(coalesce(hit - 1, 24))::BIGINT AS retried, sum((hit IS NULL)::INT)::BIGINT AS unmatched FROM per)"""
 
 
 def counts_of_orders(spark, sf_dir) -> DataFrame:
@@ -182,13 +181,13 @@ def m1(spark, sf_dir):
     return counts_of_orders(spark, sf_dir)
 
 
-@query("m2_report_rates", f"WITH {_COUNTS} SELECT 0.0::DOUBLE AS history_hit_rate, floor(null_values * 1000.0::DOUBLE / leaf_values + 0.5) / 10 AS null_rate_pct FROM counts")
+@query("m2_report_rates", f"WITH {_COUNTS} SELECT 0.0::DOUBLE AS bank_percent, floor(left_blank * 1000.0::DOUBLE / leaves_made + 0.5) / 10 AS blank_percent FROM counts")
 def m2(spark, sf_dir):
-    return R.report_rates(counts_of_orders(spark, sf_dir)).select("history_hit_rate", "null_rate_pct")
+    return R.report_rates(counts_of_orders(spark, sf_dir)).select("bank_percent", "blank_percent")
 
 
 @query("m3_build_manifest", f"""WITH {_COUNTS} SELECT '{{"app":"synthmill","version":"1.0.0","createdAt":"2024-06-15T00:00:00Z","seed":{SEED},"ciMode":true,"recordCount":' || (SELECT count(*) FROM orders) || ',"format":"csv","schemaName":"reported","schemaHash":"{REPORTED.hash()}","recordHistory":false,"report":{{'
- || {" || ',' || ".join(f"'\"{n}\":' || {n}" for n in STAT_NAMES)} || '}}}}' AS manifest FROM counts""")
+ || {" || ',' || ".join(f"'\"{n}\":' || {n}" for n in counters.names())} || '}}}}' AS manifest FROM counts""")
 def m3(spark, sf_dir):
     return R.build_manifest(counts_of_orders(spark, sf_dir), REPORTED, seed=SEED, record_count=table(spark, sf_dir, "orders").count(), ci_mode=True,
                             fmt="csv", created_at="2024-06-15T00:00:00Z")

@@ -7,21 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from synthmill.operators.bank import BANK_COLUMNS, record_ensure, record_use
-from synthmill.operators.generate import SchemaPlan
+from synthmill.operators.generate import generate_for
+from synthmill.operators.pools import Pools
 from synthmill.schema import Schema
-from synthmill.session import tune
 
 
 def generate_stream(spark: SparkSession, schema: Schema, seed: int, rows_per_second: int = 1000, *,
-                    rows: DataFrame | None = None, row: str = "value", keep: tuple[str, ...] = ("timestamp",), **source) -> DataFrame:
+                    rows: DataFrame | None = None, row: str = "value", keep: tuple[str, ...] = ("timestamp",),
+                    pools: Pools | None = None, **source) -> DataFrame:
     """Endless records; row ``i`` of the stream equals row ``i`` of a batch run with the same seed.
 
     Rows come from a clock, or from a stream ``rows`` with whole-number ids in ``row``; ``keep`` passes columns through.
+    ``pools`` are the bank values of a batch run; large ones are joined with each micro-batch and keep no state.
     """
-    tune(spark)
     if rows is None:
         rows = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).options(**source).load()
-    return rows.select(*keep, F.col(row).alias("row"), *SchemaPlan(schema, seed).columns(F.col(row)))
+    named = rows.select(*keep, F.col(row).alias("row"))
+    return generate_for(named, "row", schema, seed, keep=[*keep, "row"], pools=pools)
 
 
 def _committed(spark: SparkSession, folder: str, before: int) -> int | None:
