@@ -13,8 +13,9 @@
 Blocks, not pairs, meet where a shingle is common, and a common shingle is listed by those sets only that have hardly a
 rarer one.  Overlaps are exact for 64-bit shingle hashes.
 
-A null text counts as empty; a text without words has an empty set and is linked with nothing.  Rows that repeat a key
-are one node.  Documents without a key link as others do; their component is null where no key is reachable.
+A null text counts as empty; a text without words has an empty set and is linked with nothing.  Equal sets are one node,
+whatever their keys; rows that repeat a key with other texts are nodes of their own.  Documents without a key link as others
+do; their component is null where no key is reachable.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ WORDS, PERCENT = 5, 75
 BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 18
 #: Ratio of sizes within a bucket; above the ratio of two similar sets, so these are in the same or the next bucket.
 RATIO = 1.4
+#: Blocks of a list that are paired with as many others at once.
+PAIRED = 256
 #: Columns multiplied at once.
 COLUMNS = 4096
-#: Nodes of sets that no document with a key has begin here.
+#: Nodes of sets begin here that no document with a key has, or only documents whose key names another set already.
 KEYLESS = 1 << 62
 
-SETS = "doc_id long, n_shingles long, digest string, keys array<long>, shingles array<long>"
+SETS = "doc_id long, text_id binary, n_shingles long, digest string, keys array<long>, shingles array<long>"
 LINKS = "node long, other long, links long"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +127,7 @@ def listed(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         lengths[0][block.first], lengths[1][block.first] = n_keys, np.where(n_keys > 0, size, 0)
         lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(values.view(np.int64)))
                  for n, values in zip(lengths, (_by_row(keys, n_keys, block.first), _by_row(block.shingles[keep], np.where(n_keys > 0, size, 0), block.first)), strict=True)]
-        return pa.table({"doc_id": texts.column("doc_id"), "n_shingles": pa.array(block.n), "digest": pa.array(block.digest, pa.string()),
+        return pa.table({"doc_id": texts.column("doc_id"), "text_id": texts.column("text_id"), "n_shingles": pa.array(block.n), "digest": pa.array(block.digest, pa.string()),
                          "keys": lists[0], "shingles": lists[1]})
     return run
 
@@ -206,50 +209,73 @@ def shared_blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = written(placed.select("node", F.xxhash64("lead", "bucket", "share").alias("block"), "bucket"), "blocks")
     touched = live.select("key", "node").join(placed, "node").groupBy("key").agg(
         F.sort_array(F.collect_set(F.struct("block", "bucket"))).alias("touched")).select("touched").distinct()
-    pairs = touched.select(F.explode(F.expr("""flatten(transform(touched, (x, i) -> transform(
-        filter(slice(touched, i + 1, size(touched)), y -> abs(y.bucket - x.bucket) <= 1),
-        y -> struct(x.block AS one, y.block AS two))))""")).alias("p")).select("p.one", "p.two").distinct()
+    # A long list is paired by parts, each two in a row of their own.
+    parts = F.expr(f"cast(ceil(size(touched) / {PAIRED}) AS int)")
+    each = touched.withColumn("parts", parts).withColumn("one", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("two", F.explode(F.expr("sequence(one, parts - 1)")))
+    each = each.select(*[F.slice("touched", F.col(c) * PAIRED + 1, F.lit(PAIRED)).alias(c) for c in ("one", "two")], (F.col("one") == F.col("two")).alias("same"))
+    pairs = each.select(F.explode(F.expr("""flatten(transform(one, (x, i) -> transform(
+        filter(two, (y, j) -> (NOT same OR j >= i) AND abs(y.bucket - x.bucket) <= 1), y -> struct(x.block AS one, y.block AS two))))""")).alias("p"))
+    pairs = pairs.select("p.one", "p.two").distinct()
     return placed.select("node", "block"), pairs
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the size of its set, its component, and the number of documents that it links to."""
+def linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_id, n_shingles, component, component_id, n_links) of each row; ``text_id`` is a digest of the text,
+    ``component`` names the component also where it has no key, and is null for a row that is linked with nothing."""
     texts = narrowed(docs, id_col, text_col)
     texts, blocks = in_blocks(texts, "doc_id", "text")
+    texts = texts.withColumn("text_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     answers = shared_keys(texts.groupBy("block").applyInArrow(ask(blocks), ASKED))
     rows = written(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(listed(blocks), SETS), "sets")
 
-    # Equal sets are one node, under the smallest key.
-    classes = written(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-                      .select("digest", F.coalesce("least", keyless("digest")).alias("node"), "copies"), "classes")
+    # Equal sets are one node, under the smallest key; of sets of one smallest key one has it as its node.
+    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = classes.withColumn("own", F.coalesce("least", keyless("digest")))
+    named = classes.groupBy("own").agg(F.min("digest").alias("named"))
+    classes = written(classes.join(named, "own").select("digest", "least", "own", F.when(F.col("digest") == F.col("named"), F.col("own"))
+                                                        .otherwise(keyless("digest")).alias("node"), "copies"), "classes")
     # A block has listed its first document of a set; the class's own is that of the smallest key.
-    own = F.coalesce("doc_id", keyless("digest"))
-    full = rows.filter("size(keys) > 0").withColumn("node", own)
-    reps = full.select("digest", "node", F.col("n_shingles").alias("n"), "keys").join(classes, ["digest", "node"])
+    full = rows.filter("size(keys) > 0").withColumn("own", F.coalesce("doc_id", keyless("digest")))
+    reps = full.select("digest", "own", F.col("n_shingles").alias("n"), "keys").join(classes.select("digest", "own", "node"), ["digest", "own"])
     placed, pairs = shared_blocks(reps.dropDuplicates(["digest"]).select("node", "n", "keys"))
 
     units = pairs.withColumn("unit", F.xxhash64("one", "two"))
     units = units.select("unit", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
-    members = units.join(placed, "block").join(classes.select("node", "copies", "digest"), "node")
-    members = members.join(full.select("node", "digest", "shingles").dropDuplicates(["node", "digest"]), ["node", "digest"])
+    members = units.join(placed, "block").join(classes.select("node", "own", "copies", "digest"), "node")
+    members = members.join(full.select("own", "digest", "shingles").dropDuplicates(["own", "digest"]), ["own", "digest"])
     found = written(members.select("unit", "block", "node", "copies", "shingles").groupBy("unit").applyInArrow(product, LINKS), "links")
 
     labels = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(labels, "node", "left").join(links, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(~(F.col("doc_id").isNull() & (component >= KEYLESS)), component).alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        "digest", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = written(known, "components")
+    # A node that is no key can name a component in which there are keys all the same.
+    unnamed = known.filter(F.col("component") >= KEYLESS).groupBy("component").agg(F.min("least").alias("key"))
+    known = known.join(unnamed, "component", "left").withColumn("component_id", F.when(F.col("component") < KEYLESS, F.col("component")).otherwise(F.col("key")))
+    return rows.select("doc_id", "text_id", "n_shingles", "digest").join(known.drop("least", "key"), "digest", "left").drop("digest")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the size of its set, its component, and the number of documents that it links to."""
+    alone = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return linked_rows(docs, id_col, text_col).select("doc_id", "n_shingles", alone.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that have the smallest key of their component.
+    """One row of each component of ``docs`` (doc_id, text and any others): that of the smallest key, of these of the smallest digest of the text.
 
-    Of rows that repeat a key the one with the smallest text stays; rows without a key cannot be told apart and stay.
+    Rows that are linked with nothing stay, but for repeats of key and text.  Rows without a key cannot be told apart and stay.
     """
-    kept = linked(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    keyed = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first).filter("__first = 1").drop("__first")
+    rows = linked_rows(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
+    best = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_id")).alias("b")).select("b.*")
+    kept = best.unionByName(rows.filter("component IS NULL").select("doc_id", "text_id")).distinct()
+    own = "__"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    kept = kept.select(F.col("doc_id").alias(f"{own}key"), F.col("text_id").alias(f"{own}text"))
+    known = docs.withColumn(f"{own}id", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    keyed = known.join(kept, (known["doc_id"] == kept[f"{own}key"]) & (known[f"{own}id"] == kept[f"{own}text"]), "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id", f"{own}id").orderBy("doc_id"))
+    keyed = keyed.withColumn(f"{own}first", first).filter(F.col(f"{own}first") == 1)
     return keyed.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -81,7 +81,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_folder(spark)).drop("complete")
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_folder(spark))
 
 
 @query

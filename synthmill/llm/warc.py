@@ -20,6 +20,7 @@ import io
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,10 +79,11 @@ def header(fields: list[tuple[str, object]]) -> bytes:
 
 
 def page_records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool,
-                 segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+                 segment: int = SEGMENT_BYTES, date: str = "1970-01-01T00:00:00Z") -> Iterator[bytes]:
     """The records of a page, without the record end."""
     digest = hashlib.sha256(payload).hexdigest()
-    named = [("WARC-Record-ID", record_id(page, digest)), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", f"sha256:{digest}"),
+    place = [("WARC-Date", date), ("WARC-Target-URI", url or "")]
+    named = [("WARC-Record-ID", record_id(page, digest)), *place, ("WARC-Payload-Digest", f"sha256:{digest}"),
              ("X-Page-ID", "" if page is None else page), ("X-Payload-Length", len(payload))]
     http = ("Content-Type", "application/http; msgtype=response")
     if revisit:
@@ -95,13 +97,14 @@ def page_records(page: int | None, url: str | None, payload: bytes, refers_to: i
     yield header([("WARC-Type", "response"), *named, *first, http, ("Content-Length", len(parts[0]))]) + parts[0]
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", len(block))] * (k == len(parts))
-        yield header([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, digest, k)), ("WARC-Segment-Origin-ID", record_id(page, digest)),
+        yield header([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, digest, k)), *place, ("WARC-Segment-Origin-ID", record_id(page, digest)),
                       ("WARC-Segment-Number", k), *total, ("Content-Length", len(part))]) + part
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                   segment: int = SEGMENT_BYTES) -> None:
-    """Write the archives of ``pages`` below ``path``."""
+                   segment: int = SEGMENT_BYTES, date: str | None = None) -> None:
+    """Write the archives of ``pages`` below ``path``; ``date`` (ISO, UTC; the time of this call) is that of all records."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     base = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"),
                         F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha2("html", 256))
@@ -118,7 +121,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             out: list[bytes] = []
             size = 0
             for page, url, html, refers_to, revisit in rows_of(batch):
-                for record in page_records(page, url, html.encode(), refers_to, revisit, segment):
+                for record in page_records(page, url, html.encode(), refers_to, revisit, segment, date):
                     out.append(record)
                     size += len(record)
                 if size > 4 << 20:
@@ -190,23 +193,26 @@ def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def restored(parts: list[dict]) -> list[tuple]:
-    """Rows of RESTORED from the records of an origin; not complete if segments or bytes are missing or wrong.
+    """Rows of RESTORED from the records of an origin: what has been put together, whatever the first record says of it.
+
+    Not complete, and without length and digest, if segments or bytes are missing or wrong.
 
     Rows that repeat key and payload have written their records more than once, and get as many rows.
     """
-    row = lambda p, n, done: (p["page_id"], p["payload_bytes"], p["payload_digest"], p["record_type"], p["refers_to"], n, done)
-    rows = [row(p, 1, True) for p in parts if p["block"] is None]
+    row = lambda p, length, digest, n, done: (p["page_id"], length, digest, p["record_type"], p["refers_to"], n, done)
+    rows = [row(p, p["payload_bytes"], p["payload_digest"], 1, True) for p in parts if p["block"] is None]
     parts = sorted((p for p in parts if p["block"] is not None), key=lambda p: p["segment"])
     if not parts:
         return rows
     copies = max(1, sum(p["segment"] == 1 for p in parts))
     first, once = parts[0], parts[::copies]
     block = b"".join(p["block"] for p in once)
-    done = [p["segment"] for p in parts] == [k for k in range(1, len(once) + 1) for _ in range(copies)] and once[-1]["total"] == len(block)
-    if done:
+    length = digest = None
+    if [p["segment"] for p in parts] == [k for k in range(1, len(once) + 1) for _ in range(copies)] and once[-1]["total"] == len(block):
         payload = payload_of(block)
-        done = hashlib.sha256(payload).hexdigest() == first["payload_digest"] and len(payload) == first["payload_bytes"]
-    return rows + [row(first, len(once), done)] * copies
+        length, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    done = length is not None and (length, digest) == (first["payload_bytes"], first["payload_digest"])
+    return rows + [row(first, length if done else None, digest if done else None, len(once), done)] * copies
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

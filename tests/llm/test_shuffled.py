@@ -1,7 +1,9 @@
 """Operators that move data: repeats, fingerprints, packing, Jaccard join, WARC, and the pipeline, against brute force."""
 
 import collections
+import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -326,15 +328,11 @@ def joined(rows):
             i = root[i]
         return i
 
-    same_key: dict[int, int] = {}
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 root[find(i)] = find(j)
                 links[i], links[j] = links[i] + 1, links[j] + 1
-        key = rows[i][0]
-        if a and key is not None:
-            root[find(i)] = find(same_key.setdefault(key, i))
     least: dict[int, int] = {}
     for i, (key, _) in enumerate(rows):
         if key is not None:
@@ -354,11 +352,27 @@ def test_jaccard_query(spark):
     assert sorted(tuple(r) for r in QUERIES["op8_ngram_jaccard"](spark, SF).collect()) == sorted(joined(docs))
 
 
-def test_jaccard_of_repeated_keys_is_one_node(spark):
-    a, b = prose(random.Random(1), "abcdefghijk", 30), prose(random.Random(2), "lmnopqrstuv", 30)
-    rows = [(5, a), (5, b), (7, a), (9, b), (5, a), (None, a), (None, "only me here")]
+def test_jaccard_tells_texts_of_one_key_apart(spark):
+    a, b, c = (prose(random.Random(i), letters, 30) for i, letters in enumerate(("abcdefghijk", "lmnopqrstuv", "xyzäöüàéèß")))
+    rows = [(5, a), (5, b), (7, a), (9, b), (3, b), (5, a), (5, c), (None, a), (None, "only me here")]
     got = sorted(str(tuple(r)[:3]) for r in jaccard.linked(frame(spark, rows)).collect())
-    assert got == sorted(str(x[:3]) for x in joined(rows))
+    assert got == sorted(str(x[:3]) for x in joined(rows)) and "(5, 26, 3)" in got and got.count("(5, 26, 5)") == 3
+    left = jaccard.one_each(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, __id string, component int"))
+    assert sorted(str(tuple(r)) for r in left.collect()) == sorted(str((*r, "x", 1)) for r in [(5, a), (3, b), (5, c), (None, a), (None, "only me here")])
+
+
+@pytest.mark.parametrize("paired", [1, 2, 256])
+def test_lists_are_paired_by_parts(spark, monkeypatch, paired):
+    """Every two blocks of a list, and each with itself, once, whatever the parts it is cut into."""
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
+    reps = spark.createDataFrame([(i, 4 + i % 5, [1, 2 + i % 3]) for i in range(40)], "node long, n long, keys array<long>")
+    placed, pairs = jaccard.shared_blocks(reps)
+    of = {r.node: r.block for r in placed.collect()}
+    bucket = {i: int(math.log(4 + i % 5) / math.log(jaccard.RATIO)) for i in range(40)}
+    want = {tuple(sorted((of[i], of[j]))) for i in range(40) for j in range(40) if abs(bucket[i] - bucket[j]) <= 1}
+    got = [tuple(sorted(r)) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_a_hub_and_its_copies(spark):
@@ -426,10 +440,28 @@ def test_warc_tells_what_is_missing():
     assert warc.restored(whole)[0] == (1, 350, sha(b"payload" * 50), "response", None, 3, True)
     assert not warc.restored(whole[:2])[0][-1] and not warc.restored([whole[1], whole[2]])[0][-1]
     assert not warc.restored([*whole[:2], part(3, block[200:], len(block) + 1)])[0][-1]
+    assert warc.restored(whole[:2])[0][1:3] == (None, None)
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc")
 
 
+@pytest.mark.parametrize("lost", ["a segment", "bytes"])
+def test_warc_reads_what_is_left_of_an_archive(spark, tmp_path, lost):
+    """A page of which a record is gone or changed is not complete; the others are as they were."""
+    pages = spark.createDataFrame([(1, "u", "a" * 50_000), (2, "v", "b" * 50_000), (3, "w", "short")], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"), date="2024-01-01T00:00:00Z")
+    [file] = (tmp_path / "a").glob("*.gz")
+    raw = gzip.decompress(file.read_bytes())
+    records = raw.split(warc.RECORD_END.encode() + warc.VERSION.encode())
+    assert all(b"WARC-Date: 2024-01-01T00:00:00Z" in r and b"WARC-Target-URI: " in r for r in records)
+    at = next(i for i, r in enumerate(records) if b"WARC-Segment-Number: 2" in r and b"page:2:" in r)
+    records[at:at + 1] = [] if lost == "a segment" else [records[at].replace(b"b" * 100, b"c" * 100)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/x.warc.gz").write_bytes(gzip.compress((warc.RECORD_END.encode() + warc.VERSION.encode()).join(records)))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.complete) for r in warc.read_archives(spark, str(tmp_path / "b")).collect()}
+    assert got == {1: (50_000, sha(b"a" * 50_000), True), 2: (None, None, False), 3: (5, sha(b"short"), True)}
+
+
 def test_warc_query(spark):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = QUERIES["op9_warc"](spark, SF).collect()
