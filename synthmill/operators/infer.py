@@ -18,7 +18,8 @@ from synthmill.functions.text import is_scalar, scalar_text
 from synthmill.schema import ARRAY, OBJECT, VALUE, Field, Schema
 
 EACH = "[]"
-MAX_DEPTH = 8
+#: Depth up to which a text's brackets are believed without parsing it.
+PLAUSIBLE_DEPTH = 16
 
 # Names that mark a key column.
 PRIMARY_NAME = r"^(?i:id|_id|.*_id|uuid|guid)$"
@@ -49,14 +50,35 @@ def leaves(df: DataFrame, pos: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.select(*by, "pos", F.array("i").alias("at"), "leaf.*")
 
 
-def document_leaves(df: DataFrame, document: str, pos: str, by: Sequence[str] = (),
-                    max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Leaves of JSON documents of any shape.
+def nesting(document: Column) -> Column:
+    """Levels of brackets of a JSON text, those within its strings aside."""
+    brackets = F.regexp_replace(document, r'"[^"\\]*+(?:(?s:\\.)[^"\\]*+)*+"|[^\[\]{}"]++', "")
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("{", "["), 1).otherwise(F.when(c.isin("}", "]"), -1).otherwise(0))
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(brackets, ""), start, step, lambda a: a["most"])
+
+
+def deepest(df: DataFrame, document: str) -> int:
+    """The deepest nesting of the JSON documents of a column: one number from one pass, without a shuffle of the documents."""
+    levels = nesting(F.col(document))
+    found = df.select(F.col(document).alias("d"), levels.alias("n"))
+    told = F.when((F.col("n") <= PLAUSIBLE_DEPTH) | F.try_parse_json("d").isNotNull(), F.col("n"))
+    return found.agg(F.max(told)).first()[0] or 0
+
+
+def document_leaves(df: DataFrame, document: str, pos: str, by: Sequence[str] = (), depth: int | None = None) -> DataFrame:
+    """Leaves of JSON documents of any shape and depth.
 
     A top-level array holds several records; text that is not JSON is left out.  Documents are
-    unfolded one level per step, all in one stage without a shuffle.  A document nested deeper
-    than ``max_depth`` raises an error instead of losing values.
+    unfolded one level per step, all in one stage without a shuffle, as many levels as the deepest
+    has; a pass over the documents finds that out, unless ``depth`` says it.  A document deeper
+    than a given depth raises an error instead of losing values.
     """
+    depth = deepest(df, document) if depth is None else depth
     explode = df.sparkSession.tvf.variant_explode_outer
 
     def shape(v: str, prefix: str) -> Column:
@@ -67,7 +89,7 @@ def document_leaves(df: DataFrame, document: str, pos: str, by: Sequence[str] =
     out = out.lateralJoin(explode(F.col("list").outer()).toDF("p", "k", "n")).select(
         *by, "pos", F.coalesce("n", "v").alias("v"), F.array(F.coalesce("p", F.lit(0))).alias("at"))
     out = out.withColumn("steps", F.when(shape("v", "OBJECT<"), F.array().cast("array<string>")).otherwise(F.array(F.lit("value"))))
-    for _ in range(max_depth):
+    for _ in range(depth):
         moved = F.col("p").isNotNull()
         out = out.lateralJoin(explode(F.col("v").outer()).toDF("p", "k", "n")).select(
             *by, "pos", F.coalesce("n", "v").alias("v"),
@@ -75,7 +97,7 @@ def document_leaves(df: DataFrame, document: str, pos: str, by: Sequence[str] =
             F.when(moved, F.array_append("steps", F.coalesce("k", F.lit(EACH)))).otherwise(F.col("steps")).alias("steps"))
     empty = F.to_json("v").isin("{}", "[]")
     nested = shape("v", "OBJECT<") | shape("v", "ARRAY<")
-    deeper = F.raise_error(F.lit(f"document nested deeper than {max_depth} levels")).cast("string")
+    deeper = F.raise_error(F.lit(f"document nested deeper than {depth} levels")).cast("string")
     kind = (F.when(nested & ~empty, deeper).when(shape("v", "OBJECT<"), OBJECT)
             .when(shape("v", "ARRAY<"), ARRAY).otherwise(VALUE))
     # The check sits in the value column too, so that pruning "kind" cannot skip it.

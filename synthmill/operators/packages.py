@@ -33,7 +33,7 @@ class Imported:
     skipped: DataFrame   # package, path, reason
 
 
-def import_entries(entries: DataFrame, max_depth: int = I.MAX_DEPTH) -> Imported:
+def import_entries(entries: DataFrame, depth: int | None = None) -> Imported:
     """Members, schemas and values from expanded entries (see ``expand_archives``)."""
     text = F.decode("content", "UTF-8")
     members = entries.where("kind <> 'skipped'").select(
@@ -46,20 +46,20 @@ def import_entries(entries: DataFrame, max_depth: int = I.MAX_DEPTH) -> Imported
     keyed = docs.select(F.substring_index("path", _SEP, 1).alias("package"), F.substring_index("path", _SEP, -1).alias("member"),
                         "record", "document", "error")
     by = ["package", "member"]
-    rows = I.document_leaves(keyed.where("document IS NOT NULL"), "document", "record", by, max_depth)
+    rows = I.document_leaves(keyed.where("document IS NOT NULL"), "document", "record", by, depth)
     failed = keyed.where("error IS NOT NULL").select("package", F.col("member").alias("path"), F.col("error").alias("reason"))
     left_out = entries.where("kind = 'skipped'").select(F.col("path").alias("package"), F.col("entry").alias("path"), "reason")
     values = I.harvest_values(rows, by).select(*by, "path", "value")
     return Imported(members, I.schema_rows(rows, by), values, left_out.unionByName(failed.distinct()))
 
 
-def import_packages(files: DataFrame, max_depth: int = I.MAX_DEPTH, package: str | None = None) -> Imported:
+def import_packages(files: DataFrame, depth: int | None = None, package: str | None = None) -> Imported:
     """Import archives (path, content), one package each, or with ``package`` the files of one folder.
 
     The expanded entries are kept once in the checkpoint folder, because every frame of the result
     reads them; archives are not opened again for each.
     """
-    return import_entries(cut(expand_archives(files, package)), max_depth)
+    return import_entries(cut(expand_archives(files, package)), depth)
 
 
 def nested_map(members: DataFrame) -> DataFrame:

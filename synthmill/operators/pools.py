@@ -74,7 +74,9 @@ def _kept(df: DataFrame, name: str, *by: str) -> DataFrame:
 def all_values(bank: DataFrame, schema: Schema) -> DataFrame:
     """(path, value, best): the values of all read keys of each leaf, each where it comes first (see ``_best_first``)."""
     keys = [(path, key.lower(), i) for path, f in schema.leaves() for i, key in enumerate(f.read_keys(path))]
-    own = bank.where(F.col("category_id") == category_id(F.col("key_name"))).select(
+    # The keys are given twice: as a list they reach the scan of the bank, below its aggregation.
+    read = F.lower("key_name").isin(sorted({key for _, key, _ in keys}))
+    own = bank.where(read & (F.col("category_id") == category_id(F.col("key_name")))).select(
         F.lower("key_name").alias("key"), trim(F.col("value")).alias("value"), "use_count", "last_used_at")
     best = F.struct((-F.col("i")).alias("key"), "use_count", "last_used_at")
     found = own.where("value <> ''").join(_by_path(bank.sparkSession, keys, "path string, key string, i int"), "key")

@@ -19,6 +19,7 @@ from synthmill.plans.generation import SEED, TIED, CUSTOMER
 from synthmill.plans.registry import query, table
 from synthmill.plans.reshaping import nested_orders
 from synthmill.sinks import archives as A, files as W, records as K
+from synthmill.sinks.records import write_files
 from synthmill.sources import archives as R, files as S
 from synthmill.streaming import jobs as J
 
@@ -110,6 +111,25 @@ def s6(spark, sf_dir):
     return exploded.select("path", F.when(F.col("i") >= 0, F.col("i")).otherwise(F.col("record")).alias("record"), value.alias("value"))
 
 
+_SUPPLIER_FILE = "'f' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.csv' ELSE '.txt' END"
+
+
+@query("s6_read_txt_files", f"""SELECT {_SUPPLIER_FILE} AS file, i::INT AS record, s_name AS value
+FROM supplier, range(2) t(i) WHERE i = 0 OR s_suppkey % 3 < 2""")
+def s6_files(spark, sf_dir):
+    """A file for each supplier in one of three formats, read back from its folder."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    form = k % 3
+    line = F.concat(F.lit('{"n":"'), name, F.lit('"}'))
+    content = F.when(form == 0, F.concat_ws("\n", line, line)).when(form == 1, F.concat_ws("\n", F.lit("n"), name, name)).otherwise(name)
+    ending = F.when(form == 0, ".json").when(form == 1, ".csv").otherwise(".txt")
+    folder = scratch(spark, "texts")
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), k.cast("string"), ending).alias("path"), content.alias("content"))
+    write_files(files, folder).write.format("noop").mode("overwrite").save()
+    value = F.coalesce(F.get_json_object("document", "$.n"), F.get_json_object("document", "$.content"))
+    return S.read_txt(spark, folder).select(F.substring_index("path", "/", -1).alias("file"), "record", value.alias("value"))
+
+
 @query("s7_sniff_format", f"SELECT {_FILE} AS path, CASE event_id % 7 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 2 THEN 'txt' WHEN 3 THEN 'yaml' WHEN 4 THEN 'xml' WHEN 5 THEN 'csv' ELSE 'yaml' END AS format FROM events")
 def s7(spark, sf_dir):
     files = _mixed_texts(spark, sf_dir)

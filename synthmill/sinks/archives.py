@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from synthmill.functions import draws as d
 from synthmill.functions.naming import EXTENSIONS, clean_segment
 from synthmill.functions.render import csv_line, json_text, record_column, xml_tag, xml_text, yaml_text
+from synthmill.functions.scratch import qualified
 from synthmill.functions.text import scalar_text
 from synthmill.operators.reshape import flatten, split_n
 
@@ -108,12 +109,13 @@ def write_archives(pieces: DataFrame, folder: str, fmt: str, volume_entries: int
     if volume_entries is not None:
         pieces = pieces.withColumn("archive", volume_name(F.col("archive"), d.div(F.col("entry_no").cast("long"), volume_entries)))
     sizes = pieces.groupBy("archive", "entry_no").agg(F.sum(F.octet_length("text")).alias("size"))
+    target_folder = qualified(pieces.sparkSession, folder)
     rows = pieces.join(sizes, ["archive", "entry_no"]).repartition("archive").sortWithinPartitions("archive", "entry_no", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
         from pyarrow import fs
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, base = fs.FileSystem.from_uri(target_folder)
         store.create_dir(base, recursive=True)
         current = opened = writer = last = None
         count = 0

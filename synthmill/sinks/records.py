@@ -10,19 +10,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from synthmill.functions.naming import NameContext, Naming
 from synthmill.functions.render import record_column, render
+from synthmill.functions.scratch import qualified
 from synthmill.operators.naming import name_records
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
     """Write (path, content) rows below a folder; gives (path, status, bytes).
 
-    ``folder`` is any location pyarrow can open and all executors share.  A repeated task writes the
+    ``folder`` is any location pyarrow can open and all executors share; without a file system it is in the default one
+    of the cluster.  A repeated task writes the
     same bytes to the same place, so a retry is harmless.  The frame must be consumed once.
     """
 
+    target_folder = qualified(rows.sparkSession, folder)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, base = fs.FileSystem.from_uri(target_folder)
         made: set[str] = set()
         for batch in batches:
             done = []

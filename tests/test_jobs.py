@@ -20,7 +20,7 @@ from synthmill.schema import ARRAY, OBJECT, Field, Schema
 from synthmill.sinks import archives as A, files as W, records as K
 from synthmill.sources import archives as AR, files as S
 from synthmill.streaming import jobs as J
-from tests.conftest import SF, executed_plan
+from tests.conftest import SF, executed_plan, plan_of
 from synthmill.functions.naming import NameContext, Naming
 
 
@@ -103,9 +103,21 @@ def test_documents_of_any_shape(spark):
 def test_too_deep_documents_are_an_error(spark):
     deep = "".join('{"k":' for _ in range(6)) + "1" + "}" * 6
     df = spark.createDataFrame([(0, deep)], "pos int, doc string")
-    assert I.harvest_values(I.document_leaves(df, "doc", "pos", max_depth=6)).count() == 1
+    assert I.harvest_values(I.document_leaves(df, "doc", "pos", depth=6)).count() == 1
     with pytest.raises(Exception, match="nested deeper"):
-        I.harvest_values(I.document_leaves(df, "doc", "pos", max_depth=4)).collect()
+        I.harvest_values(I.document_leaves(df, "doc", "pos", depth=4)).collect()
+
+
+def test_documents_of_any_depth(spark):
+    """Forty levels of objects and arrays are learned whole; flat corpora are unfolded as deep as they are."""
+    deep = "".join('{"k%d":' % i if i % 3 else '[{"k%d":' % i for i in range(40)) + '"end"' + "".join("}" if i % 3 else "}]" for i in reversed(range(40)))
+    df = spark.createDataFrame([(0, deep), (1, '{"a":"[[[[ \\" {{{{","b":[]}'), (2, "not [[[[[[[[[[[[[[[[[[[[[[[ json"), (3, None), (4, "")], "pos int, doc string")
+    rows = I.document_leaves(df, "doc", "pos")
+    paths = {r["path"]: r["value"] for r in I.harvest_values(rows).collect()}
+    assert paths == {".".join(f"k{i}" for i in range(40)): "end", "a": '[[[[ " {{{{'}
+    flat = spark.createDataFrame([(0, '{"a":{"b":1}}')], "pos int, doc string")
+    assert I.deepest(flat, "doc") == 2 and I.deepest(df, "doc") == 40 + 14 and I.deepest(df.limit(0), "doc") == 0
+    assert plan_of(I.document_leaves(flat, "doc", "pos")).split("Physical Plan")[1].count("Generate ") == 3
 
 
 def test_typed_and_untyped_leaves_agree(spark):
