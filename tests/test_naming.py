@@ -65,6 +65,18 @@ def test_unique_fragments(spark, values):
     assert [r["name"] for r in out] == fragments_one_by_one(values)
 
 
+def test_a_thousand_clashes_cost_no_more_shuffles(spark):
+    """Natural names on all the numbers that one hot name would take, and on those of fragments."""
+    paths = [f"a_{2 * i}.txt" if i % 3 else "a.txt" for i in range(1, 3001)]
+    df = spark.createDataFrame(list(enumerate(paths)), "id bigint, path string")
+    disk = spark.createDataFrame([(f"A_{i}.txt",) for i in range(900, 950)], "path string")
+    made = resolve_collisions(df, "id", "path", "suffix", disk)
+    assert {r["id"]: r["path"] for r in made.collect()} == one_by_one(paths, "suffix", [f"A_{i}.txt" for i in range(900, 950)])
+    values = [f"h_{i + 2}" if i % 2 else ("h" if i % 4 else "h_7") for i in range(2000)]
+    out = unique_fragments(spark.createDataFrame(list(enumerate(values)), "id bigint, v string"), "id", F.col("v"), "name").orderBy("id")
+    assert [r["name"] for r in out.collect()] == fragments_one_by_one(values)
+
+
 def test_a_fragment_with_most_rows(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
     out = unique_fragments(df, "id", F.col("v"), "name")
