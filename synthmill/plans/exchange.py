@@ -445,4 +445,4 @@ def t2(spark, sf_dir):
 @query("t3_first_seen_stream", "SELECT DISTINCT event_type AS path, 'u' || lpad(user_id::VARCHAR, 6, '0') AS value FROM events UNION SELECT DISTINCT event_type || '.props', props FROM events")
 def t3(spark, sf_dir):
     rows = event_rows(stream_events(spark, sf_dir)).select(F.col("key_name").alias("path"), "value", F.col("used_at").cast("timestamp").alias("used_at"))
-    return _drained(J.first_seen_stream(rows, "used_at", "60 days"), spark, "seen").select("path", "value")
+    return _drained(J.first_seen_stream(rows), spark, "seen").select("path", "value")

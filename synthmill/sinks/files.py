@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from synthmill.functions.render import (
@@ -18,22 +19,24 @@ from synthmill.operators.reshape import RECORD, entity_split, flatten, per_key,
 
 
 def _framed(lines: DataFrame, head: str, tail: str, separator: str) -> DataFrame:
-    """Lines of each partition between a head and a tail line, with a separator after all but the last."""
+    """Lines of each partition between a head and a tail line, with a separator after all but the last.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": [head]})
-        held: str | None = None
+    Batches pass whole; only the last line of each waits for the next batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(values: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([values], ["value"])
+        yield out(pa.array([head]))
+        held = pa.array([], pa.string())
         for batch in batches:
-            out = []
-            for line in batch["value"]:
-                if held is not None:
-                    out.append(held + separator)
-                held = line
-            if out:
-                yield pd.DataFrame({"value": out})
-        yield pd.DataFrame({"value": ([held] if held is not None else []) + [tail]})
-
-    return lines.mapInPandas(run, "value string")
+            if batch.num_rows:
+                known = pa.concat_arrays([held, batch.column(0).cast(pa.string())])
+                yield out(pc.binary_join_element_wise(known[:-1], separator, ""))
+                held = known[-1:]
+        yield out(pa.concat_arrays([held, pa.array([tail])]))
+
+    return lines.mapInArrow(run, "value string")
 
 
 def write_json(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

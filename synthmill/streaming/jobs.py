@@ -69,6 +69,13 @@ def bank_stream(rows: DataFrame, folder: str, checkpoint: str, now: Column, *, e
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def first_seen_stream(values: DataFrame, time: str, delay: str, keys: tuple[str, ...] = ("path", "value")) -> DataFrame:
-    """First row of each (path, value); the watermark bounds the state, rows later than that are dropped."""
+def first_seen_stream(values: DataFrame, time: str | None = None, delay: str | None = None,
+                      keys: tuple[str, ...] = ("path", "value")) -> DataFrame:
+    """First row of each (path, value), however late a row comes: the state holds every pair that has been seen.
+
+    A state of that size wants Spark's RocksDB store.  With ``time`` and ``delay`` a watermark bounds it instead; rows later
+    than that are dropped, and a pair counts again after it.
+    """
+    if delay is None:
+        return values.dropDuplicates(list(keys))
     return values.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))

@@ -331,3 +331,28 @@ def test_stream_rows_equal_batch_rows(spark, tmp_path):
     n = got.count()
     want = spark.range(n).select(F.col("id").alias("row"), *SchemaPlan(schema, 5).columns(F.col("id")))
     assert n > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_pair_is_new_once_however_late_it_comes(spark, tmp_path):
+    """A second run of the stream, with rows from years before, adds only what has never been seen."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(rows, n):
+        spark.createDataFrame(rows, "path string, value string, used_at timestamp").coalesce(1).write.parquet(f"{source}/{n}")
+        stream = spark.readStream.schema("path string, value string, used_at timestamp").option("recursiveFileLookup", True).parquet(source)
+        J.first_seen_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(
+            availableNow=True).start(out).awaitTermination()
+        return sorted((r.path, r.value) for r in spark.read.parquet(out).collect())
+    assert run([("a", "1", datetime(2024, 1, 1)), ("a", "1", datetime(2024, 1, 2))], 1) == [("a", "1")]
+    assert run([("a", "2", datetime(1990, 1, 1)), ("a", "1", datetime(1980, 1, 1)), ("a", "2", datetime(2030, 1, 1))], 2) == [("a", "1"), ("a", "2")]
+
+
+def test_framed_lines_of_many_batches(spark, tmp_path):
+    """Commas after all but the last record of a part, also where parts are empty or batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        W.write_json(spark.range(0, 20, 1, 3).where("id < 10"), str(tmp_path / "j"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "j").glob("part*")]
+    assert sorted(r["id"] for p in parts for r in p) == list(range(10))
