@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from synthmill.functions.scratch import shared_folder
+from synthmill.functions.scratch import scratch, shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +13,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: what several uses read is computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -141,13 +141,40 @@ def search(bank: DataFrame, categories: DataFrame, text: str) -> DataFrame:
     return named.where(matches(text)) if text.strip() else named
 
 
+#: Entries that a page may lie behind before its range is looked for; every task of a sorted cut sends so many.
+PAGE_DEPTH = 100_000
+
+
+def _range_of(found: DataFrame, offset: int, size: int) -> tuple[DataFrame, int]:
+    """The entries among which a page of the newest lies, and its offset in them.
+
+    Counts per hour, then per second, then per beginning of the id (until there are few, or the page spans several) tell which
+    range holds the page; only that range is sorted.
+    """
+    at = F.coalesce("last_used_at", F.lit("0001-01-01").cast("timestamp_ntz"))
+    for level in (F.date_trunc("hour", at), F.date_trunc("second", at), F.left("id", F.lit(4))):
+        sizes = found.groupBy(level.alias("part")).agg(F.count("*").alias("n"))
+        newer = W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+        sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+        r = sizes.where((F.col("before") + F.col("n") > offset) & (F.col("before") < offset + size)).agg(
+            F.min("part").alias("low"), F.max("part").alias("high"), F.min("before").alias("before"), F.sum("n").alias("n")).first()
+        if r["n"] is None:
+            return found.limit(0), 0
+        found, offset = found.where((level >= F.lit(r["low"])) & (level <= F.lit(r["high"]))), offset - r["before"]
+        if r["low"] != r["high"] or r["n"] <= PAGE_DEPTH:
+            break
+    return found, offset
+
+
 def page(bank: DataFrame, categories: DataFrame, offset: int = 0, limit: int = 100,
          text: str = "") -> tuple[DataFrame, DataFrame]:
     """(page of entries, one-row total).  A page past the end is empty."""
-    found = search(bank, categories, text)
-    size = at_least_one(limit)
-    items = _newest(found).offset(max(0, int(offset))).limit(size)
-    return items, found.agg(F.count("*").alias("total"))
+    found = search(bank, categories, text) if text.strip() else bank
+    size, skip = at_least_one(limit), max(0, int(offset))
+    part, left = _range_of(found, skip, size) if skip + size > PAGE_DEPTH else (found, skip)
+    items = _newest(part).offset(left).limit(size)
+    # Without a text the category is looked up for the listed rows only.
+    return items if text.strip() else with_category(items, categories), found.agg(F.count("*").alias("total"))
 
 
 def _ranked(bank: DataFrame, keep: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from synthmill.functions.draws import DIGITS, LOWER, UPPER
 from synthmill.functions.kinds import BOOL, NUMERIC_KINDS, WHITESPACE, Pattern, trim
-from synthmill.functions.scratch import scratch
+from synthmill.functions.lineage import kept
 from synthmill.operators.bank import VALUES_PER_KEY, category_id
 from synthmill.operators.infer import detect_kinds
 from synthmill.schema import Schema
@@ -65,12 +65,6 @@ def _by_path(spark, pairs: list[tuple], ddl: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(pairs, ddl))
 
 
-def _kept(df: DataFrame, name: str, *by: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def all_values(bank: DataFrame, schema: Schema) -> DataFrame:
     """(path, value, best): the values of all read keys of each leaf, each where it comes first (see ``_best_first``)."""
     keys = [(path, key.lower(), i) for path, f in schema.leaves() for i, key in enumerate(f.read_keys(path))]
@@ -110,7 +104,7 @@ def pools(bank: DataFrame, schema: Schema, order: str = "intent", literals: int
     The driver holds ``literals`` values of a leaf at most, and a row for each leaf and task of the sort.
     """
     spark = bank.sparkSession
-    values = _kept(all_values(bank, schema), "pool")
+    values = kept(all_values(bank, schema), "pool")
     counts = {r["path"]: r["count"] for r in values.groupBy("path").count().collect()}
     short, long = [p for p, n in counts.items() if n <= literals], [p for p, n in counts.items() if n > literals]
     few: dict[str, list[str]] = {}
@@ -126,7 +120,7 @@ def pools(bank: DataFrame, schema: Schema, order: str = "intent", literals: int
     # Sorted once over all tasks: an id is the number of its task and the place in it, so a place is the id less what
     # the earlier tasks (and the earlier leaves of its own) have before it.
     fitting = values.join(kinds, "path").where(_fits(F.col("kind"))).orderBy("path", *_best_first()).select("path", "value")
-    sorted_ = _kept(fitting.withColumn("id", F.monotonically_increasing_id()), "pool-sorted", "path")
+    sorted_ = kept(fitting.withColumn("id", F.monotonically_increasing_id()), "pool-sorted", "path")
     traits = _by_path(spark, [(p, samples[p], limits[p]) for p in long], "path string, sample string, limit int")
     cut = F.substring("value", F.lit(1), F.coalesce("limit", F.length("value")))
     parts = (sorted_.join(traits, "path").groupBy("path", F.shiftright("id", _TASK_BITS).alias("task")).agg(

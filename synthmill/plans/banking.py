@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from synthmill.functions.lineage import kept
 from synthmill.operators import bank as B
 from synthmill.plans.registry import query, table
 
@@ -202,7 +203,7 @@ def h18(spark, sf_dir):
 SELECT id, key_name, CASE WHEN use_count = 1 THEN value || '!' ELSE value END AS value, use_count,
   CASE WHEN use_count = 1 THEN '2024-02-01 00:00:00.000000' ELSE strftime(last_used_at, '{_T}') END AS last_used_at FROM bank""")
 def h19(spark, sf_dir):
-    bank = both(spark, sf_dir)[0]
+    bank = kept(both(spark, sf_dir)[0], "bank")
     edits = bank.where("use_count = 1").select("id", F.concat("value", F.lit("! ")).alias("value"))
     return show(B.correct(bank, edits, now()))
 
@@ -213,7 +214,7 @@ def h19(spark, sf_dir):
    coalesce(max(CASE WHEN v2 <> value THEN TIMESTAMP '2024-02-01' END), max(last_used_at)) AS last_used_at FROM e GROUP BY ALL)
 SELECT {_COLS} FROM m""")
 def h20(spark, sf_dir):
-    bank = both(spark, sf_dir)[0]
+    bank = kept(both(spark, sf_dir)[0], "bank")
     edits = bank.where("startswith(value, 'u') AND endswith(value, '7')").select(
         "id", F.concat(F.expr("left(value, length(value) - 1)"), F.lit("0")).alias("value"))
     return show(B.correct(bank, edits, now()))

@@ -356,3 +356,19 @@ def test_framed_lines_of_many_batches(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     parts = [json.loads(f.read_text()) for f in (tmp_path / "j").glob("part*")]
     assert sorted(r["id"] for p in parts for r in p) == list(range(10))
+
+
+@pytest.mark.parametrize("depth", [3, 40, 100_000])
+def test_deep_pages(spark, monkeypatch, depth):
+    """Any page is the same part of the sorted bank, whatever range it is looked for in."""
+    monkeypatch.setattr(B, "PAGE_DEPTH", depth)
+    rows = [("c", "k", f"v{i}", datetime(2024, 1, 1 + i % 3, 0, 0, i % 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "category string, key_name string, value string, used_at timestamp_ntz")
+    bank = B.record_use(empty_bank(spark), df, now()).cache()
+    names = spark.createDataFrame([], "id string, name string, source_key string, created_at timestamp_ntz")
+    whole = [r["id"] for r in sorted(bank.collect(), key=lambda r: (r["last_used_at"], r["id"]), reverse=True)]
+    for offset, limit in ((0, 5), (7, 50), (39, 2), (118, 10), (120, 5), (500, 5)):
+        items, total = B.page(bank, names, offset, limit)
+        assert [r["id"] for r in items.collect()] == whole[offset:offset + limit] and total.first()[0] == 120
+    some = [i for i in whole if {r["id"]: r["value"] for r in bank.collect()}[i].startswith("v1")]
+    assert [r["id"] for r in B.page(bank, names, 20, 9, "V1")[0].collect()] == some[20:29]
