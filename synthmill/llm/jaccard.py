@@ -250,10 +250,12 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     known = classes.join(labels, "node", "left").join(links, "node", "left").select(
         "digest", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = written(known, "components")
-    # A node that is no key can name a component in which there are keys all the same.
-    unnamed = known.filter(F.col("component") >= KEYLESS).groupBy("component").agg(F.min("least").alias("key"))
-    known = known.join(unnamed, "component", "left").withColumn("component_id", F.when(F.col("component") < KEYLESS, F.col("component")).otherwise(F.col("key")))
-    return rows.select("doc_id", "text_id", "n_shingles", "digest").join(known.drop("least", "key"), "digest", "left").drop("digest")
+    # A node that is no key can name a component in which there are keys all the same; few do, and the others are not moved for them.
+    named = known.filter(F.col("component") < KEYLESS).withColumn("component_id", F.col("component"))
+    unnamed = known.filter(F.col("component") >= KEYLESS)
+    unnamed = unnamed.join(unnamed.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    known = named.unionByName(unnamed)
+    return rows.select("doc_id", "text_id", "n_shingles", "digest").join(known.drop("least"), "digest", "left").drop("digest")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
