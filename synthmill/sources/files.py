@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions as F
 
 from synthmill.functions.kinds import trim
+from synthmill.sources.splits import has_quotes, larger_than_a_block, quoted_records
 
 # Fixed value: the extensions that count as text.
 TEXT_NAME = (r"(?i)\.(json|ya?ml|xml|csv|txt|jsonl|ndjson|md|html?|log|tsv|ini|cfg|conf|properties)$")
@@ -31,10 +32,24 @@ def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str | Non
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Header row, all columns text; comment lines are dropped, missing cells are ''."""
-    df = spark.read.csv(path, header=True, comment="#", quote='"', escape='"', multiLine=multi_line,
-                        ignoreTrailingWhiteSpace=True, emptyValue="", mode="PERMISSIVE")
+    """Header row, all columns text; comment lines are dropped, missing cells are ''.
+
+    Line breaks inside quotes are kept.  Files of one block at most are a task each, as Spark reads them; larger ones are
+    read by many tasks (:mod:`synthmill.sources.splits`), or line by line if they hold no quotes at all, which
+    ``multi_line=False`` does unasked.
+    """
+    form = {"comment": "#", "quote": '"', "escape": '"', "ignoreTrailingWhiteSpace": "true", "emptyValue": "", "mode": "PERMISSIVE"}
+    large = multi_line and larger_than_a_block(spark, path)
+    multi_line = multi_line and (not large or has_quotes(spark, path))
+    df = spark.read.options(**form).csv(path, header=True, multiLine=multi_line)
     names = [("field" if re.fullmatch(r"_c[0-9]+", c) else c.strip() or "field") for c in df.columns]
+    if large and multi_line:
+        records = quoted_records(spark, path)
+        folders = records.columns[1:]
+        width = len(df.columns) - len(folders)
+        # The records come trimmed: the parser fails where it is to trim a blank cell in the first record of a task.
+        cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width)), form | {"ignoreTrailingWhiteSpace": "false"})
+        df = records.select(cells.alias("r"), *folders).select("r.*", *folders)
     return df.toDF(*names).na.fill("")
 
 
