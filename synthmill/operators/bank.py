@@ -51,35 +51,54 @@ def _clean(rows: DataFrame) -> DataFrame:
 
 
 # -- writing ------------------------------------------------------------------------------
-def record_use(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
-    """Insert new values and add one use per row for known ones.
+def uses(rows: DataFrame, now: Column) -> DataFrame:
+    """The entries that rows make by themselves: one use per row, at ``used_at`` where they carry it, else ``now``.
 
-    Rows may carry ``used_at``; otherwise ``now`` is the time of use.  Repeats are combined
-    before the shuffle, so a value that makes up much of the input moves once per task.
+    Repeats are combined before the shuffle, so a value that makes up much of the input moves once per task.
     """
     used_at = F.col("used_at") if "used_at" in rows.columns else now
-    fresh = (_clean(rows).withColumn("used_at", used_at).groupBy(*IDENTITY)
+    found = (_clean(rows).withColumn("used_at", used_at).groupBy(*IDENTITY)
              .agg(F.count("*").alias("use_count"), F.max("used_at").alias("last_used_at"),
                   F.min("used_at").alias("created_at")))
-    own = entry_id(*[F.col(c) for c in IDENTITY])
-    known = bank.select(*IDENTITY, "use_count", "last_used_at", "created_at")
+    return found.withColumn("id", entry_id(*[F.col(c) for c in IDENTITY])).select(*BANK_COLUMNS)
+
+
+def merge_uses(entries: DataFrame, corrected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Entries of equal identity as one; ``corrected`` has the ids (``kept``) that do not follow from an identity."""
     # Numbers and times only, so that Spark can hash; ids follow from what they identify, but for corrected entries.
-    merged = (known.unionByName(fresh).groupBy(*IDENTITY)
+    merged = (entries.groupBy(*by, *IDENTITY)
               .agg(F.sum("use_count").alias("use_count"), F.max("last_used_at").alias("last_used_at"),
                    F.min("created_at").alias("created_at")))
+    same = [merged[c].eqNullSafe(F.col(f"__{c}")) for c in (*by, *IDENTITY)]
+    renamed = corrected.select(*[F.col(c).alias(f"__{c}") for c in (*by, *IDENTITY)], "kept")
+    own = entry_id(*[F.col(c) for c in IDENTITY])
+    return merged.join(renamed, same, "left").withColumn("id", F.coalesce("kept", own)).select(*BANK_COLUMNS, *by)
+
+
+def record_use(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """Insert new values and add one use per row for known ones.
+
+    Rows may carry ``used_at``; otherwise ``now`` is the time of use.
+    """
+    own = entry_id(*[F.col(c) for c in IDENTITY])
     corrected = bank.where(F.col("id") != own).select(*IDENTITY, F.col("id").alias("kept"))
-    same = [merged[c].eqNullSafe(F.col(f"__{c}")) for c in IDENTITY]
-    renamed = corrected.select(*[F.col(c).alias(f"__{c}") for c in IDENTITY], "kept")
-    return merged.join(renamed, same, "left").withColumn("id", F.coalesce("kept", own)).select(*BANK_COLUMNS)
+    return merge_uses(bank.select(*BANK_COLUMNS).unionByName(uses(rows, now)), corrected)
 
 
-def record_ensure(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
-    """Insert missing values; counts and times of known ones stay as they are."""
-    missing = _clean(rows).select(*IDENTITY).distinct().join(bank.select(*IDENTITY), IDENTITY, "left_anti")
-    added = missing.select(
+def missing_values(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """An entry for each value of the rows that the bank does not have."""
+    found = _clean(rows).select(*IDENTITY).distinct()
+    known = bank.select(*[F.col(c).alias(f"__{c}") for c in IDENTITY])
+    # A key may be NULL, and is known then too.
+    missing = found.join(known, [found[c].eqNullSafe(F.col(f"__{c}")) for c in IDENTITY], "left_anti")
+    return missing.select(
         entry_id(*[F.col(c) for c in IDENTITY]).alias("id"), *IDENTITY,
         F.lit(1).cast("long").alias("use_count"), now.alias("last_used_at"), now.alias("created_at"))
-    return bank.select(*BANK_COLUMNS).unionByName(added)
+
+
+def record_ensure(bank: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """Insert missing values; counts and times of known ones stay as they are."""
+    return bank.select(*BANK_COLUMNS).unionByName(missing_values(bank, rows, now))
 
 
 def ensure_categories(existing: DataFrame, rows: DataFrame, now: Column) -> DataFrame:

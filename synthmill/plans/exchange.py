@@ -22,6 +22,7 @@ from synthmill.sinks import archives as A, files as W, records as K
 from synthmill.sinks.records import write_files
 from synthmill.sources import archives as R, files as S
 from synthmill.streaming import jobs as J
+from synthmill.streaming.bank_runs import read_bank
 
 CUSTOMER_DDL = "id bigint, name string, segment string, note string"
 _CUSTOMERS = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, 'say \"' || c_nationkey || ', ok\"' AS note FROM customer"
@@ -437,9 +438,13 @@ def t1(spark, sf_dir):
 
 @query("t2_bank_stream", f"WITH {_BANK} SELECT id, key_name, value, use_count, strftime(last_used_at, '{_T}') AS last_used_at FROM bank")
 def t2(spark, sf_dir):
-    folder = scratch(spark, "bank")
-    J.bank_stream(event_rows(stream_events(spark, sf_dir)), folder, scratch(spark, "bank-progress"), now()).awaitTermination()
-    return J.read_bank(spark, folder).select("id", "key_name", "value", "use_count", F.date_format("last_used_at", STAMP).alias("last_used_at"))
+    # Files of a range of events each, one a batch, so that batches meet values of earlier ones.
+    arrived, folder = scratch(spark, "events"), scratch(spark, "bank")
+    events = table(spark, sf_dir, "events")
+    events.repartitionByRange(2, "event_id").write.parquet(arrived)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    J.bank_stream(event_rows(stream), folder, scratch(spark, "bank-progress"), now()).awaitTermination()
+    return read_bank(spark, folder).select("id", "key_name", "value", "use_count", F.date_format("last_used_at", STAMP).alias("last_used_at"))
 
 
 @query("t3_first_seen_stream", "SELECT DISTINCT event_type AS path, 'u' || lpad(user_id::VARCHAR, 6, '0') AS value FROM events UNION SELECT DISTINCT event_type || '.props', props FROM events")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from synthmill.operators.bank import BANK_COLUMNS, record_ensure, record_use
 from synthmill.operators.generate import generate_for
 from synthmill.operators.pools import Pools
 from synthmill.schema import Schema
+from synthmill.streaming.bank_runs import bank_merger
 
 
 def generate_stream(spark: SparkSession, schema: Schema, seed: int, rows_per_second: int = 1000, *,
@@ -26,46 +24,10 @@ def generate_stream(spark: SparkSession, schema: Schema, seed: int, rows_per_sec
     return generate_for(named, "row", schema, seed, keep=[*keep, "row"], pools=pools)
 
 
-def _committed(spark: SparkSession, folder: str, before: int) -> int | None:
-    """Newest complete snapshot older than ``before``."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = [int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(root)
-             if s.getPath().getName().startswith("batch=") and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-    return max((b for b in found if b < before), default=None)
-
-
-def read_bank(spark: SparkSession, folder: str, before: int = 1 << 62) -> DataFrame | None:
-    """Bank of the newest snapshot, or None before the first one."""
-    batch = _committed(spark, folder, before)
-    return None if batch is None else spark.read.parquet(f"{folder}/batch={batch}").select(*BANK_COLUMNS)
-
-
-def bank_merger(folder: str, now: Column, ensure: bool = False) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that writes the bank after batch ``b`` as snapshot ``b``.
-
-    It always starts from the snapshot before ``b`` and overwrites its own, so a batch that is run
-    again after a failure counts once.
-    """
-
-    def merge(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        bank = read_bank(spark, folder, batch)
-        if bank is None:
-            bank = spark.createDataFrame([], "id string, category_id string, key_name string, value string,"
-                                             " use_count bigint, last_used_at timestamp_ntz, created_at timestamp_ntz")
-        merged = (record_ensure if ensure else record_use)(bank, rows, now)
-        merged.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
-
-    return merge
-
-
-def bank_stream(rows: DataFrame, folder: str, checkpoint: str, now: Column, *, ensure: bool = False, trigger: dict | None = None):
-    """Merge a stream of (category, key_name, value[, used_at]) rows into the bank snapshots of a folder."""
-    return (rows.writeStream.foreachBatch(bank_merger(folder, now, ensure)).option("checkpointLocation", checkpoint)
+def bank_stream(rows: DataFrame, folder: str, checkpoint: str, now: Column, *, ensure: bool = False, trigger: dict | None = None,
+                **kept):
+    """Add a stream of (category, key_name, value[, used_at]) rows to the bank of a folder; ``kept`` goes to ``bank_merger``."""
+    return (rows.writeStream.foreachBatch(bank_merger(folder, now, ensure, **kept)).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 

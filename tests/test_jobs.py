@@ -20,6 +20,7 @@ from synthmill.schema import ARRAY, OBJECT, Field, Schema
 from synthmill.sinks import archives as A, files as W, records as K
 from synthmill.sources import archives as AR, files as S
 from synthmill.streaming import jobs as J
+from synthmill.streaming.bank_runs import bank_merger, read_bank
 from tests.conftest import SF, executed_plan, plan_of
 from synthmill.functions.naming import NameContext, Naming
 
@@ -310,10 +311,10 @@ def test_manifests(spark):
 
 def test_a_repeated_batch_counts_once(spark, tmp_path):
     rows = spark.createDataFrame([("a", "k", "x")] * 3, "category string, key_name string, value string")
-    merge = J.bank_merger(str(tmp_path / "bank"), now())
+    merge = bank_merger(str(tmp_path / "bank"), now())
     for batch in (0, 1, 1, 0, 1):
         merge(rows, batch)
-    assert listed(J.read_bank(spark, str(tmp_path / "bank")), "value", "use_count") == [("x", 6)]
+    assert listed(read_bank(spark, str(tmp_path / "bank")), "value", "use_count") == [("x", 6)]
 
 
 def test_stream_rows_equal_batch_rows(spark, tmp_path):
