@@ -126,7 +126,7 @@ def s6_files(spark, sf_dir):
     ending = F.when(form == 0, ".json").when(form == 1, ".csv").otherwise(".txt")
     folder = scratch(spark, "texts")
     files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), k.cast("string"), ending).alias("path"), content.alias("content"))
-    write_files(files, folder).write.format("noop").mode("overwrite").save()
+    write_files(files, folder)
     value = F.coalesce(F.get_json_object("document", "$.n"), F.get_json_object("document", "$.content"))
     return S.read_txt(spark, folder).select(F.substring_index("path", "/", -1).alias("file"), "record", value.alias("value"))
 
@@ -182,7 +182,7 @@ def s11(spark, sf_dir):
     folder = scratch(spark, "folder")
     rows = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("seg="), "c_mktsegment", F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), F.col("c_name").alias("content"))
-    K.write_files(rows, folder).agg(F.sum("bytes")).collect()
+    K.write_files(rows, folder)
     return S.read_folder(spark, folder).select("path", "size", F.decode("content", "UTF-8").alias("text"))
 
 
@@ -290,7 +290,7 @@ def k9(spark, sf_dir):
     folder = scratch(spark, "records")
     df = customers(spark, sf_dir).select("id", "name", F.lower("segment").alias("segment"))
     ctx = NameContext(df.schema, "customer", "xml", 0, SEED)
-    K.write_per_record(df, "id", folder, Naming("{field:segment}/x.{ext}"), ctx).agg(F.count("*")).collect()
+    K.write_per_record(df, "id", folder, Naming("{field:segment}/x.{ext}"), ctx)
     return S.read_folder(spark, folder).select("path", F.decode("content", "UTF-8").alias("text"))
 
 

@@ -254,6 +254,43 @@ def test_one_file_per_record(spark, tmp_path):
     assert json.loads((tmp_path / "d/a_2.json").read_text()) == {"k": "a", "v": 2}
 
 
+def files_below(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    content = F.when(F.col("id") == 19, F.raise_error(F.lit("lost")).cast("string")).otherwise("text")
+    rows = spark.range(0, 20, 1, 2).select(F.concat("id", F.lit(".txt")).alias("path"), content.alias("content"))
+    with pytest.raises(Exception, match="lost"):
+        K.write_files(rows, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() or files_below(tmp_path / "out") == []
+
+
+def test_files_are_moved_once_and_replace_what_was_there(spark, tmp_path):
+    out = tmp_path / "out"
+    (out / "d").mkdir(parents=True)
+    (out / "d/1.txt").write_text("a longer text of an earlier run")
+    rows = spark.range(0, 4, 1, 2).select(F.concat(F.lit("d/"), "id", F.lit(".txt")).alias("path"), F.col("id").cast("string").alias("content"))
+    done = K.write_files(rows, str(out))
+    assert listed(done, "path", "status", "bytes") == [(f"d/{i}.txt", "written", 1) for i in range(4)]
+    assert files_below(out) == [f"d/{i}.txt" for i in range(4)] and (out / "d/1.txt").read_text() == "1"
+    assert os.listdir(out) == ["d"]
+
+
+def test_attempts_that_are_not_committed_leave_nothing(tmp_path):
+    import pandas as pd
+    staging, out = (tmp_path / "out/_staging").as_uri(), (tmp_path / "out").as_uri()
+    rows = pd.DataFrame({"path": ["a", "b/c"], "content": ["x", b"\xff"]})
+    lost, kept = (pd.concat(K._stage(iter([rows]), staging)) for _ in range(2))
+    assert not set(lost["staged"]) & set(kept["staged"])
+    for _ in range(2):
+        assert [*pd.concat(K._place(iter([kept]), out))["bytes"]] == [1, 1]
+    assert (tmp_path / "out/a").read_text() == "x" and (tmp_path / "out/b/c").read_bytes() == b"\xff"
+    os.remove(tmp_path / "out/a")
+    with pytest.raises(FileNotFoundError):
+        list(K._place(iter([kept]), out))
+
+
 # -- packages -----------------------------------------------------------------------------------------
 def test_package_round_trip(spark, tmp_path):
     inner = A.pack([("deep/v.xml", b"<r><id>5</id></r>")], "tar.gz")
