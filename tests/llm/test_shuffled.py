@@ -88,6 +88,18 @@ def test_repeats_equal_brute_force(spark, crowd):
     assert sorted(str(tuple(r)) for r in repeats.dedup(frame(spark, rows), crowd=crowd).collect()) == want
 
 
+def test_repeats_of_texts_that_end_in_nul_bytes(spark):
+    rng = random.Random(0)
+    rows = []
+    for trial in range(8):
+        shared = "".join(rng.choice("abcdef") for _ in range(rng.randint(45, 69)))
+        for _ in range(8):
+            lead = "".join(rng.choice("xyz") for _ in range(rng.randrange(30)))
+            rows.append((len(rows), lead + shared + "\0" * rng.randrange(12)))
+    want = sorted(str((r[0], *removal(*x))) for r, x in zip(rows, without_repeats(rows), strict=True))
+    assert sorted(str(tuple(r)) for r in repeats.dedup(frame(spark, rows)).collect()) == want
+
+
 def test_repeats_of_the_query_equal_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = sorted((d[0], *removal(*x)) for d, x in zip(docs, without_repeats(docs), strict=True))
