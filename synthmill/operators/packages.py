@@ -72,7 +72,8 @@ def hydrate(members: DataFrame, schemas: DataFrame) -> DataFrame:
     """Members with their schema as an ordered array; a schema is no larger than its file."""
     row = F.struct("path", "sort_order", "name", "parent", "kind", "sample", "is_primary", "is_unique")
     trees = schemas.groupBy("package", F.col("member").alias("path")).agg(F.sort_array(F.collect_list(row)).alias("schema_rows"))
-    return members.join(trees, ["package", "path"], "left")
+    # Both sides grow with the import, but sizes estimated from small compressed files make one look fit for a broadcast.
+    return members.join(trees.hint("merge"), ["package", "path"], "left")
 
 
 def member_leaves(schemas: DataFrame) -> DataFrame:
