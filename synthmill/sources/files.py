@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import csv as csvlib
 import io
+import itertools
 import json
 import re
+import tempfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions as F
 
+from synthmill.functions.batches import batched, rows_of
 from synthmill.functions.kinds import trim
 from synthmill.sources.splits import has_quotes, larger_than_a_block, quoted_records
 
@@ -99,11 +102,12 @@ def classify_files(files: DataFrame, size: str = "size", max_bytes: int | None =
 
 # -- documents of a mixed corpus -------------------------------------------------------------------
 def _csv_records(text: str) -> Iterator[dict]:
-    lines = [line for line in csvlib.reader(io.StringIO(text.lstrip("﻿"))) if line and not line[0].startswith("#")]
-    if not lines:
+    lines = (line for line in csvlib.reader(io.StringIO(text.lstrip("﻿"))) if line and not line[0].startswith("#"))
+    first = next(lines, None)
+    if first is None:
         return
-    header = [h.strip() or "field" for h in lines[0]]
-    for cells in lines[1:] or [[""] * len(header)]:
+    header = [h.strip() or "field" for h in first]
+    for cells in itertools.chain([next(lines, [""] * len(header))], lines):
         yield {h: (cells[i] if i < len(cells) else "") for i, h in enumerate(header)}
 
 
@@ -144,20 +148,69 @@ def _parse(fmt: str, text: str) -> Iterator[object]:
         node = ElementTree.fromstring(text.strip())
         yield {_local(node.tag): _xml_value(node)}
     else:
-        import yaml
-        data = yaml.safe_load(text)
-        yield from data if isinstance(data, list) else [data]
+        yield from _yaml_records(text)
 
 
-def _to_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, fmt, text in zip(batch["path"], batch["format"], batch["content"]):
-            try:
-                rows += [(path, i, json.dumps(r, ensure_ascii=False, default=str), None) for i, r in enumerate(_parse(fmt, text))]
-            except Exception as e:  # a file that cannot be parsed is reported, not fatal
-                rows.append((path, 0, None, type(e).__name__))
-        yield pd.DataFrame(rows, columns=["path", "record", "document", "error"])
+def _yaml_records(text: str) -> Iterator[object]:
+    """The items of a list, composed one at a time, or else the whole document."""
+    import yaml
+    from yaml.composer import Composer, ComposerError
+    from yaml.constructor import SafeConstructor
+    from yaml.resolver import Resolver
+
+    if not yaml.__with_libyaml__:
+        base = yaml.SafeLoader
+    else:
+        class base(Composer, yaml.cyaml.CParser, SafeConstructor, Resolver):
+            def __init__(self, stream):
+                yaml.cyaml.CParser.__init__(self, stream)
+                for part in (Composer, SafeConstructor, Resolver):
+                    part.__init__(self)
+
+    loader = base(text)
+    try:
+        loader.get_event()
+        if loader.check_event(yaml.StreamEndEvent):
+            yield None
+            return
+        loader.get_event()
+        start = loader.peek_event()
+        if isinstance(start, yaml.SequenceStartEvent) and start.anchor is None and start.tag in (None, "!", "tag:yaml.org,2002:seq"):
+            loader.get_event()
+            while not loader.check_event(yaml.SequenceEndEvent):
+                yield loader.construct_document(loader.compose_node(None, None))
+            loader.get_event()
+        else:
+            data = loader.construct_document(loader.compose_node(None, None))
+            yield from data if isinstance(data, list) else [data]
+        loader.get_event()
+        if not loader.check_event(yaml.StreamEndEvent):
+            raise ComposerError("expected a single document in the stream", start.start_mark, "but found another document",
+                                loader.peek_event().start_mark)
+    finally:
+        loader.dispose()
+
+
+#: Bytes of the records of a file that are held in memory until the whole file is known to be readable.
+HELD = 8 << 20
+_DOCUMENTS = pa.schema([("path", pa.string()), ("record", pa.int32()), ("document", pa.string()), ("error", pa.string())])
+
+
+def _file_records(path: str, fmt: str, text: str) -> Iterator[tuple]:
+    with tempfile.SpooledTemporaryFile(HELD) as held:
+        try:
+            for r in _parse(fmt, text):
+                held.write(json.dumps(r, ensure_ascii=False, default=str).encode() + b"\n")
+        except Exception as e:  # a file that cannot be parsed is reported, not fatal
+            yield path, 0, None, type(e).__name__
+            return
+        held.seek(0)
+        for i, line in enumerate(held):
+            yield path, i, line[:-1].decode(), None
+
+
+def _to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return batched((r for row in rows_of(batches, "path", "format", "content") for r in _file_records(*row)), _DOCUMENTS)
 
 
 def documents(files: DataFrame) -> DataFrame:
@@ -177,7 +230,7 @@ def documents(files: DataFrame) -> DataFrame:
     native = typed.where(F.col("format").isin("json", "txt")).select("path", F.posexplode_outer(inner).alias("record", "document"))
     native = native.select("path", F.coalesce("record", F.lit(0)).alias("record"), "document",
                            F.when(F.col("document").isNull(), "no JSON").alias("error"))
-    parsed = typed.where(F.col("format").isin("csv", "xml", "yaml")).mapInPandas(
+    parsed = typed.where(F.col("format").isin("csv", "xml", "yaml")).mapInArrow(
         _to_documents, "path string, record int, document string, error string")
     return native.unionByName(parsed)
 
@@ -185,7 +238,7 @@ def documents(files: DataFrame) -> DataFrame:
 def read_yaml(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """YAML files as typed rows; a list gives one row per element."""
     texts = read_texts(spark, path).withColumn("format", F.lit("yaml"))
-    docs = texts.mapInPandas(_to_documents, "path string, record int, document string, error string")
+    docs = texts.mapInArrow(_to_documents, "path string, record int, document string, error string")
     return docs.where("document IS NOT NULL").select(F.from_json("document", schema).alias("r")).select("r.*")
 
 

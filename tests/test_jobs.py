@@ -410,3 +410,33 @@ def test_deep_pages(spark, monkeypatch, depth):
         assert [r["id"] for r in items.collect()] == whole[offset:offset + limit] and total.first()[0] == 120
     some = [i for i in whole if {r["id"]: r["value"] for r in bank.collect()}[i].startswith("v1")]
     assert [r["id"] for r in B.page(bank, names, 20, 9, "V1")[0].collect()] == some[20:29]
+
+
+class Steps:
+    """Stands in for a frame and keeps the function of its Arrow step."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def arrow_rows(names, rows):
+    import pyarrow as pa
+    return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+
+
+def test_yaml_lists_are_read_item_by_item():
+    import yaml
+    items = S._parse("yaml", "- a: 1\n- [")
+    assert next(items) == {"a": 1}
+    with pytest.raises(yaml.YAMLError):
+        list(items)
+    texts = ["", "# c\n", "a: 1", "- &x {a: 1}\n- *x\n- [*x, *x]\n", "&l\n- 1\n", "!!set {a, b}", "!!omap\n- a: 1\n", "- 'a\n- b'\n- c", "[1, {b: 2020-01-01}]"]
+    assert [list(S._parse("yaml", t)) for t in texts] == [v if isinstance(v, list) else [v] for v in map(yaml.safe_load, texts)]
+    rows = [("b", "yaml", "- a: 1\n- ["), ("g", "yaml", "- a: 1\n- \"b\\nc\""), ("d", "yaml", "- a\n---\n- b\n"), ("c", "csv", "u\n"), ("e", "csv", "")]
+    out = [tuple(r.values()) for b in S._to_documents(iter([arrow_rows(["path", "format", "content"], rows)])) for r in b.to_pylist()]
+    assert out == [("b", 0, None, "ParserError"), ("g", 0, '{"a": 1}', None), ("g", 1, '"b\\nc"', None), ("d", 0, None, "ComposerError"),
+                   ("c", 0, '{"u": ""}', None)]
