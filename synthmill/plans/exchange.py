@@ -6,9 +6,10 @@ and reads it back, or unfolds archives that the tasks have packed from table row
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from synthmill.functions.batches import batched, rows_of
 from synthmill.functions.naming import NameContext, Naming
 from synthmill.functions.scratch import scratch
 from synthmill.operators import packages as P
@@ -141,19 +142,19 @@ def s7(spark, sf_dir):
 def packed_customers(spark, sf_dir) -> DataFrame:
     """Archives (path, content), packed in tasks: one per customer, with an inner archive and an unwanted file."""
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for e, kind, props in zip(b["c_custkey"], b["c_mktsegment"], b["props"]):
-                fmt = ("zip", "tar", "tar.gz")[e % 3]
-                inner = A.pack([("deep/n.json", props.encode()), ("x.bin", b"\0\1")], "tar.gz")
-                entries = [("a.json", props.encode()), ("Sub/in.tgz", inner), ("sub/A.csv", f"k,t\n{e},{kind}\n".encode()),
-                           ("SUB/a.CSV", b"twin"), ("bad.zip", b"no archive")]
-                rows.append((f"p{e}.{fmt}", A.pack(entries, fmt)))
-            yield pd.DataFrame(rows, columns=["path", "content"])
+    def rows(batches):
+        for e, kind, props in rows_of(batches, "c_custkey", "c_mktsegment", "props"):
+            fmt = ("zip", "tar", "tar.gz")[e % 3]
+            inner = A.pack([("deep/n.json", props.encode()), ("x.bin", b"\0\1")], "tar.gz")
+            entries = [("a.json", props.encode()), ("Sub/in.tgz", inner), ("sub/A.csv", f"k,t\n{e},{kind}\n".encode()),
+                       ("SUB/a.CSV", b"twin"), ("bad.zip", b"no archive")]
+            yield f"p{e}.{fmt}", A.pack(entries, fmt)
+
+    packed = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
     props = F.concat(F.lit('{"k": '), F.col("c_nationkey").cast("string"), F.lit("}")).alias("props")
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", props).mapInPandas(run, "path string, content binary")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", props).mapInArrow(
+        lambda batches: batched(rows(batches), packed), "path string, content binary")
 
 
 _PACKED = """packed AS (SELECT c_custkey, c_mktsegment, '{"k": ' || c_nationkey || '}' AS props FROM customer)"""

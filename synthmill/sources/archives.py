@@ -9,9 +9,10 @@ import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from synthmill.functions.batches import batched, rows_of
 from synthmill.sources.files import TEXT_NAME
 
 #: Archives within archives that are opened unless the caller says otherwise: a guard against archives that hold themselves.
@@ -87,20 +88,10 @@ def _expand(source: str, entry: str, data: bytes, deeper: int, max_bytes: int |
         yield (source, "skipped", entry, len(data), False, None, None, None, f"unreadable archive: {type(e).__name__}")
 
 
-def _frames(rows: Iterator[tuple], columns: list[str], size: int = 256) -> Iterator[pd.DataFrame]:
-    block: list[tuple] = []
-    weight = 0
-    for row in rows:
-        block.append(row)
-        weight += row[3] or 0
-        if len(block) >= size or weight > 32 << 20:
-            yield pd.DataFrame(block, columns=columns)
-            block, weight = [], 0
-    if block:
-        yield pd.DataFrame(block, columns=columns)
-
-
-_COLUMNS = [c.strip().split()[0] for c in ENTRY_SCHEMA.split(",")]
+_ENTRIES = pa.schema([("path", pa.string()), ("kind", pa.string()), ("entry", pa.string()), ("size", pa.int64()), ("is_directory", pa.bool_()),
+                      ("content", pa.binary()), ("archive_path", pa.string()), ("archive_format", pa.string()), ("reason", pa.string())])
+_LISTED = pa.schema([("path", pa.string()), ("at", pa.int32()), ("entry", pa.string()), ("size", pa.int64()), ("is_directory", pa.bool_()),
+                     ("content", pa.binary())])
 
 
 def expand_archives(files: DataFrame, package: str | None = None, *, max_depth: int = NEST_DEPTH,
@@ -113,42 +104,38 @@ def expand_archives(files: DataFrame, package: str | None = None, *, max_depth:
     Archives nested deeper than ``max_depth``, and texts above ``max_bytes`` if given, are skipped with that reason.
     """
 
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                fmt = archive_format(path)
-                if package is not None:
-                    yield from _frames(_expand(package, clean_entry(path), content, max_depth, max_bytes), _COLUMNS)
-                    continue
-                if fmt is None:
-                    yield from _frames(_expand(path, posixpath.basename(path), content, max_depth, max_bytes), _COLUMNS)
-                    continue
-                def rows():
-                    try:
-                        for entry, _, is_dir, read in iter_entries(content, fmt):
-                            if not is_dir:
-                                yield from _expand(path, entry, read(), max_depth, max_bytes)
-                    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError) as e:
-                        yield (path, "skipped", posixpath.basename(path), len(content), False, None, None, None,
-                               f"unreadable archive: {type(e).__name__}")
-                yield from _frames(rows(), _COLUMNS)
-
-    return files.select("path", "content").mapInPandas(run, ENTRY_SCHEMA)
+    def rows(batches):
+        for path, content in rows_of(batches, "path", "content"):
+            fmt = archive_format(path)
+            if package is not None:
+                yield from _expand(package, clean_entry(path), content, max_depth, max_bytes)
+                continue
+            if fmt is None:
+                yield from _expand(path, posixpath.basename(path), content, max_depth, max_bytes)
+                continue
+            try:
+                for entry, _, is_dir, read in iter_entries(content, fmt):
+                    if not is_dir:
+                        yield from _expand(path, entry, read(), max_depth, max_bytes)
+            except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError) as e:
+                yield (path, "skipped", posixpath.basename(path), len(content), False, None, None, None,
+                       f"unreadable archive: {type(e).__name__}")
+
+    return files.select("path", "content").mapInArrow(lambda batches: batched(rows(batches), _ENTRIES), ENTRY_SCHEMA)
 
 
 def _listing(files: DataFrame, wanted: str | None = None) -> DataFrame:
     """Entries of archives; the content only of files whose path equals ``wanted`` without case."""
 
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                fmt = archive_format(path)
-                entries = iter_entries(content, fmt) if fmt else ()
-                rows = ((path, i, e, s, d, None if wanted is None else read()) for i, (e, s, d, read) in enumerate(entries)
-                        if wanted is None or (not d and e.lower() == wanted))
-                yield from _frames(rows, ["path", "at", "entry", "size", "is_directory", "content"])
-    return files.select("path", "content").mapInPandas(
-        run, "path string, at int, entry string, size bigint, is_directory boolean, content binary")
+    def rows(batches):
+        for path, content in rows_of(batches, "path", "content"):
+            fmt = archive_format(path)
+            for i, (e, s, d, read) in enumerate(iter_entries(content, fmt) if fmt else ()):
+                if wanted is None or (not d and e.lower() == wanted):
+                    yield path, i, e, s, d, None if wanted is None else read()
+
+    return files.select("path", "content").mapInArrow(
+        lambda batches: batched(rows(batches), _LISTED), "path string, at int, entry string, size bigint, is_directory boolean, content binary")
 
 
 def list_archive(files: DataFrame) -> DataFrame:

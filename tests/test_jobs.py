@@ -440,3 +440,14 @@ def test_yaml_lists_are_read_item_by_item():
     out = [tuple(r.values()) for b in S._to_documents(iter([arrow_rows(["path", "format", "content"], rows)])) for r in b.to_pylist()]
     assert out == [("b", 0, None, "ParserError"), ("g", 0, '{"a": 1}', None), ("g", 1, '"b\\nc"', None), ("d", 0, None, "ComposerError"),
                    ("c", 0, '{"u": ""}', None)]
+
+
+def test_archives_share_output_batches_of_bounded_size():
+    entry = b"x" * (1 << 20)
+    small = [(f"p{i}.tar", A.pack([("a.json", b"{}"), ("b.csv", b"k")], "tar")) for i in range(300)]
+    large = [(f"q{i}.tar", A.pack([("a.json", entry)] * 3, "tar")) for i in range(8)]
+    for step, rows in ((AR.expand_archives(Steps()), 2), (AR._listing(Steps()), 2), (AR._listing(Steps(), "a.json"), 1)):
+        batches = list(step.run(iter([arrow_rows(["path", "content"], small)])))
+        assert [b.num_rows for b in batches] == [300 * rows]
+    batches = list(AR.expand_archives(Steps()).run(iter([arrow_rows(["path", "content"], large)])))
+    assert sum(b.num_rows for b in batches) == 24 and max(b.nbytes for b in batches) < 6 << 20
