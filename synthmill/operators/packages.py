@@ -6,9 +6,10 @@ import posixpath
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from synthmill.functions.batches import batched, rows_of
 from synthmill.functions.lineage import cut
 from synthmill.functions.render import render
 from synthmill.operators import infer as I
@@ -147,18 +148,16 @@ def repack(made: DataFrame, name: str, outer: str = "zip", nested: Sequence[Nest
             F.concat_ws("/", "label", "path").alias("path"), F.encode("content", "UTF-8").alias("content"))
     ext = "" if outer == "folder" else extension or f".{outer}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for top, files in zip(batch["label"], batch["files"]):
-                packed = _bottom_up({f["path"]: f["content"].encode("utf-8") for f in files}, nested)
-                if outer == "folder":
-                    rows += [(posixpath.join(top, p), c) for p, c in sorted(packed.items())]
-                else:
-                    rows.append((f"{top}{ext}", pack(sorted(packed.items()), outer)))
-            yield pd.DataFrame(rows, columns=["path", "content"])
-
-    return made.select(label.alias("label"), "files").mapInPandas(run, "path string, content binary")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        for top, files in rows_of(batches, "label", "files"):
+            packed = _bottom_up({f["path"]: f["content"].encode("utf-8") for f in files}, nested)
+            if outer == "folder":
+                yield from ((posixpath.join(top, p), c) for p, c in sorted(packed.items()))
+            else:
+                yield f"{top}{ext}", pack(sorted(packed.items()), outer)
+
+    form = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    return made.select(label.alias("label"), "files").mapInArrow(lambda batches: batched(rows(batches), form), "path string, content binary")
 
 
 def write_variants(made: DataFrame, folder: str, name: str, outer: str = "zip",

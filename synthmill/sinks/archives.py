@@ -36,6 +36,25 @@ def pack(entries: Iterable[tuple[str, bytes]], fmt: str) -> bytes:
     return out.getvalue()
 
 
+#: A header without name, size and checksum (blanks, as it is summed).
+_BLANK = bytearray(tarfile.TarInfo("").tobuf(tarfile.PAX_FORMAT))
+_BLANK[124:136], _BLANK[148:156] = bytes(12), b" " * 8
+_BLANK_SUM = sum(_BLANK)
+
+
+def tar_header(name: str, size: int) -> bytes:
+    """What ``TarInfo`` writes for a plain file; short ASCII names, which need no extended header, are put in a ready one."""
+    if len(name) > 100 or not name.isascii() or size >= 8 ** 11:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        return info.tobuf(tarfile.PAX_FORMAT)
+    path, length = name.encode("ascii"), b"%011o\0" % size
+    out = bytearray(_BLANK)
+    out[:len(path)], out[124:136] = path, length
+    out[148:156] = b"%06o\0 " % (_BLANK_SUM + sum(path) + sum(length))
+    return bytes(out)
+
+
 class _Writer:
     """Streams entries into an archive; an entry may arrive in pieces of a known total size."""
 
@@ -55,9 +74,7 @@ class _Writer:
             info.compress_type = zipfile.ZIP_DEFLATED
             self.entry = self.archive.open(info, "w", force_zip64=size >= 1 << 31)
             return
-        info = tarfile.TarInfo(name)
-        info.size = size
-        self.sink.write(info.tobuf(tarfile.PAX_FORMAT))
+        self.sink.write(tar_header(name, size))
         self.left, self.entry = size, -size % tarfile.BLOCKSIZE
 
     def write(self, data: bytes) -> None:

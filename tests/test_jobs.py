@@ -451,3 +451,18 @@ def test_archives_share_output_batches_of_bounded_size():
         assert [b.num_rows for b in batches] == [300 * rows]
     batches = list(AR.expand_archives(Steps()).run(iter([arrow_rows(["path", "content"], large)])))
     assert sum(b.num_rows for b in batches) == 24 and max(b.nbytes for b in batches) < 6 << 20
+
+
+def test_tar_headers_are_those_of_tarfile():
+    for name in ("a", "Sub/in.tgz", "x" * 100, "x" * 101, "é", "", "q/" * 60):
+        for size in (0, 511, 8 ** 11 - 1, 8 ** 11):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            assert A.tar_header(name, size) == info.tobuf(tarfile.PAX_FORMAT)
+
+
+def test_repacked_variants_share_output_batches(spark):
+    made = Steps()
+    step = P.repack(made, "pkg", "tar", [P.NestedArchive("in", "in.zip", "zip")])
+    rows = [(f"pkg_{i}", [{"path": "in/a.json", "content": "{}"}, {"path": "b.json", "content": "[]"}]) for i in range(200)]
+    assert [b.num_rows for b in step.run(iter([arrow_rows(["label", "files"], rows)]))] == [200]
