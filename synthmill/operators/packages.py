@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from synthmill.functions.batches import batched, rows_of
-from synthmill.functions.lineage import cut
+from synthmill.functions.lineage import kept
 from synthmill.functions.render import render
 from synthmill.operators import infer as I
 from synthmill.operators.generate import SchemaPlan
@@ -44,8 +44,9 @@ def import_entries(entries: DataFrame, depth: int | None = None) -> Imported:
         F.when(F.col("kind") == "file", text).alias("content"), "archive_path", "archive_format")
     files = members.where("kind = 'text'").select(F.concat_ws(_SEP, "package", "path").alias("path"), "content")
     docs = documents(files)
-    keyed = docs.select(F.substring_index("path", _SEP, 1).alias("package"), F.substring_index("path", _SEP, -1).alias("member"),
-                        "record", "document", "error")
+    # Written once: the depth, the schemas, the values and the errors all read the documents.
+    keyed = kept(docs.select(F.substring_index("path", _SEP, 1).alias("package"), F.substring_index("path", _SEP, -1).alias("member"),
+                             "record", "document", "error"), "documents")
     by = ["package", "member"]
     rows = I.document_leaves(keyed.where("document IS NOT NULL"), "document", "record", by, depth)
     failed = keyed.where("error IS NOT NULL").select("package", F.col("member").alias("path"), F.col("error").alias("reason"))
@@ -60,7 +61,7 @@ def import_packages(files: DataFrame, depth: int | None = None, package: str | N
     The expanded entries are kept once in the checkpoint folder, because every frame of the result
     reads them; archives are not opened again for each.
     """
-    return import_entries(cut(expand_archives(files, package)), depth)
+    return import_entries(kept(expand_archives(files, package), "entries"), depth)
 
 
 def nested_map(members: DataFrame) -> DataFrame:

@@ -466,3 +466,13 @@ def test_repacked_variants_share_output_batches(spark):
     step = P.repack(made, "pkg", "tar", [P.NestedArchive("in", "in.zip", "zip")])
     rows = [(f"pkg_{i}", [{"path": "in/a.json", "content": "{}"}, {"path": "b.json", "content": "[]"}]) for i in range(200)]
     assert [b.num_rows for b in step.run(iter([arrow_rows(["label", "files"], rows)]))] == [200]
+
+
+def test_an_import_parses_its_members_once_and_hydrates_without_broadcast(spark):
+    data = A.pack([("a.json", b'{"k": 1}'), ("b.csv", b"u,t\n1,2\n")], "zip")
+    got = P.import_packages(spark.createDataFrame([("p.zip", bytearray(data))], "path string, content binary"))
+    for part in (got.schemas, got.values, got.skipped, got.members):
+        assert "MapIn" not in plan_of(part)
+    full = P.hydrate(got.members, got.schemas)
+    assert "Broadcast" not in executed_plan(full)
+    assert sorted((r["path"], len(r["schema_rows"])) for r in full.collect()) == [("a.json", 1), ("b.csv", 2)]
