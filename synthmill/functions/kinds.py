@@ -66,16 +66,24 @@ def coerced_type(c: Column) -> Column:
     s = trim(c)
     return (F.when(c.isNull(), F.lit(None).cast("string"))
             .when(s == "", "text").when(s.isin("true", "false"), "bool").when(s == "null", "null")
-            .when(s.rlike(INT) & (F.abs(s.try_cast("decimal(38,0)")) <= F.lit(2 ** 53 - 1)), "int")
-            .when(s.rlike(FLOAT), "float").otherwise("text"))
+            .when(_exact_int(s), "int").when(s.rlike(FLOAT), "float").otherwise("text"))
+
+
+def _exact_int(s: Column) -> Column:
+    """Whole numbers that a double holds; few characters are few enough digits."""
+    return s.rlike(INT) & ((F.length(s) <= 15) | (F.abs(s.try_cast("decimal(38,0)")) <= F.lit(2 ** 53 - 1)))
 
 
 def coerced_text(c: Column) -> Column:
-    """Text that goes with :func:`coerced_type`; scalars are trimmed, other text is kept."""
-    tag = coerced_type(c)
-    return (F.when(tag == "null", F.lit(None).cast("string"))
-            .when(tag == "int", trim(c).try_cast("decimal(38,0)").cast("string"))
-            .when(tag.isin("bool", "float") | (trim(c) == ""), trim(c)).otherwise(c))
+    """Text that goes with :func:`coerced_type`; scalars are trimmed, other text is kept.
+
+    The tests are those of the type, each made once: with the type itself in several branches, a stage that holds both
+    columns exceeds the size HotSpot compiles.
+    """
+    s = trim(c)
+    return (F.when(s == "null", F.lit(None).cast("string")).when((s == "") | s.isin("true", "false"), s)
+            .when(_exact_int(s), F.when(F.length(s) <= 15, s.try_cast("bigint").cast("string")).otherwise(s.try_cast("decimal(38,0)").cast("string")))
+            .when(s.rlike(FLOAT), s).otherwise(c))
 
 
 def coerce_sample(text: str):

@@ -476,3 +476,12 @@ def test_an_import_parses_its_members_once_and_hydrates_without_broadcast(spark)
     full = P.hydrate(got.members, got.schemas)
     assert "Broadcast" not in executed_plan(full)
     assert sorted((r["path"], len(r["schema_rows"])) for r in full.collect()) == [("a.json", 1), ("b.csv", 2)]
+
+
+def test_coerced_text_makes_each_test_once(spark):
+    from synthmill.functions import kinds
+    odd = {"-0": "0", "007": "7", "-007": "-7", "0" * 40 + "12": "12", "9007199254740991": "9007199254740991", "9007199254740992": "9007199254740992",
+           " 5\n": "5", " 1.5 ": "1.5", "true ": "true", " null ": None, " ": "", " x ": " x ", "-": "-", "--1": "--1", None: None}
+    df = spark.createDataFrame([(v,) for v in odd], "v string").select("v", kinds.coerced_text(F.col("v")).alias("t"))
+    assert {r["v"]: r["t"] for r in df.collect()} == odd
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
