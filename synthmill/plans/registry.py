@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Rows of a table that one task takes, about.
+ROWS = 1 << 18
 
 
 def query(name: str, sql: str | None = None):
@@ -24,10 +26,13 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer splits than the session has cores (small files of one row group) is dealt out to all of them.
+    """A table, dealt out to all cores of the session, and to more tasks where these would hold more than ROWS rows each.
 
-    Queries compute wide columns from narrow rows, so one task would do the work of all.  A table of many splits is read as it is.
+    Queries compute wide columns from narrow rows, so a split of a small or well packed file would be the work of many
+    tasks, and its sorts and part files would grow with the table.  The rows are counted from the files' footers.  A table
+    of enough splits is read as it is.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS)) if splits else 0
+    return df.repartition(tasks) if splits < tasks else df

@@ -485,3 +485,15 @@ def test_coerced_text_makes_each_test_once(spark):
     df = spark.createDataFrame([(v,) for v in odd], "v string").select("v", kinds.coerced_text(F.col("v")).alias("t"))
     assert {r["v"]: r["t"] for r in df.collect()} == odd
     assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
+
+
+def test_tasks_of_a_table_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    from synthmill.plans import registry
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(registry, "ROWS", 50, raising=False)
+    df = registry.table(spark, str(tmp_path), "t")
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) <= 100 and sum(sizes) == 1000
+    assert sorted(r["id"] for r in df.collect()) == list(range(1000))
+    monkeypatch.setattr(registry, "ROWS", 10_000)
+    assert registry.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
