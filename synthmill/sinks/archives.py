@@ -9,10 +9,11 @@ import tarfile
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from synthmill.functions import draws as d
+from synthmill.functions.batches import batched, rows_of
 from synthmill.functions.naming import EXTENSIONS, clean_segment
 from synthmill.functions.render import csv_line, json_text, record_column, xml_tag, xml_text, yaml_text
 from synthmill.functions.scratch import qualified
@@ -58,12 +59,12 @@ def tar_header(name: str, size: int) -> bytes:
 class _Writer:
     """Streams entries into an archive; an entry may arrive in pieces of a known total size."""
 
-    def __init__(self, out, fmt: str):
+    def __init__(self, out, fmt: str, level: int = 9):
         self.fmt, self.entry = fmt, None
         if fmt == "zip":
             self.archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
             return
-        self.gz = gzip.GzipFile(fileobj=out, mode="wb", mtime=0) if fmt == "tar.gz" else None
+        self.gz = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=level, mtime=0) if fmt == "tar.gz" else None
         self.sink = self.gz or out
         self.left = 0
 
@@ -105,6 +106,9 @@ class _Writer:
             self.gz.close()
 
 
+#: Characters of pieces that are written at once, and the gzip level, that of the gzip tool: one task compresses an archive.
+JOINED, LEVEL = 1 << 16, 6
+
 # -- packing at scale -----------------------------------------------------------------------------
 def volume_name(archive: Column, volume: Column) -> Column:
     """``pack.zip``, ``pack_2.zip``, ``pack_3.zip`` …"""
@@ -129,40 +133,52 @@ def write_archives(pieces: DataFrame, folder: str, fmt: str, volume_entries: int
     target_folder = qualified(pieces.sparkSession, folder)
     rows = pieces.join(sizes, ["archive", "entry_no"]).repartition("archive").sortWithinPartitions("archive", "entry_no", "seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_written(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int]]:
         import uuid
         from pyarrow import fs
         store, base = fs.FileSystem.from_uri(target_folder)
         store.create_dir(base, recursive=True)
         current = opened = writer = last = None
-        count = 0
+        count = waiting = 0
+        pieces: list[str] = []
+
+        def flush():
+            writer.write("".join(pieces).encode("utf-8"))
+            pieces.clear()
 
         def finish():
+            flush()
             writer.close()
             size = stream.tell()
             stream.close()
             target = posixpath.join(base, current)
             store.move(opened, target)
-            return pd.DataFrame([(current, count, size)], columns=["archive", "entries", "bytes"])
-
-        for batch in batches:
-            for archive, no, entry, text, size in zip(batch["archive"], batch["entry_no"], batch["entry"], batch["text"], batch["size"]):
-                if archive != current:
-                    if writer is not None:
-                        yield finish()
-                    current, last, count = archive, None, 0
-                    opened = posixpath.join(base, f".{archive}.{uuid.uuid4().hex}")
-                    stream = store.open_output_stream(opened, compression=None)
-                    writer = _Writer(stream, fmt)
-                if no != last:
-                    writer.begin(entry, int(size))
-                    last, count = no, count + 1
-                writer.write(text.encode("utf-8"))
+            return current, count, size
+
+        for archive, no, entry, text, size in rows_of(batches, "archive", "entry_no", "entry", "text", "size"):
+            if archive != current:
+                if writer is not None:
+                    yield finish()
+                current, last, count = archive, None, 0
+                opened = posixpath.join(base, f".{archive}.{uuid.uuid4().hex}")
+                stream = store.open_output_stream(opened, compression=None)
+                writer = _Writer(stream, fmt, LEVEL)
+            if no != last:
+                if pieces:
+                    flush()
+                writer.begin(entry, int(size))
+                last, count, waiting = no, count + 1, 0
+            pieces.append(text)
+            waiting += len(text)
+            if waiting > JOINED:
+                flush()
+                waiting = 0
         if writer is not None:
             yield finish()
 
-    return rows.select("archive", "entry_no", "entry", "seq", "text", "size").mapInPandas(
-        run, "archive string, entries int, bytes bigint")
+    done = pa.schema([("archive", pa.string()), ("entries", pa.int32()), ("bytes", pa.int64())])
+    return rows.select("archive", "entry_no", "entry", "seq", "text", "size").mapInArrow(
+        lambda batches: batched(rows_written(batches), done), "archive string, entries int, bytes bigint")
 
 
 def entry_name(name: str, fmt: str, top_folder: str | None = None) -> str:

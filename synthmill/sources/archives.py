@@ -47,6 +47,36 @@ def clean_entry(path: str) -> str:
     return "/".join(p for p in parts if p and p not in (".", ".."))
 
 
+#: Bytes up to which an entry of a tar is read in one call of the archive's own (buffered) file.
+AT_ONCE = 8192
+
+
+class _Header(tarfile.TarInfo):
+    """Headers of plain files with short names are read by their name, size and checksum; all others as ``tarfile`` does."""
+
+    @classmethod
+    def frombuf(cls, buf, encoding, errors):
+        size, told = buf[124:136].split(b"\0", 1)[0], buf[148:156].split(b"\0", 1)[0].strip()
+        plain = len(buf) == tarfile.BLOCKSIZE and buf[156:157] == tarfile.REGTYPE and not buf[345] and size.isdigit() and told.isdigit()
+        if not plain or b"8" in size + told or b"9" in size + told or sum(buf) - sum(buf[148:156]) + 256 != int(told, 8):
+            return super().frombuf(buf, encoding, errors)
+        out = cls(buf[:100].split(b"\0", 1)[0].decode(encoding, errors))
+        out.size = int(size, 8)
+        return out
+
+
+def _tar_reader(t: tarfile.TarFile, info: tarfile.TarInfo) -> Callable[[], bytes]:
+    def read() -> bytes:
+        if info.size > AT_ONCE or info.sparse is not None:
+            return t.extractfile(info).read()
+        t.fileobj.seek(info.offset_data)
+        data = t.fileobj.read(info.size)
+        if len(data) < info.size:
+            raise tarfile.ReadError("unexpected end of data")
+        return data
+    return read
+
+
 def iter_entries(data: bytes, fmt: str) -> Iterator[tuple[str, int, bool, Callable[[], bytes]]]:
     """(path, size, is directory, reader) of each entry; an entry is only unpacked when its reader is called."""
     if fmt == "zip":
@@ -56,11 +86,12 @@ def iter_entries(data: bytes, fmt: str) -> Iterator[tuple[str, int, bool, Callab
                 if name:
                     yield name, info.file_size, info.is_dir(), lambda: z.read(info)
         return
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz" if fmt == "tar.gz" else "r:") as t:
+    with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz" if fmt == "tar.gz" else "r:", tarinfo=_Header) as t:
         for info in t:
+            t.members = []  # else it keeps every header read
             name = clean_entry(info.name)
             if name and (info.isdir() or info.isfile()):
-                yield name, info.size, info.isdir(), lambda: t.extractfile(info).read()
+                yield name, info.size, info.isdir(), _tar_reader(t, info)
 
 
 def _strip(name: str) -> str:

@@ -497,3 +497,35 @@ def test_tasks_of_a_table_hold_a_bounded_number_of_rows(spark, tmp_path, monkeyp
     assert sorted(r["id"] for r in df.collect()) == list(range(1000))
     monkeypatch.setattr(registry, "ROWS", 10_000)
     assert registry.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_tar_entries_are_those_tarfile_reads():
+    names = ["a.json", "d/b.csv", "x" * 100, "y" * 101 + ".txt", "é.json", "p/" * 70 + "q.json"]
+    sizes = [0, 1, 511, 512, 513, 8192, 8193, 70_000]
+    for mode, fmt in (("w", "tar"), ("w:gz", "tar.gz")):
+        for form in (tarfile.USTAR_FORMAT, tarfile.GNU_FORMAT, tarfile.PAX_FORMAT):
+            out = io.BytesIO()
+            with tarfile.open(fileobj=out, mode=mode, format=form) as t:
+                for i, (name, size) in enumerate((n, s) for n in names for s in sizes if form != tarfile.USTAR_FORMAT or n[0] != "y"):
+                    info = tarfile.TarInfo(name)
+                    info.size, info.mtime, info.uname = size, 5, "u"
+                    t.addfile(info, io.BytesIO(bytes([i]) * size))
+                folder = tarfile.TarInfo("dir")
+                folder.type = tarfile.DIRTYPE
+                t.addfile(folder)
+            data = out.getvalue()
+            with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                want = [(m.name, m.size, m.isdir(), t.extractfile(m).read() if m.isfile() else None) for m in t]
+            got = [(n, s, d, None if d else read()) for n, s, d, read in AR.iter_entries(data, fmt)]
+            assert got == want
+    plain = bytearray(A.pack([("a.json", b"{}"), ("b.json", b"x" * 600)], "tar"))
+    with pytest.raises(tarfile.ReadError):
+        [read() for *_, read in AR.iter_entries(bytes(plain[:1536 + 100]), "tar")]
+    plain[3] ^= 1
+    with pytest.raises(tarfile.ReadError):
+        list(AR.iter_entries(bytes(plain), "tar"))
+    headers = []
+    entries = AR.iter_entries(A.pack([(f"{i}.json", b"") for i in range(50)], "tar"), "tar")
+    for _ in entries:
+        headers.append(len(entries.gi_frame.f_locals["t"].members))
+    assert max(headers) <= 1
