@@ -9,6 +9,7 @@ import re
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from synthmill.llm import bpe, counts, quality, secrets, sharding
 from synthmill.llm.queries import QUERIES
@@ -335,6 +336,42 @@ def test_sharding_places_every_row(spark):
     assert full.count() == 200
 
 
+def test_texts_come_in_small_batches(spark):
+    import pyarrow as pa
+    from synthmill.llm.common import narrowed
+    from synthmill.session import BATCH_ROWS
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    try:
+        for own, most in ((None, 1024), ("2000", 2000)):
+            spark.conf.unset(BATCH_ROWS) if own is None else spark.conf.set(BATCH_ROWS, own)
+            for df in (narrowed(docs, "doc_id", "text").mapInArrow(sizes, "n long"), narrowed(docs, "doc_id", "text").repartition(1).mapInArrow(sizes, "n long")):
+                found = [r.n for r in df.collect()]
+                assert sum(found) == 3000 and max(found) == most
+    finally:
+        spark.conf.unset(BATCH_ROWS)
+
+
+def test_quality_judges_some_texts_at_a_time():
+    import tracemalloc
+    import pyarrow as pa
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(2000)) for _ in range(250)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        kept = [k for out in quality.judge(iter([batch])) for k in out.column("kept").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(kept) == len(texts) and all(kept)
+    assert peak < 60 << 20, peak
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], EMPTY)
     path = P.path("byte_bpe_50k.tiktoken")
