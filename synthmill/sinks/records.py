@@ -51,6 +51,11 @@ def _place(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFram
             if parent not in made:
                 store.create_dir(parent, recursive=True)
                 made.add(parent)
+            try:  # most stores replace what is there
+                store.move(staged, target)
+                continue
+            except OSError:
+                pass
             waiting, there = (i.type == fs.FileType.File for i in store.get_file_info([staged, target]))
             if waiting and there:
                 store.delete_file(target)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv as csvlib
+import functools
 import io
 import itertools
 import json
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions a
 
 from synthmill.functions.batches import batched, rows_of
 from synthmill.functions.kinds import trim
+from synthmill.functions.lineage import kept
+from synthmill.functions.scratch import qualified
 from synthmill.sources.splits import has_quotes, larger_than_a_block, quoted_records
 
 # Fixed value: the extensions that count as text.
@@ -68,8 +71,74 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+#: Files and bytes that one task reads, about.
+FILES, BYTES = 1 << 14, 128 << 20
+_LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+_READ = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's readers leave out."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _inside(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple]:
+    """(path, size, is a folder) of what lies in the folders (path, relative to ``folder``)."""
+    from pyarrow import fs
+    store, base = fs.FileSystem.from_uri(folder)
+    for path, in rows_of(batches, "path"):
+        for info in store.get_file_info(fs.FileSelector(f"{base}/{path}" if path else base)):
+            below = info.type == fs.FileType.Directory
+            if not _hidden(info.base_name, below) and (below or info.type == fs.FileType.File):
+                yield f"{path}/{info.base_name}" if path else info.base_name, info.size, below
+
+
+def _contents(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple]:
+    from pyarrow import fs
+    store, base = fs.FileSystem.from_uri(folder)
+    for path, in rows_of(batches, "path"):
+        with store.open_input_stream(f"{base}/{path}", compression=None) as file:
+            content = file.read()
+        yield path, len(content), content
+
+
+def _opened_by_tasks(folder: str) -> bool:
+    """Whether pyarrow opens ``folder``, and it is one."""
+    from pyarrow import fs
+    try:
+        store, base = fs.FileSystem.from_uri(folder)
+        return store.get_file_info(base).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(path relative to the folder, size, content) of all files below it."""
+    """(path relative to the folder, size, content) of all files below it, without those that Spark's readers leave out.
+
+    Tasks list the folders, all of one level at once, and the files are dealt out to tasks by their number and size: the
+    driver knows neither names nor sizes, and a task opens many files.  What pyarrow cannot open is read by Spark's reader,
+    which lists on the driver, makes a task of some 30 small files and leaves out empty ones.
+    """
+    uri = qualified(spark, folder).rstrip("/")
+    if not _opened_by_tasks(uri):
+        return _read_by_spark(spark, folder)
+    level, found = spark.createDataFrame([("",)], "path string"), []
+    while level is not None:
+        listed = level.mapInArrow(lambda batches: batched(_inside(batches, uri), _LISTED), "path string, size bigint, folder boolean")
+        found.append(kept(listed, "listed"))
+        level = found[-1].where("folder").select("path")
+        folders = level.count()
+        level = level.repartition(min(folders, max(spark.sparkContext.defaultParallelism, -(-folders // FILES)))) if folders else None
+    files = functools.reduce(DataFrame.unionByName, found).where("NOT folder")
+    number, size = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-number // FILES), -(-size // BYTES))
+    return files.select("path").repartition(min(max(number, 1), tasks)).mapInArrow(
+        lambda batches: batched(_contents(batches, uri), _READ), "path string, size bigint, content binary")
+
+
+def _read_by_spark(spark: SparkSession, folder: str) -> DataFrame:
     base = re.escape(re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", folder).rstrip("/"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     relative = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), f"^[A-Za-z0-9+.-]+:(//[^/]*)?{base}/", "")

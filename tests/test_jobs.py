@@ -291,6 +291,24 @@ def test_attempts_that_are_not_committed_leave_nothing(tmp_path):
         list(K._place(iter([kept]), out))
 
 
+def test_a_folder_is_listed_and_read_by_few_tasks(spark, tmp_path):
+    folder = tmp_path / "all"
+    names = [f"k={i % 3}/sub/{i}.txt" for i in range(300)] + ["a b+%20é.txt", "_x=1", "_metadata/m", "empty/none/none.bin"]
+    for name in [*names, "_SUCCESS", ".hidden", "_gone/x.txt", ".crc/y", "part._COPYING_", "_common_metadata"]:
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(name.encode() * (name != "empty/none/none.bin"))
+    (folder / "bare").mkdir()
+    wanted = sorted((n, len(n.encode()), n.encode()) if "none" not in n else (n, 0, b"") for n in names)
+    for path in (str(folder), folder.as_uri() + "/"):
+        got = S.read_folder(spark, path)
+        assert [(p, n, bytes(c)) for p, n, c in listed(got, "path", "size", "content")] == wanted
+        assert got.rdd.getNumPartitions() == 4
+    by_spark = {(p, n, bytes(c)) for p, n, c in listed(S._read_by_spark(spark, str(folder)), "path", "size", "content")}
+    assert {w for w in wanted if w[1] and "%" not in w[0]} < by_spark and len(by_spark) == len(wanted) - 1  # it decodes names
+    assert S.read_folder(spark, str(folder / "bare")).count() == 0
+    assert [bytes(r["content"]) for r in S.read_folder(spark, str(folder / "_x=1")).collect()] == [b"_x=1"]  # Spark's reader
+
+
 # -- packages -----------------------------------------------------------------------------------------
 def test_package_round_trip(spark, tmp_path):
     inner = A.pack([("deep/v.xml", b"<r><id>5</id></r>")], "tar.gz")
