@@ -1,4 +1,4 @@
-"""Cut the lineage of a frame inside a driver loop."""
+"""Cut the lineage of a frame inside a driver loop, and deal its rows out."""
 
 from __future__ import annotations
 
@@ -20,3 +20,15 @@ def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task whose work is rendering texts or making files.
+DEALT = 1 << 14
+
+
+def dealt(df: DataFrame, rows: int, by: str) -> DataFrame:
+    """``df`` of so many rows in as many tasks as the session has cores, and in more where one would get more than DEALT.
+
+    Adaptive execution joins shuffled partitions by their bytes, and narrow rows are the work of many tasks.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // DEALT)), by)

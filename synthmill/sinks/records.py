@@ -10,7 +10,7 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from synthmill.functions.lineage import kept
+from synthmill.functions.lineage import dealt, kept
 from synthmill.functions.naming import NameContext, Naming
 from synthmill.functions.render import record_column, render
 from synthmill.functions.scratch import qualified
@@ -89,7 +89,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 def record_files(df: DataFrame, row: str, naming: Naming, ctx: NameContext, *, existing: DataFrame | None = None,
                  keep_row: bool = False, **format_options) -> DataFrame:
     """(row, path, content) of every record, names resolved, content in the format of the context."""
-    named = name_records(df, row, naming, ctx, "__path", existing)
+    named = dealt(name_records(df, row, naming, ctx, "__path", existing), df.count(), row)
     record, dtype = record_column(named.schema, ("__path",) if keep_row else ("__path", row))
     return named.select(F.col(row), F.col("__path").alias("path"), render(record, dtype, ctx.fmt, **format_options).alias("content"))
 

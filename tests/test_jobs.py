@@ -309,6 +309,15 @@ def test_a_folder_is_listed_and_read_by_few_tasks(spark, tmp_path):
     assert [bytes(r["content"]) for r in S.read_folder(spark, str(folder / "_x=1")).collect()] == [b"_x=1"]  # Spark's reader
 
 
+def test_records_are_rendered_by_all_cores(spark):
+    from synthmill.functions.ranks import row_index
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    df = row_index(spark.range(0, 400, 1, 4).select("id", F.lit("n").alias("name")), "id", "no")
+    ctx = NameContext(df.drop("no").schema, "n", "xml", 0, 1)
+    files = K.record_files(df.drop("no"), "id", Naming("{field:name}/x.{ext}"), ctx)
+    assert tasks(files) == 4 and files.select("path").distinct().count() == 400
+
+
 # -- packages -----------------------------------------------------------------------------------------
 def test_package_round_trip(spark, tmp_path):
     inner = A.pack([("deep/v.xml", b"<r><id>5</id></r>")], "tar.gz")
