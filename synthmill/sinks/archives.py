@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from synthmill.functions import draws as d
 from synthmill.functions.batches import batched, rows_of
+from synthmill.functions.lineage import dealt, kept
 from synthmill.functions.naming import EXTENSIONS, clean_segment
 from synthmill.functions.render import csv_line, json_text, record_column, xml_tag, xml_text, yaml_text
 from synthmill.functions.scratch import qualified
@@ -129,6 +130,7 @@ def write_archives(pieces: DataFrame, folder: str, fmt: str, volume_entries: int
         raise ValueError(f"unknown archive format {fmt!r}")
     if volume_entries is not None:
         pieces = pieces.withColumn("archive", volume_name(F.col("archive"), d.div(F.col("entry_no").cast("long"), volume_entries)))
+    pieces = kept(pieces, "pieces")  # rendered once, read twice
     sizes = pieces.groupBy("archive", "entry_no").agg(F.sum(F.octet_length("text")).alias("size"))
     target_folder = qualified(pieces.sparkSession, folder)
     rows = pieces.join(sizes, ["archive", "entry_no"]).repartition("archive").sortWithinPartitions("archive", "entry_no", "seq")
@@ -249,7 +251,7 @@ def multi_format_pieces(df: DataFrame, index: str, files: Sequence[tuple[str, st
                         volume_records: int | None = None) -> DataFrame:
     """The same records as several documents of one archive; ``index`` is dense and starts at 0."""
     total = df.count() if total is None else total
-    rows, last, alone = _volumes(df, index, archive, d.long(total), volume_records)
+    rows, last, alone = _volumes(dealt(df, total, index), index, archive, d.long(total), volume_records)
     return _union([document_pieces(rows, index, fmt, last, alone, ("archive", "__held")).select(
         "archive", F.lit(no).alias("entry_no"), F.lit(entry_name(name, fmt, top_folder)).alias("entry"), "seq", "text")
         for no, (name, fmt) in enumerate(files)])
@@ -272,7 +274,7 @@ def split_pieces(df: DataFrame, index: str, files: Sequence[tuple[str, str]], ar
             text = {"xml": "<root/>", "csv": "", "yaml": "[]\n"}.get(fmt, "[]")
             rows = df.sparkSession.range(1).select(F.lit(archive).alias("archive"), F.lit(0).cast("long").alias("seq"), F.lit(text).alias("text"))
         else:
-            mine = batched.where(F.col("batch") == no).drop("batch")
+            mine = dealt(batched.where(F.col("batch") == no).drop("batch"), held, index)
             mine, last, alone = _volumes(mine, index, archive, d.long(held), volume_records)
             rows = document_pieces(mine, index, fmt, last, alone, ("archive", "__held"))
         parts.append(rows.select("archive", F.lit(no).alias("entry_no"), entry.alias("entry"), "seq", "text"))

@@ -313,6 +313,8 @@ def test_records_are_rendered_by_all_cores(spark):
     from synthmill.functions.ranks import row_index
     tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
     df = row_index(spark.range(0, 400, 1, 4).select("id", F.lit("n").alias("name")), "id", "no")
+    assert tasks(A.multi_format_pieces(df, "no", [("c", "csv"), ("c", "json")], "p.zip")) == 8
+    assert tasks(A.split_pieces(df, "no", [(f"b{i}", "xml") for i in range(2)], "p.tar")) == 8
     ctx = NameContext(df.drop("no").schema, "n", "xml", 0, 1)
     files = K.record_files(df.drop("no"), "id", Naming("{field:name}/x.{ext}"), ctx)
     assert tasks(files) == 4 and files.select("path").distinct().count() == 400
