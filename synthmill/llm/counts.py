@@ -27,16 +27,18 @@ SCHEMA = "doc_id long, n_tokens long, edited_n_tokens long, n_edits long, n_pret
 
 
 class Tree:
-    """Pre-tokens of one text with sums; ``count`` gives the tokens of pre-tokens, ``split`` the pre-tokens of a text."""
+    """Pre-tokens of one text with sums; ``count`` gives the tokens of pre-tokens (``numbers``: those of the text), ``split`` the pre-tokens of a text."""
 
-    def __init__(self, pieces: list[str], count: Callable[[list[str]], list[int]], split: Callable[[str], list[str]]):
+    def __init__(self, pieces: list[str], count: Callable[[list[str]], list[int]], split: Callable[[str], list[str]],
+                 numbers: list[int] | None = None):
         self.count, self.split, self.reencoded = count, split, 0
         self.leaves = [pieces[i:i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
+        numbers = count(pieces) if numbers is None else numbers
         for i, leaf in enumerate(self.leaves):
             self.chars[self.width + i] = sum(map(len, leaf))
-            self.tokens[self.width + i] = sum(count(leaf))
+            self.tokens[self.width + i] = sum(numbers[i * LEAF:(i + 1) * LEAF])
         for i in range(self.width - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -160,21 +162,13 @@ def edited_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         enc = encoder(path, pattern)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-        def count(pieces: list[str]) -> list[int]:
-            known = enc.known
-            try:
-                return [known[p][1] for p in pieces]
-            except KeyError:  # an edit has made a new piece or two: not worth a batch
-                return [known[p][1] if p in known else enc.lone(p) for p in pieces]
-
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 rows = []
-                cut = [enc.split(t or "") for t in part.column(1).to_pylist()]
-                enc.prepare(cut)
-                for doc, pieces, edits in zip(part.column(0).to_pylist(), cut, part.column(2).to_pylist(), strict=True):
-                    tree = Tree(pieces, count, enc.split)
+                cut = enc.counted(part.column(1).to_pylist())
+                for doc, (pieces, numbers), edits in zip(part.column(0).to_pylist(), cut, part.column(2).to_pylist(), strict=True):
+                    tree = Tree(pieces, enc.count, enc.split, numbers)
                     n = tree.tokens[1]
                     for e in edits or ():
                         tree.edit(e["start"] or 0, e["length"] or 0, e["insert"] or "")

@@ -268,6 +268,30 @@ def test_an_edit_encodes_little(pretokens):
     assert tree.reencoded < 30
 
 
+def test_counts_make_no_ids(monkeypatch):
+    """A new piece is encoded once, with others of its width; its ids and bytes are never spelt out."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = bpe.Encoder(bpe.Vocabulary.read(path), P.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=enc.voc.ranks, special_tokens={})
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("therationé😀") for _ in range(rng.randint(1, 40))) for _ in range(60)) for _ in range(30)]
+    texts += [None, "", "z" * 300, texts[0]]
+    batches, merge = [], bpe.merged_together
+    monkeypatch.setattr(bpe, "merged_together", lambda voc, pieces, width: batches.append(pieces) or merge(voc, pieces, width))
+    monkeypatch.setattr(bpe, "encode_together", None)
+    for _ in range(2):
+        for text, (pieces, numbers) in zip(texts, enc.counted(texts), strict=True):
+            assert pieces == enc.split(text or "")
+            assert numbers == [len(library._encode_single_piece(p.encode())) for p in pieces]
+    merged = [p for batch in batches for p in batch]
+    assert len(batches) <= 6 and len(merged) == len(set(merged)) and not enc.known
+    assert [enc.lone(p) for p in (" newly", "q" * 64, "é" * 40)] == [len(library._encode_single_piece(p.encode())) for p in (" newly", "q" * 64, "é" * 40)]
+    monkeypatch.setattr(bpe, "COUNTED", 50)  # a table that is always full
+    for text in texts:
+        pieces, numbers = enc.counted([text])[0]
+        assert enc.count(pieces) == numbers == [len(library._encode_single_piece(p.encode())) for p in pieces]
+
+
 def test_edited_counts_with_a_table_of_edits(spark, pretokens):
     split, count = pretokens
     rows, df = frame(spark, ["hello there world", "abc", "", "x", None, "twice", "z" * 50_000])
