@@ -246,11 +246,13 @@ class Encoder:
             return [self.lone(p) for p in pieces]
 
     def lone(self, piece: str) -> int:
-        """Tokens of a piece; a new one is encoded alone, and kept while the table has room."""
+        """Tokens of a piece; a new one is encoded alone, and kept if it is short and the table has room."""
         n = self.counts.get(piece)
         if n is None:
             raw = piece.encode()
-            n = count_short(self.voc, raw) if len(raw) <= TOGETHER else len(encode_one(self.voc, raw))
+            if len(raw) > TOGETHER:
+                return len(encode_one(self.voc, raw))
+            n = count_short(self.voc, raw)
             if len(self.counts) < COUNTED:
                 self.counts[piece] = n
         return n

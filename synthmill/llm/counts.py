@@ -27,7 +27,10 @@ SCHEMA = "doc_id long, n_tokens long, edited_n_tokens long, n_edits long, n_pret
 
 
 class Tree:
-    """Pre-tokens of one text with sums; ``count`` gives the tokens of pre-tokens (``numbers``: those of the text), ``split`` the pre-tokens of a text."""
+    """Pre-tokens of one text with sums; ``count`` gives the tokens of pre-tokens, ``split`` the pre-tokens of a text.
+
+    ``numbers`` are the tokens of ``pieces``, if known already.
+    """
 
     def __init__(self, pieces: list[str], count: Callable[[list[str]], list[int]], split: Callable[[str], list[str]],
                  numbers: list[int] | None = None):

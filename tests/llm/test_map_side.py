@@ -285,7 +285,9 @@ def test_counts_make_no_ids(monkeypatch):
             assert numbers == [len(library._encode_single_piece(p.encode())) for p in pieces]
     merged = [p for batch in batches for p in batch]
     assert len(batches) <= 6 and len(merged) == len(set(merged)) and not enc.known
-    assert [enc.lone(p) for p in (" newly", "q" * 64, "é" * 40)] == [len(library._encode_single_piece(p.encode())) for p in (" newly", "q" * 64, "é" * 40)]
+    alone = [" newly", "q" * 64, "é" * 40]
+    assert [enc.lone(p) for p in alone] == [len(library._encode_single_piece(p.encode())) for p in alone]
+    assert [p in enc.counts for p in alone] == [True, True, False]  # texts of any length are not kept
     monkeypatch.setattr(bpe, "COUNTED", 50)  # a table that is always full
     for text in texts:
         pieces, numbers = enc.counted([text])[0]
