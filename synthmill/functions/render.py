@@ -137,6 +137,19 @@ def yaml_text(c: Column) -> Column:
     return _yaml(compact_json(c))
 
 
+def yaml_scalar(c: Column) -> Column:
+    """A text in double quotes, whatever its characters, or a plain number or null, as part of a YAML document.
+
+    JSON escapes are YAML's; what only YAML takes for a line break or not at all is escaped besides.
+    """
+    item = F.to_json(F.array(c))
+    item = item.substr(F.lit(2), F.length(item) - 2)
+    special = r"[\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff]"
+    escaped = F.transform(F.split(item, ""), lambda x: F.when(
+        x.rlike(special), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(x)), 4, "0"))).otherwise(x))
+    return F.when(item.rlike(special), F.array_join(escaped, "")).otherwise(item)
+
+
 def render(c: Column, dtype: T.StructType, fmt: str, *, root_tag: str = "root", self_closing: bool = True,
            delim: str = ".", nested_as_json: bool = False) -> Column:
     """One record in one of the five formats."""

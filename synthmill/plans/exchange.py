@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from synthmill.functions.batches import batched, rows_of
 from synthmill.functions.naming import NameContext, Naming
+from synthmill.functions.render import yaml_scalar
 from synthmill.functions.scratch import scratch
 from synthmill.operators import packages as P
 from synthmill.plans import duck
@@ -73,8 +74,7 @@ def s4(spark, sf_dir):
 def s5(spark, sf_dir):
     path = scratch(spark, "yaml")
     df = customers(spark, sf_dir)
-    lines = F.concat(F.lit("- id: "), F.col("id").cast("string"), F.lit("\n  name: '"), F.col("name"), F.lit("'\n  segment: "),
-                     F.col("segment"), F.lit("\n  note: '"), F.col("note"), F.lit("'"))
+    lines = F.concat(*[F.concat(F.lit(("- " if c == "id" else "\n  ") + f"{c}: "), yaml_scalar(F.col(c))) for c in df.columns])
     df.select(lines).write.text(path)
     return S.read_yaml(spark, path, CUSTOMER_DDL)
 

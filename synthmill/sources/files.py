@@ -270,6 +270,8 @@ def _file_records(path: str, fmt: str, text: str) -> Iterator[tuple]:
         try:
             for r in _parse(fmt, text):
                 held.write(json.dumps(r, ensure_ascii=False, default=str).encode() + b"\n")
+        except (OSError, MemoryError, ImportError):  # the task's failure, not the file's
+            raise
         except Exception as e:  # a file that cannot be parsed is reported, not fatal
             yield path, 0, None, type(e).__name__
             return
@@ -304,11 +306,25 @@ def documents(files: DataFrame) -> DataFrame:
     return native.unionByName(parsed)
 
 
+def _yaml_rows(path: str, text: str) -> Iterator[tuple]:
+    try:
+        for r in _yaml_records(text):
+            if r is not None and not isinstance(r, dict):
+                raise TypeError(f"a record is no mapping but of type {type(r).__name__}")
+            yield json.dumps(r, ensure_ascii=False, default=str).encode(),
+    except Exception as e:
+        raise ValueError(f"unreadable YAML file {path}: {type(e).__name__}: {e}") from e
+
+
 def read_yaml(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """YAML files as typed rows; a list gives one row per element."""
-    texts = read_texts(spark, path).withColumn("format", F.lit("yaml"))
-    docs = texts.mapInArrow(_to_documents, "path string, record int, document string, error string")
-    return docs.where("document IS NOT NULL").select(F.from_json("document", schema).alias("r")).select("r.*")
+    """YAML files as typed rows; a list gives one row per element, null a row of nulls.
+
+    Typed rows have no place for an error, so a file that cannot be read, or holds records that are no mappings, fails the
+    job by name instead of being left out.
+    """
+    docs = read_texts(spark, path).mapInArrow(lambda batches: batched(
+        (r for row in rows_of(batches, "path", "content") for r in _yaml_rows(*row)), pa.schema([("document", pa.string())])), "document string")
+    return docs.select(F.from_json("document", schema).alias("r")).select("r.*")
 
 
 def read_txt(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import sys
 import tarfile
 import zipfile
 from datetime import datetime
@@ -471,6 +472,44 @@ def test_yaml_lists_are_read_item_by_item():
                    ("c", 0, '{"u": ""}', None)]
 
 
+@pytest.mark.parametrize("text", ["- id: 2\n  name: 'O'Neil'\n- id: 3\n", "- id: 2\n---\n- id: 3\n", "- id: 2\n- [", "- id: 2\n- ? [1, 2]\n  : 3\n",
+                                  "just words", "- id: 2\n- 5\n", "- [id, 2]\n"])
+def test_a_yaml_file_that_cannot_be_read_fails_by_name(spark, tmp_path, text):
+    (tmp_path / "good.yaml").write_text("- id: 1\n  name: a\n-\n")
+    assert sorted(map(tuple, S.read_yaml(spark, str(tmp_path), "id bigint, name string").collect()), key=str) == [(1, "a"), (None, None)]
+    (tmp_path / "bad.yaml").write_text(text)
+    with pytest.raises(Exception, match="unreadable YAML file .*bad.yaml"):
+        S.read_yaml(spark, str(tmp_path), "id bigint, name string").collect()
+
+
+def test_a_task_without_disk_or_parser_does_not_take_the_file_for_unreadable(monkeypatch):
+    def full(**_):
+        raise OSError("no space left on device")
+    assert list(S._file_records("p", "yaml", "a: [")) == [("p", 0, None, "ParserError")]
+    monkeypatch.setattr(S, "HELD", 1)
+    monkeypatch.setattr("tempfile.TemporaryFile", full)
+    with pytest.raises(OSError, match="no space"):
+        list(S._file_records("p", "yaml", "a: 1"))
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    with pytest.raises(ImportError):
+        list(S._file_records("p", "yaml", "a: 1"))
+
+
+def test_customers_of_any_text_pass_through_yaml(spark, tmp_path):
+    import __spark_entry__ as contract
+    import duckdb
+    odd = ["O'Neil", 'x\\y "q" é😀', "a: b", "# c", "- d", "l1\nl2\r\n", " pad ", "", "yes", "007", "~", "d\x7f\x85\u2028\u2029\ufeff\ufffe\x07\0", None]
+    rows = [(i, t, i, 1.0, u) for i, (t, u) in enumerate(zip(odd, odd[::-1], strict=True))] + [(None, "n", None, None, "s")]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(
+        f"{tmp_path}/customer.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+        want = con.execute(contract.oracle_sql()["s5_read_yaml"]).fetchall()
+    got = contract.queries()["s5_read_yaml"](spark, str(tmp_path)).select("id", "name", "segment", "note").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert len(got) == len(rows)
+
+
 def test_archives_share_output_batches_of_bounded_size():
     entry = b"x" * (1 << 20)
     small = [(f"p{i}.tar", A.pack([("a.json", b"{}"), ("b.csv", b"k")], "tar")) for i in range(300)]
