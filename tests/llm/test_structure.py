@@ -297,6 +297,19 @@ def test_trie_join_finds_every_pair():
     assert got == {k: n - 1 for k, n in zip(key.view(np.int64).tolist(), close.sum(axis=1).tolist(), strict=True) if n > 1}
 
 
+@pytest.mark.parametrize("unit", [100, 7, 1])
+def test_pairs_of_any_bits_are_found_however_deep_the_tables_go(spark, monkeypatch, unit):
+    rng = np.random.default_rng(2)
+    key = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    bit = [np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64) for _ in range(20)]
+    key = np.unique(np.concatenate([key] + [key ^ a ^ b for a, b in zip(bit[::2], bit[1::2], strict=True)]))
+    want = (np.bitwise_count(key[:, None] ^ key[None, :]) <= 3).sum(axis=1) - 1
+    rows = spark.createDataFrame(list(enumerate(key.view(np.int64).tolist())), "doc_id long, print long")
+    monkeypatch.setattr(simhash, "fingerprinted", lambda *_: rows)
+    got = {r.doc_id: r.n_links for r in simhash.near(rows, unit=unit).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_simhash_of_an_empty_table_and_of_keyless_rows(spark):
     assert simhash.near(spark.createDataFrame([], EMPTY)).collect() == []
     got = simhash.near(spark.createDataFrame([(None, "a b c d")] * 2, EMPTY)).collect()
